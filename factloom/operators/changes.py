@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import normalize_category, relation_type
+from factloom.session import materialize
 from factloom.sources.tables import Snapshot
 
 _KEY = ["user_id", "id"]
@@ -142,16 +143,15 @@ def apply_link_changes(edges: DataFrame, changes: DataFrame, facts: DataFrame, f
     edges = without_ends(edges, detached(folded), ["src", "dst"])
     requests = changes.where(F.col("op") == "link").withColumn("rel", relation_type("rel"))
     requests = requests.select("seq", *ends, "props")
-    existing = facts.select(*_KEY).join(folded.select(*_KEY), _KEY, "left_anti")
-    existing = existing.withColumn("born", F.lit(-1).cast("long"))
-    owned = facts.select(*_KEY).withColumn("owned", F.lit(True))
-    moved = folded.join(owned, _KEY, "left")
-    still = moved.where(
-        F.when(F.col("born") >= 0, F.col("died").isNull() | (F.col("died") < F.col("born"))).otherwise(
+    asked = requests.select("user_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    owned = facts.select(*_KEY).join(asked, _KEY, "left_semi").withColumn("owned", F.lit(True))
+    state = asked.join(owned, _KEY, "left").join(folded.select(*_KEY, "born", "died"), _KEY, "left")
+    readded = F.coalesce(F.col("born") >= 0, F.lit(False))
+    alive = state.where(
+        F.when(readded, F.col("died").isNull() | (F.col("died") < F.col("born"))).otherwise(
             F.col("owned").isNotNull() & F.col("died").isNull()
         )
-    ).select(*_KEY, F.col("born").cast("long").alias("born"))
-    alive = existing.unionByName(still)
+    ).select(*_KEY, F.coalesce(F.col("born").cast("long"), F.lit(-1)).alias("born"))
     for end in ("src", "dst"):
         side = alive.select("user_id", F.col("id").alias(end), F.col("born").alias("_born"))
         requests = requests.join(side, ["user_id", end]).where(F.col("seq") > F.col("_born")).drop("_born")
@@ -176,7 +176,7 @@ def apply_changes(snapshot: Snapshot, changes: DataFrame, embed=None) -> Snapsho
     called for facts that are new or whose title or text changed; without it those facts
     have no vector until the caller adds one.
     """
-    folded = fold_facts(changes)
+    folded = materialize(fold_facts(changes), "folded")
     after = apply_fact_changes(snapshot.facts, folded)
     gone = detached(folded)
     facts = after.drop("touched").select(*snapshot.facts.columns)

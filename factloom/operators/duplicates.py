@@ -60,7 +60,8 @@ def find_duplicates(
     facts = facts.where(F.col("category").isNotNull())
     if limit is not None:
         facts = recency_pool(facts, pool_size(limit))
-    items = similarity_items(facts, vectors)
+    # Used by several steps; stored once so that they read only the columns they need.
+    items = materialize(similarity_items(facts, vectors), "items")
     evidence = materialize(cross_title_evidence(items, threshold, tile_rows), "evidence")
 
     # Copies of a title: copies - 1 partners of score 1 each.
@@ -146,17 +147,9 @@ def check_new_facts(
             "words", title_words(key)
         )
 
-    new, known = items(new, "new"), items(known, "known")
-    copies = known.groupBy(*_GROUP, "node").agg(F.count("*").alias("_copies"))
-    cross = evidence_against(new, known, threshold, tile_rows)
-    cross = cross.groupBy(*_GROUP, "id").agg(F.sum("partners").alias("_partners"), F.max("best").alias("_best"))
-    found = new.join(copies, [*_GROUP, "node"], "left").join(cross, [*_GROUP, "id"], "left")
-    same = F.when(F.lit(threshold <= 1.0), F.coalesce("_copies", F.lit(0))).otherwise(0)
-    found = found.withColumn("partners", same + F.coalesce("_partners", F.lit(0)))
-    best = F.greatest(F.when(same > 0, F.lit(1.0)), "_best")
-    return found.where(F.col("partners") > 0).select(
-        *_GROUP, "id", "partners", F.round(best, 4).alias("best_similarity")
-    )
+    found = evidence_against(items(new, "new"), items(known, "known"), threshold, tile_rows=tile_rows)
+    found = found.groupBy(*_GROUP, "id").agg(F.sum("partners").alias("partners"), F.max("best").alias("best"))
+    return found.select(*_GROUP, "id", "partners", F.round("best", 4).alias("best_similarity"))
 
 
 def completeness(records: DataFrame, fields: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators.graph import IN_CATEGORY, KNOWS
+from factloom.operators.joins import left_join_hot
 
 # Fixed value: keys of a property bag that are columns of their own.
 CORE_KEYS = ("id", "text", "title", "category", "timestamp", "userId")
@@ -33,7 +34,7 @@ def list_facts(facts: DataFrame, edges: DataFrame, ordered: bool = False) -> Dat
         .select("user_id", F.col("src").alias("id"), "rel", F.col("dst").alias("target_id"))
         .join(target, ["user_id", "target_id"])
     )
-    listed = facts.where(F.col("category").isNotNull()).join(links, ["user_id", "id"], "left")
+    listed = left_join_hot(facts.where(F.col("category").isNotNull()), links, ["user_id", "id"])
     if ordered:
         listed = listed.orderBy("user_id", "category", F.desc("ts"), "id", "rel", "target_id")
     return listed
@@ -50,7 +51,7 @@ def list_diary(diary: DataFrame, mentions: DataFrame, facts: DataFrame, ordered:
         "user_id", F.col("id").alias("fact_id"), F.col("text").alias("fact_text"), F.col("title").alias("fact_title")
     )
     linked = mentions.withColumnRenamed("diary_id", "id").join(named, ["user_id", "fact_id"])
-    listed = diary.join(linked, ["user_id", "id"], "left")
+    listed = left_join_hot(diary, linked, ["user_id", "id"])
     if ordered:
         listed = listed.orderBy("user_id", F.desc("date"), F.desc("ts"), "id", "fact_id")
     return listed

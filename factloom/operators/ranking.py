@@ -8,10 +8,22 @@ from pyspark.sql import functions as F
 from factloom.session import materialize
 
 GROUP_BOUND = 1_000_000
+_SLICES = 256
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first ``k`` rows per key. Spark applies the limit before and after the shuffle."""
+    """The first ``k`` rows per key.
+
+    Spark itself applies limits up to a threshold before the shuffle. A larger ``k`` is
+    applied to salted slices of each key first, so that no task sorts a whole key.
+    """
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k > threshold:
+        plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+        salt = F.pmod(F.xxhash64(*plain), F.lit(_SLICES))
+        sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        df = df.withColumn("_slice", salt).withColumn("_rank", F.row_number().over(sliced))
+        df = df.where(F.col("_rank") <= k).drop("_slice", "_rank")
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 

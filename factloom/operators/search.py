@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.joins import left_join_hot
 from factloom.operators.nearest import nearest
 from factloom.operators.ranking import top_k
 from factloom.operators.substring import substring_matches
+from factloom.session import materialize
 
 # Fixed values of the ranking rules.
 SCORE_TITLE_EQUAL, SCORE_TITLE_PART, SCORE_TEXT_PART = 2.0, 1.5, 1.0
@@ -167,10 +169,11 @@ def search_diary(
     )
     entries = diary.select("user_id", "id", "date", "content")
     found = hits.join(queries.select("query_id", "user_id"), "query_id").join(entries, ["user_id", "id"])
+    found = materialize(found, "diary-hits")
     linked = mentions.select("user_id", F.col("diary_id").alias("id"), F.col("fact_id").alias("mention_id"))
     if by_entry:
-        found = found.join(linked, ["user_id", "id"], "left")
+        found = left_join_hot(found, linked, ["user_id", "id"])
     else:
         dated = linked.join(diary.select("user_id", "id", "date"), ["user_id", "id"]).drop("id")
-        found = found.join(dated, ["user_id", "date"], "left")
+        found = left_join_hot(found, dated, ["user_id", "date"])
     return found.select("query_id", "id", "date", "content", "score", "rank", "mention_id")

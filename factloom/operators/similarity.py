@@ -13,12 +13,15 @@ pairs never leave the task that scores them.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.functions.text import title_key, words
 from factloom.functions.vectors import norm
@@ -176,23 +179,113 @@ def _evidence_schema(tiled: DataFrame) -> T.StructType:
     )
 
 
-def evidence_against(new: DataFrame, known: DataFrame, threshold: float, tile_rows: int = 8192) -> DataFrame:
-    """Partner counts of ``new`` items among ``known`` items with different titles.
+class _Side:
+    """Facts of one tenant and category, ready to be scored against others."""
 
-    Items carry user_id, category, id, node, words, embedding; equal nodes are the same
-    title. Rows of one new item come from several tiles: user_id, category, id, partners,
-    total, best.
-    """
-    group = ["user_id", "category"]
-    columns = [*group, "id", "node", "words", "embedding"]
-    left, right = cross_tiles(new.select(*columns), known.select(*columns), group, "id", "id", tile_rows)
+    def __init__(self, table: pa.Table | pa.RecordBatch):
+        self.ids = table.column("id")
+        self.units = unit_rows(matrix(table.column("embedding")))
+        self.words = table.column("words").to_pylist()
+        self.node = np.array(table.column("node").to_pylist(), dtype=object)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+
+class _Tally:
+    """Partners of each fact of one side, summed up over the sides it is scored against."""
+
+    def __init__(self, side: _Side, names: bool):
+        self.side, self.names = side, names
+        self.partners = np.zeros(len(side), dtype=np.int64)
+        self.total = np.zeros(len(side))
+        self.best = np.full(len(side), -np.inf)
+
+    def add(self, other: _Side, threshold: float) -> None:
+        _, codes = np.unique(np.concatenate([self.side.node, other.node]), return_inverse=True)
+        mine, theirs = codes[: len(self.side)], codes[len(self.side) :]
+        for start in range(0, len(self.side), _STEP):
+            part = slice(start, start + _STEP)
+            cosines = self.side.units[part] @ other.units.T
+            scores = pair_scores(cosines, self.side.words[part], other.words, self.names)
+            scores = np.where(mine[part, None] == theirs[None, :], np.maximum(cosines, 1.0), scores)
+            passing = scores >= threshold
+            self.partners[part] += passing.sum(axis=1)
+            self.total[part] += np.where(passing, scores, 0.0).sum(axis=1)
+            self.best[part] = np.maximum(self.best[part], np.where(passing, scores, -np.inf).max(axis=1))
+
+    def rows(self, user: object, category: object, schema: pa.Schema) -> pa.RecordBatch:
+        (found,) = np.nonzero(self.partners)
+        keys = [[value] * len(found) for value in (user, category)]
+        ids = self.side.ids.take(pa.array(found)).to_pylist()
+        values = [*keys, ids, self.partners[found], self.total[found], self.best[found]]
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
+
+
+_ITEM = ["user_id", "category", "id", "node", "words", "embedding"]
+_GROUP = _ITEM[:2]
 
-    def sided(df: DataFrame, tile: int) -> DataFrame:
-        return df.withColumn("tile", F.lit(tile)).withColumn("low", F.lit(0)).withColumn("high", F.lit(1))
 
-    both = sided(left, 0).unionByName(sided(right, 1)).withColumn("tiles", F.col("tile"))
-    scored = both.groupBy(*group, "l_tile", "r_tile").applyInArrow(
-        lambda table: _score_tiles(table, threshold, NAME_CATEGORY), _evidence_schema(both)
+def _groups(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[tuple, pa.Table | pa.RecordBatch]]:
+    keys = pd.MultiIndex.from_arrays([table.column(name).to_pylist() for name in _GROUP])
+    codes, values = pd.factorize(keys)
+    for code, key in enumerate(values):
+        yield key, table.filter(pa.array(codes == code))
+
+
+def evidence_against(
+    new: DataFrame,
+    known: DataFrame,
+    threshold: float,
+    broadcast_bytes: int = 64 << 20,
+    broadcast_rows: int = 20_000,
+    tile_rows: int = 8192,
+) -> DataFrame:
+    """Partners of ``new`` items among ``known`` items of equal tenant and category.
+
+    Items carry user_id, category, id, node, words, embedding; equal nodes are equal
+    titles. A new item may have several rows: user_id, category, id, partners, total, best.
+
+    New items within the bounds go to every task and the known ones are scanned where
+    they lie; more of them are tiled on both sides.
+    """
+    new, known = new.select(*_ITEM), known.select(*_ITEM)
+    fields = [new.schema[name] for name in _ITEM[:3]]
+    out = T.StructType(
+        [
+            *fields,
+            T.StructField("partners", T.LongType()),
+            T.StructField("total", T.DoubleType()),
+            T.StructField("best", T.DoubleType()),
+        ]
     )
-    # The kernel reports both sides; ``tiles`` tells them apart here.
-    return scored.where(F.col("tiles") == 0).select(*group, "id", "partners", "total", "best")
+    arrow_out = to_arrow_schema(out)
+    head = new.limit(broadcast_rows + 1).toArrow()
+    if head.num_rows <= broadcast_rows and head.nbytes <= broadcast_bytes:
+        blocks = {key: _Side(part) for key, part in _groups(head)}
+        shared = known.sparkSession.sparkContext.broadcast(blocks)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tallies: dict[tuple, _Tally] = {}
+            for batch in batches:
+                for key, part in _groups(batch):
+                    if key in shared.value:
+                        tally = tallies.setdefault(key, _Tally(shared.value[key], key[1] == NAME_CATEGORY))
+                        tally.add(_Side(part), threshold)
+            for key, tally in tallies.items():
+                yield tally.rows(*key, arrow_out)
+
+        return known.mapInArrow(scan, out)
+
+    left, right = cross_tiles(new, known, _GROUP, "id", "id", tile_rows)
+    keys = [*_GROUP, "l_tile", "r_tile"]
+
+    def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        if mine.num_rows == 0 or theirs.num_rows == 0:
+            return arrow_out.empty_table()
+        user, category = mine.column("user_id")[0].as_py(), mine.column("category")[0].as_py()
+        tally = _Tally(_Side(mine), category == NAME_CATEGORY)
+        tally.add(_Side(theirs), threshold)
+        return pa.Table.from_batches([tally.rows(user, category, arrow_out)])
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,14 +19,32 @@ def tile_of(ident: str, count: str) -> F.Column:
 
 
 def self_tiles(df: DataFrame, group: list[str], ident: str, rows: int) -> DataFrame:
-    """Place every row into all unordered pairs (low, high) of tiles that hold its tile.
+    """Place every row into all unordered pairs (low, high) of tiles in which it can meet others.
 
-    Adds tiles (per group), tile, low and high. A pair has at most about 2 * ``rows`` rows.
+    ``df`` has ``node`` and ``copies``, the number of rows of that node in the group. Rows
+    of one node need not meet each other: a node of more than ``rows`` copies gets tiles
+    of its own, and pairs within those are left out. A pair has about 2 * ``rows`` rows.
+    Adds tiles (per group), tile, low and high.
     """
-    tiled = df.join(tile_counts(df, group, rows, "tiles"), group).withColumn("tile", tile_of(ident, "tiles"))
-    tiled = tiled.withColumn("_other", _numbers("tiles"))
+    heavy = df.where(F.col("copies") > rows).groupBy(*group, "node").agg(F.max("copies").alias("_copies"))
+    heavy = heavy.withColumn("_own", F.ceil(F.col("_copies") / rows).cast("int")).drop("_copies")
+    before = Window.partitionBy(*group).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    heavy = heavy.withColumn("_before", F.coalesce(F.sum("_own").over(before), F.lit(0)))
+    is_light = F.when(F.col("copies") <= rows, 1)
+    sizes = df.groupBy(*group).agg(F.ceil(F.count(is_light) / rows).cast("int").alias("_light"))
+    more = heavy.groupBy(*group).agg(F.sum("_own").cast("int").alias("_heavy"))
+    sizes = sizes.join(more, group, "left").withColumn("tiles", F.col("_light") + F.coalesce("_heavy", F.lit(0)))
+
+    tiled = df.join(sizes.drop("_heavy"), group).join(heavy, [*group, "node"], "left")
+    first = (F.col("_light") + F.col("_before")).cast("int")
+    after = first + F.col("_own")
+    own = F.when(F.col("_own").isNotNull(), first + tile_of(ident, "_own")).otherwise(tile_of(ident, "_light"))
+    others = F.filter(
+        F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.col("_own").isNull() | (t < first) | (t >= after)
+    )
+    tiled = tiled.withColumn("tile", own).withColumn("_other", F.explode(others))
     tiled = tiled.withColumn("low", F.least("tile", "_other")).withColumn("high", F.greatest("tile", "_other"))
-    return tiled.drop("_other")
+    return tiled.drop("_other", "_own", "_before", "_light")
 
 
 def cross_tiles(

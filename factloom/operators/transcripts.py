@@ -6,8 +6,12 @@ the few names or corrections that apply to it are brought to that row.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.functions.text import SPACE, first_filled, strip, title_key
 from factloom.operators.substring import substring_matches
@@ -67,11 +71,15 @@ def apply_corrections(texts: DataFrame, corrections: DataFrame, key: list[str],
         .groupBy(*key)
         .agg(F.map_from_entries(F.collect_list(F.struct("wrong", "right"))).alias("_fix"))
     )
-    # Split at both borders of words: the pieces are words and what stands between them.
-    borders = rf"(?<={_WORD[:-1]})(?!{_WORD[:-1]})|(?<!{_WORD[:-1]})(?={_WORD[:-1]})"
-    pieces = F.transform(F.split(text, borders), lambda p: F.coalesce(F.col("_fix")[p], p))
-    fixed = F.when(F.col("_fix").isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
-    return texts.join(found, key, "left").withColumn(text, fixed).drop("_fix")
+    touched = texts.join(found, key).withColumn(text, _replace_words(text, "_fix")).drop("_fix")
+    return touched.unionByName(texts.join(found.select(*key), key, "left_anti"))
+
+
+@F.pandas_udf(T.StringType())
+def _replace_words(texts: pd.Series, fixes: pd.Series) -> pd.Series:
+    """One pass over each text; a map lookup in the JVM would walk the map for every word."""
+    word = re.compile(r"\w+")
+    return pd.Series([word.sub(lambda m, fix=dict(fix): fix.get(m[0], m[0]), text) for text, fix in zip(texts, fixes)])
 
 
 def link_names(texts: DataFrame, names: DataFrame, key: list[str], text: str = "text") -> DataFrame:

@@ -358,7 +358,7 @@ def tags(s: Sample) -> DataFrame:
 
 @query
 def embed_text_documents(s: Sample) -> DataFrame:
-    embedded = embed_text(s.table("documents").select("doc_id", "text"))
+    embedded = embed_text(s.texts("documents").select("doc_id", "text"))
     slots = embedded.select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
     return slots.where("weight > 0").select("doc_id", _long("slot"), F.round(F.col("weight").cast("double"), 4).alias("weight"))
 

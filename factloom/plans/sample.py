@@ -22,6 +22,14 @@ class Sample:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """A table of long texts; a single small file is spread over the cores."""
+        df = self.table(name)
+        if df.isStreaming:
+            return df
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     def facts(self) -> DataFrame:
         """Every part is a fact; its type is the category."""
         second_word = F.split_part("p_name", F.lit(" "), F.lit(2))
@@ -49,7 +57,7 @@ class Sample:
         lines = (
             self.table("lineitem")
             .groupBy("l_orderkey", "l_linenumber")
-            .agg(F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
+            .agg(F.min("l_partkey").alias("part"), F.char(F.min(F.ascii("l_returnflag"))).alias("flag"))
         )
         nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("part").alias("dst"))
         pairs = lines.join(nxt, ["l_orderkey", "l_linenumber"]).where(
@@ -81,7 +89,7 @@ class Sample:
     def diary(self) -> DataFrame:
         """Every document is a diary entry; two entries of a tenant share a date."""
         day = F.floor(F.col("doc_id") / 8) % 3650
-        return self.table("documents").select(
+        return self.texts("documents").select(
             (F.col("doc_id") % TENANTS).alias("user_id"),
             F.col("doc_id").alias("id"),
             F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("date"),
@@ -106,7 +114,7 @@ class Sample:
         )
 
     def turns(self) -> DataFrame:
-        return self.table("conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text")
+        return self.texts("conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text")
 
     def changes(self) -> DataFrame:
         """Every event is a change: five in a row concern the same part."""

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from factloom.operators.changes import apply_changes
 from factloom.operators.duplicates import check_new_facts
 from factloom.operators.mentions import link_mentions
+from factloom.session import materialize
 from factloom.sources.tables import Snapshot, read_snapshot, write_snapshot
 
 
@@ -66,9 +67,8 @@ def stream_changes(
         partial = hadoop(f"{root}/_partial={batch_id + 1}")
         files.delete(partial, True)
         before = read_snapshot(spark, version_path(root, batch_id), tables)
-        batch = batch.persist()
-        write_snapshot(apply_changes(before, batch, embed), partial.toString())
-        batch.unpersist()
+        log = materialize(batch, "log")
+        write_snapshot(apply_changes(before, log, embed), partial.toString())
         files.rename(partial, target)
 
     return _start(changes, fold, checkpoint)
@@ -99,7 +99,9 @@ def stream_duplicates(
     fresh = new_facts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        found = check_new_facts(batch, facts, vectors, threshold)
+        # The stateful plan must run once per batch, so what it let through is stored.
+        arrived = materialize(batch, "arrived")
+        found = check_new_facts(arrived, facts, vectors, threshold)
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return _start(fresh, check, checkpoint)

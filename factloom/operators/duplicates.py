@@ -13,6 +13,7 @@ from factloom.operators.components import connected_components
 from factloom.operators.ranking import GROUP_BOUND, running_number
 from factloom.operators.similarity import (
     cross_title_evidence,
+    SAME_TITLE,
     evidence_against,
     recency_pool,
     similarity_items,
@@ -61,11 +62,11 @@ def find_duplicates(
     if limit is not None:
         facts = recency_pool(facts, pool_size(limit))
     # Used by several steps; stored once so that they read only the columns they need.
-    items = materialize(similarity_items(facts, vectors), "items")
+    items = materialize(similarity_items(facts, vectors, threshold), "items")
     evidence = materialize(cross_title_evidence(items, threshold, tile_rows), "evidence")
 
     # Copies of a title: copies - 1 partners of score 1 each.
-    same = F.when(F.lit(threshold <= 1.0) & (F.col("copies") > 1), F.col("copies") - 1).otherwise(0)
+    same = F.when(F.lit(threshold <= SAME_TITLE) & (F.col("copies") > 1), F.col("copies") - 1).otherwise(0)
     cross = evidence.groupBy(*_GROUP, "id").agg(
         F.sum("partners").alias("_partners"), F.sum("total").alias("_total"), F.max("best").alias("_best")
     )
@@ -74,9 +75,9 @@ def find_duplicates(
         .join(cross, [*_GROUP, "id"], "left")
         .withColumn("partners", same + F.coalesce("_partners", F.lit(0)))
         .withColumn("total", same + F.coalesce("_total", F.lit(0.0)))
-        .withColumn("best", F.greatest(F.when(same > 0, F.lit(1.0)), "_best"))
+        .withColumn("best", F.greatest(F.when(same > 0, F.lit(SAME_TITLE)), "_best"))
         .where(F.col("partners") > 0)
-        .select(*_GROUP, "id", "ts", "node", "partners", "total", "best")
+        .select(*_GROUP, "id", "ts", "link", "partners", "total", "best")
     )
     members = materialize(_label(scored, evidence), "members")
     clusters = _clusters(members, group_bound)
@@ -97,14 +98,14 @@ def find_duplicates(
 
 
 def _label(scored: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Attach the component of every node. Only groups of several tiles need rounds."""
+    """Attach the component of every fact. Only groups of several tiles need rounds."""
     final = evidence.where(F.col("tiles") == 1)
-    labels = final.select(*_GROUP, "node", F.col("root").alias("component")).distinct()
-    split = evidence.where((F.col("tiles") > 1) & (F.col("node") != F.col("root")))
+    labels = final.select(*_GROUP, "link", F.col("root").alias("component")).distinct()
+    split = evidence.where((F.col("tiles") > 1) & (F.col("link") != F.col("root")))
     if split.take(1):
-        edges = split.select(*_GROUP, F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-        labels = labels.unionByName(connected_components(edges, _GROUP))
-    return scored.join(labels, [*_GROUP, "node"], "left").withColumn("component", F.coalesce("component", "node"))
+        edges = split.select(*_GROUP, F.col("link").alias("a"), F.col("root").alias("b")).distinct()
+        labels = labels.unionByName(connected_components(edges, _GROUP).withColumnRenamed("node", "link"))
+    return scored.join(labels, [*_GROUP, "link"], "left").withColumn("component", F.coalesce("component", "link"))
 
 
 def _clusters(members: DataFrame, group_bound: int) -> DataFrame:

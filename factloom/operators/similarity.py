@@ -30,13 +30,14 @@ from factloom.operators.ranking import top_k
 from factloom.operators.tiling import cross_tiles, self_tiles
 
 # Fixed values of the title rule.
+SAME_TITLE = 1.0
 SHARED_WORD_BOOST = 0.25
 ALL_WORDS_FLOOR = 0.86
 SHORT_WORD = 2
 NAME_CATEGORY = "People"
 
 _STEP = 1024
-_CARRIED = ["user_id", "category", "id", "node", "tiles"]
+_CARRIED = ["user_id", "category", "id", "link", "tiles"]
 
 
 def recency_pool(facts: DataFrame, size: int) -> DataFrame:
@@ -49,11 +50,13 @@ def title_words(key: F.Column) -> F.Column:
     return F.array_distinct(F.coalesce(words(key), F.array().cast("array<string>")))
 
 
-def similarity_items(facts: DataFrame, vectors: DataFrame) -> DataFrame:
+def similarity_items(facts: DataFrame, vectors: DataFrame, threshold: float = 1.0) -> DataFrame:
     """Facts that can have partners: with a vector of non-zero length.
 
     ``node`` stands for the title group, named by its smallest id; ``copies`` is the
-    size of the group. An untitled fact is a group of its own.
+    size of the group. An untitled fact is a group of its own. ``link`` is what clusters are
+    made of: the node, whose facts all reach each other, or the single fact where
+    ``threshold`` is above the score of equal titles.
     """
     usable = vectors.where(F.col("embedding").isNotNull()).where(norm("embedding") > 0)
     items = facts.select("user_id", "category", "id", "ts", title_key("title").alias("title_key")).join(
@@ -69,8 +72,9 @@ def similarity_items(facts: DataFrame, vectors: DataFrame) -> DataFrame:
         items.join(groups, ["user_id", "category", "title_key"], "left")
         .withColumn("node", F.coalesce("_first", "id"))
         .withColumn("copies", F.coalesce("_copies", F.lit(1)))
+        .withColumn("link", F.col("node") if threshold <= SAME_TITLE else F.col("id"))
         .withColumn("words", title_words(F.col("title_key")))
-        .select("user_id", "category", "id", "ts", "node", "copies", "words", "embedding")
+        .select("user_id", "category", "id", "ts", "node", "copies", "link", "words", "embedding")
     )
 
 
@@ -115,13 +119,18 @@ def _smallest_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def _values(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_pandas().to_numpy()
+
+
 def _score_tiles(table: pa.Table, threshold: float, names_category: str) -> pa.Table:
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     tile = table.column("tile").to_numpy()
     units = unit_rows(matrix(table.column("embedding")))
     tokens = table.column("words").to_pylist()
     names = table.column("category")[0].as_py() == names_category
-    node_values, node = np.unique(table.column("node").to_pandas().to_numpy(), return_inverse=True)
+    _, node = np.unique(_values(table, "node"), return_inverse=True)
+    link_values, link = np.unique(_values(table, "link"), return_inverse=True)
     (left,) = np.nonzero(tile == low)
     (right,) = np.nonzero(tile == high)
     right_tokens = [tokens[j] for j in right]
@@ -141,13 +150,13 @@ def _score_tiles(table: pa.Table, threshold: float, names_category: str) -> pa.T
             partners += np.bincount(side, minlength=n)
             total += np.bincount(side, weights=value, minlength=n)
             np.maximum.at(best, side, value)
-        pairs = np.stack([node[rows[i]], node[right[j]]], axis=1)
+        pairs = np.stack([link[rows[i]], link[right[j]]], axis=1)
         links.append(np.unique(pairs, axis=0))
     linked = np.concatenate(links)
-    root = _smallest_reachable(len(node_values), linked[:, 0], linked[:, 1])
+    root = _smallest_reachable(len(link_values), linked[:, 0], linked[:, 1])
     (members,) = np.nonzero(partners)
     taken = table.select(_CARRIED).take(pa.array(members))
-    roots = pa.array(node_values[root[node[members]]].tolist(), table.schema.field("node").type)
+    roots = pa.array(link_values[root[link[members]]].tolist(), table.schema.field("link").type)
     extra = [roots, pa.array(partners[members]), pa.array(total[members]), pa.array(best[members])]
     return pa.table([*taken.columns, *extra], names=[*taken.column_names, "root", "partners", "total", "best"])
 
@@ -156,12 +165,12 @@ def cross_title_evidence(items: DataFrame, threshold: float, tile_rows: int = 81
     """Partner counts and links among facts with different titles, per pair of tiles.
 
     A fact may appear once per pair of tiles it has partners in. ``root`` is the smallest
-    node that ``node`` reaches inside that pair of tiles; ``tiles`` is the number of tiles
+    link that ``link`` reaches inside that pair of tiles; ``tiles`` is the number of tiles
     of the group, so with 1 the roots are final.
     """
     group = ["user_id", "category"]
     tiled = self_tiles(items, group, "id", tile_rows)
-    tiled = tiled.select(*group, "id", "node", "words", "embedding", "tiles", "tile", "low", "high")
+    tiled = tiled.select(*group, "id", "node", "link", "words", "embedding", "tiles", "tile", "low", "high")
     return tiled.groupBy(*group, "low", "high").applyInArrow(
         lambda table: _score_tiles(table, threshold, NAME_CATEGORY), _evidence_schema(tiled)
     )
@@ -171,7 +180,7 @@ def _evidence_schema(tiled: DataFrame) -> T.StructType:
     return T.StructType(
         [
             *[tiled.schema[name] for name in _CARRIED],
-            T.StructField("root", tiled.schema["node"].dataType),
+            T.StructField("root", tiled.schema["link"].dataType),
             T.StructField("partners", T.LongType()),
             T.StructField("total", T.DoubleType()),
             T.StructField("best", T.DoubleType()),
@@ -208,7 +217,7 @@ class _Tally:
             part = slice(start, start + _STEP)
             cosines = self.side.units[part] @ other.units.T
             scores = pair_scores(cosines, self.side.words[part], other.words, self.names)
-            scores = np.where(mine[part, None] == theirs[None, :], np.maximum(cosines, 1.0), scores)
+            scores = np.where(mine[part, None] == theirs[None, :], np.maximum(cosines, SAME_TITLE), scores)
             passing = scores >= threshold
             self.partners[part] += passing.sum(axis=1)
             self.total[part] += np.where(passing, scores, 0.0).sum(axis=1)
@@ -227,6 +236,8 @@ _GROUP = _ITEM[:2]
 
 
 def _groups(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[tuple, pa.Table | pa.RecordBatch]]:
+    if table.num_rows == 0:
+        return
     keys = pd.MultiIndex.from_arrays([table.column(name).to_pylist() for name in _GROUP])
     codes, values = pd.factorize(keys)
     for code, key in enumerate(values):

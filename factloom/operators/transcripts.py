@@ -109,7 +109,9 @@ def recording_time(name: Column | str) -> Column:
 
 def read_transcripts(spark, path: str) -> DataFrame:
     """Transcript files, one row per file: file_name, recorded_at, text."""
-    files = spark.read.text(path, wholetext=True).withColumn("file_name", F.col("_metadata.file_name"))
+    # File names arrive percent-encoded; a plus sign is not, and must stay one.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    files = spark.read.text(path, wholetext=True).withColumn("file_name", name)
     return files.select("file_name", recording_time("file_name").alias("recorded_at"), F.col("value").alias("text"))
 
 

@@ -3,6 +3,9 @@ from factloom.functions.text import (
     alias_map_from_list,
     capitalize,
     embedding_input,
+    first_filled,
+    iso_time,
+    metadata_from_json,
     normalize_category,
     relation_type,
     strip,
@@ -19,6 +22,9 @@ __all__ = [
     "cosine",
     "dot",
     "embedding_input",
+    "first_filled",
+    "iso_time",
+    "metadata_from_json",
     "name_uuid",
     "norm",
     "normalize_category",

@@ -72,6 +72,17 @@ def alias_map_from_list(aliases: Column | str) -> Column:
     return F.map_from_arrays(distinct, F.transform(distinct, lambda _: F.lit("1.0")))
 
 
+def iso_time(ts: Column | str) -> Column:
+    """Timestamp as text: 2024-01-31T08:30:00.000000, as stored without a zone."""
+    return F.date_format(_col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def metadata_from_json(value: Column | str) -> Column:
+    """Metadata kept as a JSON object; anything else is an empty map."""
+    empty = F.create_map().cast("map<string,string>")
+    return F.coalesce(F.from_json(_col(value), "map<string,string>"), empty)
+
+
 def first_filled(*values: Column | str) -> Column:
     """First value that is neither null nor empty, else the empty string."""
     return F.coalesce(*[F.nullif(_col(v), F.lit("")) for v in values], F.lit(""))

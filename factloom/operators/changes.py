@@ -126,6 +126,12 @@ def detached(folded: DataFrame) -> DataFrame:
     return folded.where(F.col("died").isNotNull() | (F.col("born") >= 0)).select(*_KEY)
 
 
+def deleted_facts(facts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Ids of facts that the delete requests really remove: user_id, id."""
+    asked = changes.where(F.col("op") == "delete").select(*_KEY).distinct()
+    return facts.select(*_KEY).join(asked, _KEY, "left_semi")
+
+
 def without_ends(table: DataFrame, gone: DataFrame, ends: list[str]) -> DataFrame:
     """Rows of an edge-like table none of whose ends is in ``gone``."""
     for end in ends:

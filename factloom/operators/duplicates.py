@@ -37,6 +37,10 @@ class Duplicates:
     clusters: DataFrame
     members: DataFrame
 
+    def ordered_clusters(self) -> DataFrame:
+        """Clusters for display: per tenant and category the most similar first."""
+        return self.clusters.orderBy(*_GROUP, F.desc("avg_similarity"), "cluster_id")
+
 
 def pool_size(limit: int) -> int:
     return max(limit * 5, 500)

@@ -53,6 +53,11 @@ def encode_texts(
     return df.mapInArrow(run, schema)
 
 
+def embed_queries(queries: DataFrame, encoder: Callable[[list[str]], np.ndarray] | None = None, dims: int = 64) -> DataFrame:
+    """Add ``vec`` for the text in ``query``, with the model that the facts were embedded with."""
+    return embed_text(queries, text="query", encoder=encoder, dims=dims).withColumnRenamed("embedding", "vec")
+
+
 def embed_text(
     df: DataFrame,
     text: str = "text",

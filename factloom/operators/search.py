@@ -51,7 +51,7 @@ def exact_matches(
         F.explode(F.create_map(F.lit("title"), F.lower("title"), F.lit("text"), F.lower("text"))).alias("field", "text"),
     )
     fields = F.explode(F.when(F.col("is_long"), F.array(F.lit("title"), F.lit("text"))).otherwise(F.array(F.lit("title"))))
-    patterns = distinct_asks.select("user_id", fields.alias("field"), "pattern").distinct()
+    patterns = distinct_asks.select("user_id", fields.alias("field"), "pattern")
     found = substring_matches(texts, patterns, ["user_id", "field"], ["id"], carry=["category", "low_title"])
 
     by_title = F.coalesce(F.contains("low_title", "pattern"), F.lit(False))

@@ -78,9 +78,9 @@ def similarity_items(facts: DataFrame, vectors: DataFrame, threshold: float = 1.
     )
 
 
-def _shared_words(left: list, right: list, names: bool) -> np.ndarray:
-    """Number of shared words that count, for all pairs of two lists of word lists."""
-    counts = np.zeros((len(left), len(right)), dtype=np.int32)
+def _shared_words(left: list, right: list, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of two lists of word lists that share words: (i, j, number of words that count)."""
+    counts = np.zeros((len(left), len(right)), dtype=np.int16)
     postings: dict[str, list[int]] = defaultdict(list)
     for j, tokens in enumerate(right):
         for token in tokens:
@@ -93,17 +93,22 @@ def _shared_words(left: list, right: list, names: bool) -> np.ndarray:
                 mine[token].append(i)
     for token, rows in mine.items():
         counts[np.ix_(rows, postings[token])] += 1
-    return counts
+    i, j = np.nonzero(counts) if mine else (np.empty(0, dtype=np.int64),) * 2
+    return i, j, counts[i, j]
 
 
 def pair_scores(cosines: np.ndarray, left_words: list, right_words: list, names: bool) -> np.ndarray:
     """Cosine plus the bonus for shared title words, for pairs with different titles."""
-    shared = _shared_words(left_words, right_words, names)
-    left_sizes = np.array([len(w) for w in left_words])[:, None]
-    right_sizes = np.array([len(w) for w in right_words])[None, :]
-    ratio = shared / np.maximum(np.minimum(left_sizes, right_sizes), 1)
-    scores = cosines + SHARED_WORD_BOOST * ratio
-    return np.where(ratio >= 1.0, np.maximum(scores, ALL_WORDS_FLOOR), scores)
+    i, j, shared = _shared_words(left_words, right_words, names)
+    if not len(i):
+        return cosines
+    left_sizes = np.array([len(w) for w in left_words])
+    right_sizes = np.array([len(w) for w in right_words])
+    ratio = shared / np.minimum(left_sizes[i], right_sizes[j])
+    boosted = cosines[i, j] + SHARED_WORD_BOOST * ratio
+    scores = cosines.copy()
+    scores[i, j] = np.where(ratio >= 1.0, np.maximum(boosted, ALL_WORDS_FLOOR), boosted)
+    return scores
 
 
 def _smallest_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

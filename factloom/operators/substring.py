@@ -131,10 +131,11 @@ def substring_matches(
     texts = texts.where(F.col("text").isNotNull()).select(*scope, *key, *carry, "text")
     patterns = patterns.where(F.col("pattern").isNotNull())
     anchors = materialize(_anchors(patterns, scope), "anchors")
-    widths = sorted(r.width for r in anchors.select("width").distinct().collect())
-    probe = anchors.select("piece").distinct().limit(anchor_bound + 1).toArrow()
+    probe = anchors.select(*_PIECE).distinct().limit(anchor_bound + 1).toArrow()
     bounded = probe.num_rows <= anchor_bound
     wanted = np.sort(probe.column("piece").to_numpy()) if bounded else None
+    found_widths = probe if bounded else anchors.select("width").distinct().toArrow()
+    widths = sorted(set(found_widths.column("width").to_pylist()))
     keep = texts.columns if bounded else [*scope, *key]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -147,7 +147,7 @@ def resolve_people(names: DataFrame, facts: DataFrame, category: str | None = "P
     )
     long_enough = F.length("pattern") > 3
     fields = F.when(long_enough, F.array(F.lit("title"), F.lit("text"))).otherwise(F.array(F.lit("title")))
-    patterns = asked.select("user_id", F.explode(fields).alias("field"), "pattern").distinct()
+    patterns = asked.select("user_id", F.explode(fields).alias("field"), "pattern")
     found = substring_matches(texts, patterns, ["user_id", "field"], ["id"], carry=["low_title"])
     found = found.where(
         (F.col("field") == "title") | ~F.coalesce(F.contains("low_title", "pattern"), F.lit(False))

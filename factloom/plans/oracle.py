@@ -83,6 +83,31 @@ VIEWS = {
         from (select query_id, id, max(score) as score
               from (select query_id, id, score from exact union all select query_id, id, score from boosted)
               group by query_id, id)""",
+    "text_slots": rf"""
+        select id, kind, slot, cast(cast(n / sqrt(sum(n * n) over (partition by id, kind)) as float) as double) as w
+        from (select id, kind, cast('0x' || substr(md5(token), 1, 4) as int) % 64 as slot, count(*) as n
+              from (select id, 'fact' as kind, unnest(string_split(lower(concat(title, ': ', text)), ' ')) as token from facts
+                    union all select id, 'query', unnest(string_split(lower(text), ' ')) from facts) group by all)""",
+    "text_norms": "select id, kind, sqrt(sum(w * w)) as norm from text_slots group by all",
+    "text_hits": """
+        select query_id, id, score from (
+          select query_id, id, score, row_number() over (partition by query_id order by score desc, id) as rank
+          from (select q.id as query_id, f.id as id, round(sum(a.w * b.w) / max(na.norm) / max(nb.norm), 9) as score
+                from facts q join facts f on f.user_id = q.user_id and f.category = q.category
+                join text_slots a on a.id = q.id and a.kind = 'query' join text_slots b on b.id = f.id and b.kind = 'fact' and b.slot = a.slot
+                join text_norms na on na.id = q.id and na.kind = 'query' join text_norms nb on nb.id = f.id and nb.kind = 'fact'
+                group by q.id, f.id)
+          where score >= 0.55) where rank <= 50""",
+    "text_boosted": """
+        select h.query_id, h.id, h.score + case when contains(lower(q.text), lower(f.title)) then 0.2 else 0 end
+          + case when contains(lower(q.text), lower(f.brand)) then 0.9 * 0.05 else 0 end
+          + case when contains(lower(q.text), lower(f.word2)) then 0.5 * 0.05 else 0 end as score
+        from text_hits h join facts q on q.id = h.query_id join facts f on f.id = h.id""",
+    "text_exact": """
+        select query_id, id, cast(1.0 as double) as score from (
+          select q.id as query_id, f.id, row_number() over (partition by q.id order by f.id) as rank
+          from facts q join facts f on f.user_id = q.user_id and f.category = q.category and contains(lower(f.text), lower(q.text)))
+        where rank <= 3""",
     "items": """
         select v.user_id, v.category, v.id, v.v, lower(f.title) as t, f.ts,
                list_distinct(string_split(lower(f.title), ' ')) as words
@@ -204,6 +229,33 @@ _SIMPLE = {
         left join (select m.user_id, date, fact_id from mentions m join diary x on x.id = m.diary_id) m
           on m.user_id = d.user_id and m.date = d.date
         where h.rank <= 3""",
+    "search_text": """
+        select query_id, id, round(score, 4) as score, rank from (
+          select query_id, id, score, row_number() over (partition by query_id order by round(score, 9) desc, id) as rank
+          from (select coalesce(e.query_id, h.query_id) as query_id, coalesce(e.id, h.id) as id, greatest(e.score, h.score) as score
+                from text_exact e full join text_boosted h on h.query_id = e.query_id and h.id = e.id))
+        where rank <= 3""",
+    "vector_functions": """
+        select vec_id, round(sqrt(list_dot_product(v, v)), 4) as norm, round(list_dot_product(v, list_reverse(v)), 4) as dot,
+               round(list_cosine_similarity(v, list_reverse(v)), 4) as cosine
+        from (select vec_id, cast(embedding as double[]) as v from embeddings)""",
+    "typed_graph": """
+        select concat('f:', src) as src, rel, concat('f:', dst) as dst from edges
+        union all select concat('u:', user_id), 'KNOWS', concat('f:', id) from facts
+        union all select concat('f:', id), 'IN_CATEGORY', concat('c:', category) from facts
+        union all select concat('u:', user_id), 'WROTE_DIARY', concat('d:', id) from diary
+        union all select concat('d:', diary_id), 'MENTIONS', concat('f:', fact_id) from mentions""",
+    "save_diary": """
+        select d.user_id, d.id, cast(d.date as varchar) as date, m.fact_id
+        from diary d left join mentions m on m.diary_id = d.id and d.id not in (select doc_id from labels)""",
+    "deleted_facts": """
+        select user_id, id from facts f where exists (from dead d where d.user_id = f.user_id and d.id = f.id)""",
+    "name_ids": """
+        select id, concat(h[1:8], '-', h[9:12], '-5', h[14:16], '-', translate(h[17:17], '0123456789abcdef', '89ab89ab89ab89ab'), h[18:20], '-', h[21:32]) as name_id
+        from (select id, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(concat('diary_', user_id, '_', cast(date as varchar)))) as h
+              from diary)""",
+    "metadata_json": """
+        select event_id, key, props ->> concat('$.', key) as value from (select event_id, props, unnest(json_keys(props)) as key from events)""",
     "recency_pool": """
         select user_id, category, id, recency from (
           select *, row_number() over (partition by user_id, category order by ts desc, id) as recency from facts)

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.functions.text import tag_list
+from factloom.functions import cosine, dot, metadata_from_json, name_uuid, norm, tag_list
 from factloom.operators import changes as chg
 from factloom.operators import duplicates as dup
 from factloom.operators import graph, listings, merging, search
 from factloom.operators import transcripts as tr
-from factloom.operators.embedding import embed_text
+from factloom.operators.embedding import embed_queries, embed_text
 from factloom.operators.mentions import link_mentions
 from factloom.operators.nearest import nearest
 from factloom.operators.ranking import top_k
@@ -72,9 +72,14 @@ def _mentions(s: Sample) -> DataFrame:
     return link_mentions(s.diary(), s.names())
 
 
+def _stored_mentions(s: Sample) -> DataFrame:
+    """Mentions are a table of the model: linked once, then read."""
+    return materialize(_mentions(s), "mentions")
+
+
 @query
 def list_diary_mentions(s: Sample) -> DataFrame:
-    listed = listings.list_diary(s.diary(), _mentions(s), s.names())
+    listed = listings.list_diary(s.diary(), _stored_mentions(s), s.names())
     return listed.select("user_id", "id", _day("date"), "fact_id")
 
 
@@ -115,10 +120,63 @@ def search_facts(s: Sample) -> DataFrame:
 
 @query
 def search_diary(s: Sample) -> DataFrame:
-    found = search.search_diary(s.diary(), s.diary_vectors(), _mentions(s), s.queries(), top_p=TOP_P)
+    found = search.search_diary(s.diary(), s.diary_vectors(), _stored_mentions(s), s.queries(), top_p=TOP_P)
     return found.select("query_id", "id", _day("date"), _r4("score"), "mention_id")
 
 
+@query
+def search_text(s: Sample) -> DataFrame:
+    """Search from text alone: facts and queries are embedded here, every fact is a query."""
+    facts = s.facts()
+    texts = s.facts(s.spread("part")).select("user_id", "id", "category", "title", "text")
+    vectors = embed_text(texts, title="title")
+    queries = facts.select(F.col("id").alias("query_id"), "user_id", F.col("text").alias("query"), "category")
+    found = search.search_facts(facts, vectors, embed_queries(queries), limit=3, top_p=0.55)
+    return found.select("query_id", "id", _r4("score"), _long("rank"))
+
+
+@query
+def vector_functions(s: Sample) -> DataFrame:
+    both = s.table("embeddings").select("vec_id", "embedding", F.reverse("embedding").alias("turned"))
+    values = both.select(
+        "vec_id", norm("embedding").alias("norm"), dot("embedding", "turned").alias("dot"), cosine("embedding", "turned").alias("cosine")
+    )
+    return values.select("vec_id", _r4("norm"), _r4("dot"), _r4("cosine"))
+
+
+@query
+def typed_graph(s: Sample) -> DataFrame:
+    return graph.typed_graph(s.facts(), s.edges(), s.diary(), _stored_mentions(s))
+
+
+@query
+def save_diary(s: Sample) -> DataFrame:
+    """Labelled documents are in the diary already, the others are saved now."""
+    entries, labels = s.diary(), s.table("labels").select(F.col("doc_id").alias("id")).distinct()
+    old, new = entries.join(labels, "id", "left_semi"), entries.join(labels, "id", "left_anti")
+    diary, mentions = chg.save_diary(old.select(*entries.columns), new.select(*entries.columns), s.names())
+    linked = mentions.select("user_id", F.col("diary_id").alias("id"), "fact_id")
+    return diary.join(linked, ["user_id", "id"], "left").select("user_id", "id", _day("date"), "fact_id")
+
+
+@query
+def deleted_facts(s: Sample) -> DataFrame:
+    return chg.deleted_facts(s.facts(), s.changes())
+
+
+@query
+def name_ids(s: Sample) -> DataFrame:
+    """Ids that depend on user and date only, for every diary entry."""
+    name = F.concat_ws("_", F.lit("diary"), "user_id", F.date_format("date", "yyyy-MM-dd"))
+    return s.diary().select("id", name_uuid(name).alias("name_id"))
+
+
+@query
+def metadata_json(s: Sample) -> DataFrame:
+    """Entries of the properties of every event, which are kept as JSON."""
+    return s.table("events").select("event_id", F.explode(metadata_from_json("props")).alias("key", "value"))
+
+
 @query
 def recency_pool_newest(s: Sample) -> DataFrame:
     pool = recency_pool(s.facts(), dup.pool_size(50))
@@ -358,7 +416,7 @@ def tags(s: Sample) -> DataFrame:
 
 @query
 def embed_text_documents(s: Sample) -> DataFrame:
-    embedded = embed_text(s.texts("documents").select("doc_id", "text"))
+    embedded = embed_text(s.spread("documents").select("doc_id", "text"))
     slots = embedded.select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
     return slots.where("weight > 0").select("doc_id", _long("slot"), F.round(F.col("weight").cast("double"), 4).alias("weight"))
 

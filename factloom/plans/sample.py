@@ -22,20 +22,21 @@ class Sample:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def texts(self, name: str) -> DataFrame:
-        """A table of long texts; a single small file is spread over the cores."""
+    def spread(self, name: str) -> DataFrame:
+        """A table that much is computed on: a single small file is spread over the cores."""
         df = self.table(name)
         if df.isStreaming:
             return df
         cores = self.spark.sparkContext.defaultParallelism
         return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
-    def facts(self) -> DataFrame:
+    def facts(self, part: DataFrame | None = None) -> DataFrame:
         """Every part is a fact; its type is the category."""
         second_word = F.split_part("p_name", F.lit(" "), F.lit(2))
         brand = F.create_map(F.lit("brand"), F.col("p_brand"))
         sized = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
-        return self.table("part").select(
+        part = self.table("part") if part is None else part
+        return part.select(
             (F.col("p_partkey") % TENANTS).alias("user_id"),
             F.col("p_partkey").alias("id"),
             F.col("p_name").alias("title"),
@@ -49,7 +50,7 @@ class Sample:
 
     def vectors(self) -> DataFrame:
         """Facts that have an embedding."""
-        embedded = self.table("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+        embedded = self.spread("embeddings").select(F.col("vec_id").alias("id"), "embedding")
         return self.facts().select("user_id", "id", "category").join(embedded, "id")
 
     def edges(self) -> DataFrame:
@@ -89,7 +90,7 @@ class Sample:
     def diary(self) -> DataFrame:
         """Every document is a diary entry; two entries of a tenant share a date."""
         day = F.floor(F.col("doc_id") / 8) % 3650
-        return self.texts("documents").select(
+        return self.spread("documents").select(
             (F.col("doc_id") % TENANTS).alias("user_id"),
             F.col("doc_id").alias("id"),
             F.date_add(F.lit("2024-01-01").cast("date"), day.cast("int")).alias("date"),
@@ -114,7 +115,7 @@ class Sample:
         )
 
     def turns(self) -> DataFrame:
-        return self.texts("conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text")
+        return self.spread("conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text")
 
     def changes(self) -> DataFrame:
         """Every event is a change: five in a row concern the same part."""

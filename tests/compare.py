@@ -34,9 +34,14 @@ def normalized(frame: pd.DataFrame) -> list[tuple]:
     return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-def differences(spark, con: duckdb.DuckDBPyConnection, folder: str, name: str) -> tuple[int, list[str]]:
-    """Number of rows and what differs (nothing if equal)."""
-    got = queries()[name](spark, folder).toPandas()
+def differences(
+    spark, con: duckdb.DuckDBPyConnection, folder: str, name: str, plans: list[str] | None = None
+) -> tuple[int, list[str]]:
+    """Number of rows and what differs (nothing if equal); the plan is added to ``plans``."""
+    result = queries()[name](spark, folder)
+    if plans is not None:
+        plans.append(result._jdf.queryExecution().executedPlan().toString())
+    got = result.toPandas()
     want = con.execute(oracle_sql()[name]).df()
     if sorted(got.columns) != sorted(want.columns):
         return len(got), [f"columns {sorted(got.columns)} != {sorted(want.columns)}"]

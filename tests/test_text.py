@@ -129,3 +129,11 @@ def test_people_resolution(spark):
         ("u", "Kate"): (0, "none", None),
         ("v", "Tim"): (0, "none", None),
     }
+
+
+def test_metadata_and_times(spark):
+    assert one(spark, '{"a": 1, "b": "x"}', tx.metadata_from_json) == {"a": "1", "b": "x"}
+    assert one(spark, "nonsense", tx.metadata_from_json) == {}
+    assert one(spark, None, tx.metadata_from_json) == {}
+    shown = one(spark, "2024-01-31 08:30:00.5", lambda c: tx.iso_time(F.col(c).cast("timestamp_ntz")))
+    assert shown == "2024-01-31T08:30:00.500000"

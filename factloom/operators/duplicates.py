@@ -144,15 +144,13 @@ def check_new_facts(
         vectors.select("user_id", "id", "embedding"), ["user_id", "id"]
     )
 
-    def items(df: DataFrame, kind: str) -> DataFrame:
+    def items(df: DataFrame) -> DataFrame:
         usable = df.select(*fields).where(F.col("embedding").isNotNull()).where(norm("embedding") > 0)
         key = title_key("title")
-        own = F.concat(F.lit(f"{kind}:"), F.col("id").cast("string"))
-        return usable.withColumn("node", F.coalesce(F.concat(F.lit("t:"), key), own)).withColumn(
-            "words", title_words(key)
-        )
+        usable = usable.withColumn("node", F.coalesce(key, F.lit(""))).withColumn("titled", key.isNotNull())
+        return usable.withColumn("words", title_words(key))
 
-    found = evidence_against(items(new, "new"), items(known, "known"), threshold, tile_rows=tile_rows)
+    found = evidence_against(items(new), items(known), threshold, tile_rows=tile_rows)
     found = found.groupBy(*_GROUP, "id").agg(F.sum("partners").alias("partners"), F.max("best").alias("best"))
     return found.select(*_GROUP, "id", "partners", F.round("best", 4).alias("best_similarity"))
 

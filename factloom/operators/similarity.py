@@ -72,43 +72,84 @@ def similarity_items(facts: DataFrame, vectors: DataFrame, threshold: float = 1.
         items.join(groups, ["user_id", "category", "title_key"], "left")
         .withColumn("node", F.coalesce("_first", "id"))
         .withColumn("copies", F.coalesce("_copies", F.lit(1)))
+        .withColumn("titled", titled)
         .withColumn("link", F.col("node") if threshold <= SAME_TITLE else F.col("id"))
         .withColumn("words", title_words(F.col("title_key")))
-        .select("user_id", "category", "id", "ts", "node", "copies", "link", "words", "embedding")
+        .select("user_id", "category", "id", "ts", "node", "copies", "titled", "link", "words", "embedding")
     )
 
 
-def _shared_words(left: list, right: list, names: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of two lists of word lists that share words: (i, j, number of words that count)."""
-    counts = np.zeros((len(left), len(right)), dtype=np.int16)
+class TitledVectors:
+    """Facts of one tenant and category as a matrix, with their titles as class numbers.
+
+    Facts with an equal title share a class; those without a title share one, too, which
+    is equal to nothing. Facts often share titles, so words are compared per class.
+    """
+
+    def __init__(self, table: pa.Table | pa.RecordBatch):
+        self.ids = table.column("id")
+        self.units = unit_rows(matrix(table.column("embedding")))
+        titled = np.array(table.column("titled").to_pylist(), dtype=bool)
+        nodes = np.array(table.column("node").to_pylist(), dtype=object)
+        self.titles, first, codes = np.unique(nodes[titled], return_index=True, return_inverse=True)
+        self.kind = np.full(len(titled), len(self.titles))
+        self.kind[titled] = codes
+        places = np.nonzero(titled)[0][first]
+        self.words = [*table.column("words").take(pa.array(places)).to_pylist(), []]
+
+    def __len__(self) -> int:
+        return len(self.kind)
+
+
+def _shared_ratio(left: list[list[str]], right: list[list[str]], names: bool) -> np.ndarray:
+    """Share of the shorter title's words that two titles have in common, counting words only."""
+    counts = np.zeros((len(left), len(right)))
     postings: dict[str, list[int]] = defaultdict(list)
     for j, tokens in enumerate(right):
         for token in tokens:
             if names or len(token) > SHORT_WORD:
                 postings[token].append(j)
-    mine: dict[str, list[int]] = defaultdict(list)
     for i, tokens in enumerate(left):
         for token in tokens:
-            if token in postings:
-                mine[token].append(i)
-    for token, rows in mine.items():
-        counts[np.ix_(rows, postings[token])] += 1
-    i, j = np.nonzero(counts) if mine else (np.empty(0, dtype=np.int64),) * 2
-    return i, j, counts[i, j]
-
-
-def pair_scores(cosines: np.ndarray, left_words: list, right_words: list, names: bool) -> np.ndarray:
-    """Cosine plus the bonus for shared title words, for pairs with different titles."""
-    i, j, shared = _shared_words(left_words, right_words, names)
-    if not len(i):
-        return cosines
-    left_sizes = np.array([len(w) for w in left_words])
-    right_sizes = np.array([len(w) for w in right_words])
-    ratio = shared / np.minimum(left_sizes[i], right_sizes[j])
-    boosted = cosines[i, j] + SHARED_WORD_BOOST * ratio
-    scores = cosines.copy()
-    scores[i, j] = np.where(ratio >= 1.0, np.maximum(boosted, ALL_WORDS_FLOOR), boosted)
-    return scores
+            counts[i, postings.get(token, [])] += 1
+    left_sizes = np.array([len(w) for w in left])[:, None]
+    right_sizes = np.array([len(w) for w in right])[None, :]
+    return counts / np.maximum(np.minimum(left_sizes, right_sizes), 1)
+
+
+def passing_pairs(
+    a: TitledVectors, b: TitledVectors, threshold: float, names: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs with different titles that score at least ``threshold``: rows of a, rows of b, scores.
+
+    The score is the cosine plus a bonus for shared title words. Only pairs whose cosine
+    can still pass with the largest bonus at hand, or that have all words in common, are
+    scored one by one.
+    """
+    b_kinds, b_code = np.unique(b.kind, return_inverse=True)
+    b_words = [b.words[k] for k in b_kinds]
+    b_titles = np.array([*b.titles, None], dtype=object)[b_kinds]
+    for start in range(0, len(a), _STEP):
+        cosines = a.units[start : start + _STEP] @ b.units.T
+        kinds, code = np.unique(a.kind[start : start + _STEP], return_inverse=True)
+        ratio = _shared_ratio([a.words[k] for k in kinds], b_words, names)
+        titles = np.array([*a.titles, None], dtype=object)[kinds]
+        place = {title: n for n, title in enumerate(b_titles) if title is not None}
+        equal = np.zeros(ratio.shape, dtype=bool)
+        for n, title in enumerate(titles):
+            if title in place:
+                equal[n, place[title]] = True
+        ratio[equal] = 0.0
+        candidates = cosines >= threshold - SHARED_WORD_BOOST * ratio.max() - 1e-9
+        complete = ratio >= 1.0
+        if threshold <= ALL_WORDS_FLOOR and complete.any():
+            candidates |= complete[code][:, b_code]
+        i, j = np.nonzero(candidates)
+        share = ratio[code[i], b_code[j]]
+        score = cosines[i, j] + SHARED_WORD_BOOST * share
+        score = np.where(share >= 1.0, np.maximum(score, ALL_WORDS_FLOOR), score)
+        keep = (score >= threshold) & ~equal[code[i], b_code[j]]
+        yield start + i[keep], j[keep], score[keep]
 
 
 def _smallest_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,41 +165,32 @@ def _smallest_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
-def _values(table: pa.Table, name: str) -> np.ndarray:
-    return table.column(name).to_pandas().to_numpy()
-
-
-def _score_tiles(table: pa.Table, threshold: float, names_category: str) -> pa.Table:
+def _score_tiles(table: pa.Table, threshold: float) -> pa.Table:
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
     tile = table.column("tile").to_numpy()
-    units = unit_rows(matrix(table.column("embedding")))
-    tokens = table.column("words").to_pylist()
-    names = table.column("category")[0].as_py() == names_category
-    _, node = np.unique(_values(table, "node"), return_inverse=True)
-    link_values, link = np.unique(_values(table, "link"), return_inverse=True)
+    names = table.column("category")[0].as_py() == NAME_CATEGORY
     (left,) = np.nonzero(tile == low)
     (right,) = np.nonzero(tile == high)
-    right_tokens = [tokens[j] for j in right]
+    a = TitledVectors(table.take(pa.array(left)))
+    b = a if low == high else TitledVectors(table.take(pa.array(right)))
+    links = table.column("link").to_pandas().to_numpy()
+    link_values, link = np.unique(links, return_inverse=True)
 
     n = table.num_rows
     partners, total, best = np.zeros(n, dtype=np.int64), np.zeros(n), np.full(n, -np.inf)
-    links = [np.empty((0, 2), dtype=np.int64)]
-    for start in range(0, len(left), _STEP):
-        rows = left[start : start + _STEP]
-        scores = pair_scores(units[rows] @ units[right].T, [tokens[i] for i in rows], right_tokens, names)
-        passing = (scores >= threshold) & (node[rows][:, None] != node[right][None, :])
+    linked = [np.empty((0, 2), dtype=np.int64)]
+    for i, j, score in passing_pairs(a, b, threshold, names):
+        i, j = left[i], right[j]
         if low == high:
-            passing &= rows[:, None] < right[None, :]
-        i, j = np.nonzero(passing)
-        value = scores[i, j]
-        for side in (rows[i], right[j]):
+            once = i < j
+            i, j, score = i[once], j[once], score[once]
+        for side in (i, j):
             partners += np.bincount(side, minlength=n)
-            total += np.bincount(side, weights=value, minlength=n)
-            np.maximum.at(best, side, value)
-        pairs = np.stack([link[rows[i]], link[right[j]]], axis=1)
-        links.append(np.unique(pairs, axis=0))
-    linked = np.concatenate(links)
-    root = _smallest_reachable(len(link_values), linked[:, 0], linked[:, 1])
+            total += np.bincount(side, weights=score, minlength=n)
+            np.maximum.at(best, side, score)
+        linked.append(np.unique(np.stack([link[i], link[j]], axis=1), axis=0))
+    pairs = np.concatenate(linked)
+    root = _smallest_reachable(len(link_values), pairs[:, 0], pairs[:, 1])
     (members,) = np.nonzero(partners)
     taken = table.select(_CARRIED).take(pa.array(members))
     roots = pa.array(link_values[root[link[members]]].tolist(), table.schema.field("link").type)
@@ -175,9 +207,9 @@ def cross_title_evidence(items: DataFrame, threshold: float, tile_rows: int = 81
     """
     group = ["user_id", "category"]
     tiled = self_tiles(items, group, "id", tile_rows)
-    tiled = tiled.select(*group, "id", "node", "link", "words", "embedding", "tiles", "tile", "low", "high")
+    tiled = tiled.select(*group, "id", "node", "titled", "link", "words", "embedding", "tiles", "tile", "low", "high")
     return tiled.groupBy(*group, "low", "high").applyInArrow(
-        lambda table: _score_tiles(table, threshold, NAME_CATEGORY), _evidence_schema(tiled)
+        lambda table: _score_tiles(table, threshold), _evidence_schema(tiled)
     )
 
 
@@ -193,40 +225,26 @@ def _evidence_schema(tiled: DataFrame) -> T.StructType:
     )
 
 
-class _Side:
-    """Facts of one tenant and category, ready to be scored against others."""
-
-    def __init__(self, table: pa.Table | pa.RecordBatch):
-        self.ids = table.column("id")
-        self.units = unit_rows(matrix(table.column("embedding")))
-        self.words = table.column("words").to_pylist()
-        self.node = np.array(table.column("node").to_pylist(), dtype=object)
-
-    def __len__(self) -> int:
-        return len(self.ids)
-
-
 class _Tally:
     """Partners of each fact of one side, summed up over the sides it is scored against."""
 
-    def __init__(self, side: _Side, names: bool):
+    def __init__(self, side: TitledVectors, names: bool):
         self.side, self.names = side, names
         self.partners = np.zeros(len(side), dtype=np.int64)
         self.total = np.zeros(len(side))
         self.best = np.full(len(side), -np.inf)
 
-    def add(self, other: _Side, threshold: float) -> None:
-        _, codes = np.unique(np.concatenate([self.side.node, other.node]), return_inverse=True)
-        mine, theirs = codes[: len(self.side)], codes[len(self.side) :]
-        for start in range(0, len(self.side), _STEP):
-            part = slice(start, start + _STEP)
-            cosines = self.side.units[part] @ other.units.T
-            scores = pair_scores(cosines, self.side.words[part], other.words, self.names)
-            scores = np.where(mine[part, None] == theirs[None, :], np.maximum(cosines, SAME_TITLE), scores)
-            passing = scores >= threshold
-            self.partners[part] += passing.sum(axis=1)
-            self.total[part] += np.where(passing, scores, 0.0).sum(axis=1)
-            self.best[part] = np.maximum(self.best[part], np.where(passing, scores, -np.inf).max(axis=1))
+    def add(self, other: TitledVectors, threshold: float) -> None:
+        for i, _, score in passing_pairs(self.side, other, threshold, self.names):
+            self.partners += np.bincount(i, minlength=len(self.side))
+            self.total += np.bincount(i, weights=score, minlength=len(self.side))
+            np.maximum.at(self.best, i, score)
+        if threshold <= SAME_TITLE:
+            sizes = dict(zip(other.titles, np.bincount(other.kind, minlength=len(other.titles))))
+            copies = np.array([*[sizes.get(title, 0) for title in self.side.titles], 0])[self.side.kind]
+            self.partners += copies
+            self.total += copies * SAME_TITLE
+            self.best = np.where(copies > 0, np.maximum(self.best, SAME_TITLE), self.best)
 
     def rows(self, user: object, category: object, schema: pa.Schema) -> pa.RecordBatch:
         (found,) = np.nonzero(self.partners)
@@ -236,7 +254,7 @@ class _Tally:
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
 
-_ITEM = ["user_id", "category", "id", "node", "words", "embedding"]
+_ITEM = ["user_id", "category", "id", "node", "titled", "words", "embedding"]
 _GROUP = _ITEM[:2]
 
 
@@ -259,8 +277,8 @@ def evidence_against(
 ) -> DataFrame:
     """Partners of ``new`` items among ``known`` items of equal tenant and category.
 
-    Items carry user_id, category, id, node, words, embedding; equal nodes are equal
-    titles. A new item may have several rows: user_id, category, id, partners, total, best.
+    Items carry user_id, category, id, node, titled, words, embedding; equal nodes of
+    titled items are equal titles. A new item may have several rows: user_id, category, id, partners, total, best.
 
     New items within the bounds go to every task and the known ones are scanned where
     they lie; more of them are tiled on both sides.
@@ -278,7 +296,7 @@ def evidence_against(
     arrow_out = to_arrow_schema(out)
     head = new.limit(broadcast_rows + 1).toArrow()
     if head.num_rows <= broadcast_rows and head.nbytes <= broadcast_bytes:
-        blocks = {key: _Side(part) for key, part in _groups(head)}
+        blocks = {key: TitledVectors(part) for key, part in _groups(head)}
         shared = known.sparkSession.sparkContext.broadcast(blocks)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +305,7 @@ def evidence_against(
                 for key, part in _groups(batch):
                     if key in shared.value:
                         tally = tallies.setdefault(key, _Tally(shared.value[key], key[1] == NAME_CATEGORY))
-                        tally.add(_Side(part), threshold)
+                        tally.add(TitledVectors(part), threshold)
             for key, tally in tallies.items():
                 yield tally.rows(*key, arrow_out)
 
@@ -300,8 +318,8 @@ def evidence_against(
         if mine.num_rows == 0 or theirs.num_rows == 0:
             return arrow_out.empty_table()
         user, category = mine.column("user_id")[0].as_py(), mine.column("category")[0].as_py()
-        tally = _Tally(_Side(mine), category == NAME_CATEGORY)
-        tally.add(_Side(theirs), threshold)
+        tally = _Tally(TitledVectors(mine), category == NAME_CATEGORY)
+        tally.add(TitledVectors(theirs), threshold)
         return pa.Table.from_batches([tally.rows(user, category, arrow_out)])
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, out)

@@ -253,7 +253,7 @@ def suggest_merge_json(s: Sample) -> DataFrame:
 
 
 def _merges(s: Sample) -> DataFrame:
-    ranked = materialize(_suggested(s).select(*_CLUSTER, "id", "is_master"), "ranked")
+    ranked = _suggested(s).select(*_CLUSTER, "id", "is_master")
     masters = ranked.where("is_master").select(*_CLUSTER, F.col("id").alias("master_id"))
     others = ranked.where("not is_master").select(*_CLUSTER, F.col("id").alias("dup_id"))
     pairs = others.join(masters, _CLUSTER).select("user_id", "master_id", "dup_id")

@@ -28,7 +28,7 @@ class Sample:
         if df.isStreaming:
             return df
         cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
 
     def facts(self, part: DataFrame | None = None) -> DataFrame:
         """Every part is a fact; its type is the category."""

@@ -205,6 +205,11 @@ def apply_changes(snapshot: Snapshot, changes: DataFrame, embed=None) -> Snapsho
     return Snapshot(facts=facts, edges=edges, vectors=vectors, mentions=mentions)
 
 
+def assign_ids(rows: DataFrame) -> DataFrame:
+    """Rows with a new random ``id`` each, stored at once: read again, they are the same."""
+    return materialize(rows.withColumn("id", F.expr("uuid()")), "new-ids")
+
+
 def save_diary(diary: DataFrame, entries: DataFrame, facts: DataFrame, **linking) -> tuple[DataFrame, DataFrame]:
     """Append diary entries and link them: (diary, mentions of the new entries).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +28,18 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def rows_by_key(table: pa.Table | pa.RecordBatch, names: list[str], wanted: Container) -> Iterator[tuple]:
+    """(key, its rows) for every key of the table that is wanted; a single column gives plain keys."""
+    columns = [table.column(name).to_pylist() for name in names]
+    keys = pd.Series(columns[0] if len(names) == 1 else list(zip(*columns)), dtype=object)
+    codes, values = pd.factorize(keys)
+    order = np.argsort(codes, kind="stable")
+    ends = np.searchsorted(codes[order], np.arange(len(values) + 1))
+    for n, key in enumerate(values):
+        if key in wanted:
+            yield key, table.take(pa.array(order[ends[n] : ends[n + 1]]))
+
+
 def unit_rows(m: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(lengths == 0, 1.0, lengths)
@@ -111,22 +123,17 @@ def nearest(
 
 
 def _scan(vectors: DataFrame, queries: pa.Table, fetch: int, min_score: float, out: T.StructType) -> DataFrame:
-    owners = np.array(queries.column("user_id").to_pylist(), dtype=object)
-    blocks = {
-        user: _query_block(queries.filter(pa.array(owners == user)))
-        for user in sorted(set(owners.tolist()) - {None})
-    }
+    users = set(queries.column("user_id").to_pylist()) - {None}
+    blocks = {user: _query_block(part) for user, part in rows_by_key(queries, ["user_id"], users)}
     shared = vectors.sparkSession.sparkContext.broadcast(blocks)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, limit = None, 0
         arrow_schema = None
         for batch in batches:
-            owner = np.array(batch.column("user_id").to_pylist(), dtype=object)
             arrow_schema = batch.schema
-            for user in set(owner.tolist()) & shared.value.keys():
+            for user, mine in rows_by_key(batch, ["user_id"], shared.value):
                 block = shared.value[user]
-                mine = batch.filter(pa.array(owner == user))
                 hits = block.hits(
                     _objects(mine.column("id")),
                     unit_rows(matrix(mine.column("embedding"))),

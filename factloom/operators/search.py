@@ -110,7 +110,10 @@ def alias_boost(query: Column, aliases: Column) -> Column:
 def boosted_hits(hits: DataFrame, facts: DataFrame, queries: DataFrame) -> DataFrame:
     """Vector hits (query_id, id, score) with title and alias boosts added to the score."""
     asked = queries.select("query_id", "user_id", F.lower("query").alias("low_query"))
-    known = facts.select("user_id", "id", F.lower("title").alias("low_title"), "aliases")
+    kinds = {field.name: field.dataType.typeName() for field in facts.schema.fields}
+    # Only a map gives a boost: a plain list of aliases has no confidences.
+    aliases = F.col("aliases") if kinds.get("aliases") == "map" else F.create_map().cast("map<string,string>")
+    known = facts.select("user_id", "id", F.lower("title").alias("low_title"), aliases.alias("aliases"))
     query = F.col("low_query")
     score = F.col("score") + title_boost(query, F.col("low_title")) + alias_boost(query, F.col("aliases"))
     return (

@@ -16,7 +16,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.functions.text import title_key, words
 from factloom.functions.vectors import norm
-from factloom.operators.nearest import matrix, unit_rows
+from factloom.operators.nearest import matrix, rows_by_key, unit_rows
 from factloom.operators.ranking import top_k
 from factloom.operators.tiling import cross_tiles, self_tiles
 
@@ -258,15 +257,6 @@ _ITEM = ["user_id", "category", "id", "node", "titled", "words", "embedding"]
 _GROUP = _ITEM[:2]
 
 
-def _groups(table: pa.Table | pa.RecordBatch) -> Iterator[tuple[tuple, pa.Table | pa.RecordBatch]]:
-    if table.num_rows == 0:
-        return
-    keys = pd.MultiIndex.from_arrays([table.column(name).to_pylist() for name in _GROUP])
-    codes, values = pd.factorize(keys)
-    for code, key in enumerate(values):
-        yield key, table.filter(pa.array(codes == code))
-
-
 def evidence_against(
     new: DataFrame,
     known: DataFrame,
@@ -296,16 +286,17 @@ def evidence_against(
     arrow_out = to_arrow_schema(out)
     head = new.limit(broadcast_rows + 1).toArrow()
     if head.num_rows <= broadcast_rows and head.nbytes <= broadcast_bytes:
-        blocks = {key: TitledVectors(part) for key, part in _groups(head)}
+        groups = set(zip(*(head.column(name).to_pylist() for name in _GROUP)))
+        blocks = {key: TitledVectors(part) for key, part in rows_by_key(head, _GROUP, groups)}
         shared = known.sparkSession.sparkContext.broadcast(blocks)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tallies: dict[tuple, _Tally] = {}
             for batch in batches:
-                for key, part in _groups(batch):
-                    if key in shared.value:
-                        tally = tallies.setdefault(key, _Tally(shared.value[key], key[1] == NAME_CATEGORY))
-                        tally.add(TitledVectors(part), threshold)
+                for key, part in rows_by_key(batch, _GROUP, shared.value):
+                    if key not in tallies:
+                        tallies[key] = _Tally(shared.value[key], key[1] == NAME_CATEGORY)
+                    tallies[key].add(TitledVectors(part), threshold)
             for key, tally in tallies.items():
                 yield tally.rows(*key, arrow_out)
 

@@ -316,6 +316,12 @@ def test_events_delivered_twice_are_checked_once(spark, tmp_path):
     assert sorted((r.id, r.partners, r.best_similarity) for r in got) == [(101, 2, 1.0), (102, 1, 1.0)]
 
 
+def test_assigned_ids_stay(spark):
+    rows = chg.assign_ids(spark.range(50).select(F.col("id").alias("n")))
+    assert sorted(rows.collect()) == sorted(rows.collect())
+    assert rows.select("id").distinct().count() == 50
+
+
 def test_new_ids_can_come_from_names(spark):
     ids = spark.range(3).select(name_uuid(F.col("id").cast("string"))).distinct().count()
     assert ids == 3

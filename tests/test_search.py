@@ -92,6 +92,14 @@ def test_threshold_is_on_the_raw_cosine_and_boosts_come_after(spark):
     assert scores == {1: (1.2, 1), 2: (0.85, 2)}
 
 
+def test_a_list_of_aliases_gives_no_boost(spark):
+    facts = spark.createDataFrame([("u", 1, "x", ["abc"])], "user_id string, id int, title string, aliases array<string>")
+    hits = spark.createDataFrame([(1, 1, 0.5)], "query_id int, id int, score double")
+    asked = spark.createDataFrame([(1, "u", "abc")], "query_id int, user_id string, query string")
+    assert rows(search.boosted_hits(hits, facts, asked), "score") == [(0.5,)]
+    assert rows(search.boosted_hits(hits, facts.drop("aliases"), asked), "score") == [(0.5,)]
+
+
 def random_vectors(spark, n, seed, users=2):
     rng = np.random.default_rng(seed)
     data = [(f"u{i % users}", i, "AB"[i % 3 % 2], [float(x) for x in rng.normal(size=8)]) for i in range(n)]

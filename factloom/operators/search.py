@@ -64,6 +64,11 @@ def exact_matches(
     # A fact found by its title is not reported a second time for its text.
     found = found.where((F.col("field") == "title") | ~by_title).withColumn("score", score)
 
+    if limit is not None:
+        # A question gets its answers from the first ones of each category, so a pattern
+        # that very many facts contain shrinks before it is shuffled.
+        found = top_k(found, ["user_id", "pattern", "field", "category"], [F.desc("score"), F.asc("id")], limit)
+        found = found.drop("rank")
     allowed = F.col("wanted").isNull() | (F.col("wanted") == F.col("category"))
     if title_ignores_category:
         allowed = allowed | (F.col("is_long") & (F.col("field") == "title"))

@@ -15,7 +15,6 @@ from factloom.operators import transcripts as tr
 from factloom.operators.embedding import embed_queries, embed_text
 from factloom.operators.mentions import link_mentions
 from factloom.operators.nearest import nearest
-from factloom.operators.ranking import top_k
 from factloom.operators.similarity import recency_pool
 from factloom.plans.sample import TENANTS, Sample
 from factloom.session import materialize, scratch_path
@@ -30,7 +29,8 @@ TOP_P = 0.3
 
 
 def query(fn: Callable[[Sample], DataFrame]) -> Callable[[Sample], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, folder: fn(Sample(spark, folder))
+    """Register a function under its name; a trailing underscore keeps it from hiding an import."""
+    QUERIES[fn.__name__.rstrip("_")] = lambda spark, folder: fn(Sample(spark, folder))
     return fn
 
 
@@ -178,14 +178,11 @@ def metadata_json(s: Sample) -> DataFrame:
 
 
 @query
-def recency_pool_newest(s: Sample) -> DataFrame:
+def recency_pool_(s: Sample) -> DataFrame:
     pool = recency_pool(s.facts(), dup.pool_size(50))
     return pool.select("user_id", "category", "id", _long("recency"))
 
 
-QUERIES["recency_pool"] = QUERIES.pop("recency_pool_newest")
-
-
 def _duplicates(s: Sample) -> dup.Duplicates:
     return dup.find_duplicates(s.facts(), s.vectors(), THRESHOLD)
 
@@ -299,7 +296,9 @@ def neighborhood_distinct(s: Sample) -> DataFrame:
     return graph.neighborhood_distinct(s.edges(), s.view_requests(), depth=2)
 
 
-QUERIES["link_mentions"] = lambda spark, folder: _mentions(Sample(spark, folder))
+@query
+def link_mentions_(s: Sample) -> DataFrame:
+    return _mentions(s)
 
 
 def _flat_facts(facts: DataFrame) -> DataFrame:
@@ -415,15 +414,12 @@ def tags(s: Sample) -> DataFrame:
 
 
 @query
-def embed_text_documents(s: Sample) -> DataFrame:
+def embed_text_(s: Sample) -> DataFrame:
     embedded = embed_text(s.spread("documents").select("doc_id", "text"))
     slots = embedded.select("doc_id", F.posexplode("embedding").alias("slot", "weight"))
     return slots.where("weight > 0").select("doc_id", _long("slot"), F.round(F.col("weight").cast("double"), 4).alias("weight"))
 
 
-QUERIES["embed_text"] = QUERIES.pop("embed_text_documents")
-
-
 def _arriving(s: Sample, parts: DataFrame) -> DataFrame:
     """Every embedded part once more, as a new fact with a negative id."""
     embedded = s.table("embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")

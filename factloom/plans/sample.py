@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from factloom.sources.tables import Snapshot
 
 TENANTS = 4
-NAME_BASE = "user_id bigint, id bigint"
 
 
 class Sample:

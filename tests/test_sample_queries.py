@@ -6,7 +6,8 @@ import sys
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from factloom.plans.registry import QUERIES
 from factloom.session import materialize
 from tests.compare import connect, differences
 from tests.conftest import SMALL
@@ -32,7 +33,7 @@ def plans(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, con, plans, name):
     rows, wrong = differences(spark, con, SMALL, name, plans)
     assert not wrong
@@ -42,7 +43,7 @@ def test_equals_sql(spark, con, plans, name):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(QUERIES) <= set(oracle_sql())
 
 
 def test_entry(spark):

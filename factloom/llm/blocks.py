@@ -61,6 +61,21 @@ def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks
     return flat[offset + np.arange(total)]
 
 
+def joined_runs(parts: list[np.ndarray], picks: np.ndarray, row: np.ndarray, whole: dict[int, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of ``n`` texts one after the other, and how many each has: text ``row[i]`` has the run
+    ``parts[picks[i]]``, in this order; those in ``whole`` have one run of their own."""
+    if whole:
+        picks = np.concatenate([picks, len(parts) + np.arange(len(whole))])
+        row = np.concatenate([row, np.array(list(whole), np.int64)])
+        order = np.argsort(row, kind="stable")
+        picks, row = picks[order], row[order]
+    runs = [*parts, *whole.values()]
+    sizes = np.array([len(p) for p in runs], np.int64)
+    table = np.concatenate(runs) if runs else np.zeros(0, np.int32)
+    ids = ragged_take(table, np.cumsum(sizes) - sizes, sizes, picks)
+    return ids, np.bincount(row, weights=sizes[picks], minlength=n).astype(np.int64)
+
+
 def list_array(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])

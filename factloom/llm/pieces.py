@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -12,9 +13,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from factloom.llm.blocks import carried, coded, list_array, ragged_take, split_lists, text_blocks
+from factloom.llm.blocks import carried, coded, joined_runs, list_array, split_lists, text_blocks
 
 SPACE = "▁"
+_WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNKNOWN_PENALTY = 10.0
 #: Kinds of a piece in a model file (fixed values of the public format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -135,38 +137,38 @@ def encode_block(model: PieceModel, known: dict[str, np.ndarray], texts: pa.Arra
     """All ids of the texts and how many each text has.
 
     Where no piece spans the start of a word, all paths meet there, so the search may start anew at
-    every space; then each distinct word of the block is searched once."""
-    if not model.words_apart:
-        encoded = [model.encode(t) for t in texts.to_pylist()]
-        return np.array([i for ids in encoded for i in ids], np.int32), np.array([len(ids) for ids in encoded], np.int64)
-    flat, row = split_lists(pc.split_pattern(texts, " "))
-    codes, distinct = coded(flat)
-    # A text starts with the prefix in place of a space; an empty text has none.
-    first = np.ones(len(row), bool)
-    first[1:] = row[1:] != row[:-1]
-    marks = np.where(first, 0, 1)
-    empty_text = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    # key = 2 * word + whether a space mark stands before it
-    key = codes * 2 + (marks if not model.prefix else 1)
-    key_values, keys = np.unique(key, return_inverse=True)
-    seen = np.bincount(keys)
-    words = distinct.to_pylist()
-    parts = []
-    for value, count in zip(key_values.tolist(), seen.tolist(), strict=True):
-        word = (SPACE if value & 1 else "") + words[value >> 1]
+    every space after another character; then each distinct word of the block is searched once. Texts
+    with several spaces in a row are cut before the first of each run."""
+
+    def searched(word: str, keep: bool) -> np.ndarray:
         ids = known.get(word)
         if ids is None:
             ids = np.array([i for part in model.segments(word) for i in part], np.int32)
-            if count > 1 and len(known) < KNOWN_LIMIT:
+            if keep and len(known) < KNOWN_LIMIT:
                 known[word] = ids
-        parts.append(ids)
-    sizes = np.array([len(p) for p in parts], np.int64)
-    table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-    live = ~(empty_text[row] & first)
-    keys, row = keys[live], row[live]
-    ids = ragged_take(table, np.cumsum(sizes) - sizes, sizes, keys)
-    per_text = np.bincount(row, weights=sizes[keys], minlength=len(texts)).astype(np.int64)
-    return ids, per_text
+        return ids
+
+    if model.words_apart:
+        odd = pc.match_substring_regex(texts, r"^ |  | $|^$").to_numpy(zero_copy_only=False)
+    else:
+        odd = np.ones(len(texts), bool)
+    whole = {}
+    for i in np.flatnonzero(odd).tolist():
+        text = texts[i].as_py()
+        marked = model.prefix + text.replace(" ", SPACE) if text else ""
+        cut = _WORD.findall(marked) if model.words_apart else [marked]
+        whole[i] = np.concatenate([np.zeros(0, np.int32), *[searched(w, False) for w in cut]])
+
+    flat, row = split_lists(pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " "))
+    codes, distinct = coded(flat)
+    marked = np.ones(len(row), bool)
+    if not model.prefix:
+        marked[1:], marked[:1] = row[1:] == row[:-1], False
+    values, keys, seen = np.unique(codes * 2 + marked, return_inverse=True, return_counts=True)
+    strings = distinct.to_pylist()
+    parts = [searched((SPACE if v & 1 else "") + strings[v >> 1], n > 1) for v, n in zip(values.tolist(), seen.tolist(), strict=True)]
+    plain = ~odd[row]
+    return joined_runs(parts, keys[plain], row[plain], whole, len(texts))
 
 
 def encode_pieces(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

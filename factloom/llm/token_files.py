@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.blocks import coded, list_array, ragged_take, split_lists, text_blocks
+from factloom.llm.blocks import coded, joined_runs, list_array, split_lists, text_blocks
 
 #: A space before another blank, or at the end: here a space does not begin a token of its own word.
 ODD_SPACE = (
@@ -71,7 +71,6 @@ class WordEncoder:
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and how many each has."""
-        n = len(texts)
         odd = pc.match_substring_regex(texts, ODD_SPACE).to_numpy(zero_copy_only=False)
         whole = self._encode(texts.filter(pa.array(odd)).to_pylist())
         flat, row = split_lists(pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " "))
@@ -90,18 +89,8 @@ class WordEncoder:
                 parts[i] = p
                 if seen[i] > 1 and len(self.known) < KNOWN_LIMIT:
                     self.known[words[i]] = p.copy()
-        # Texts that were encoded whole follow the words as runs of their own.
-        parts += whole
-        sizes = np.array([len(p) for p in parts], np.int64)
-        table = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        picks, at = keys, row
-        if len(whole):
-            picks = np.concatenate([keys[~odd[row]], len(values) + np.arange(len(whole))])
-            at = np.concatenate([row[~odd[row]], np.flatnonzero(odd)])
-            order = np.argsort(at, kind="stable")
-            picks, at = picks[order], at[order]
-        ids = ragged_take(table, np.cumsum(sizes) - sizes, sizes, picks)
-        return ids, np.bincount(at, weights=sizes[picks], minlength=n).astype(np.int64)
+        plain = ~odd[row]
+        return joined_runs(parts, keys[plain], row[plain], dict(zip(np.flatnonzero(odd).tolist(), whole, strict=True)), len(texts))
 
 
 @lru_cache(maxsize=2)

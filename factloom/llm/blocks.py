@@ -52,6 +52,15 @@ def coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary
 
 
+def distinct_codes(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of codes below ``size``: those that occur, the rank of each code among them, and how often they occur."""
+    counts = np.bincount(codes, minlength=size)
+    values = np.flatnonzero(counts)
+    rank = np.zeros(size, np.int64)
+    rank[values] = np.arange(len(values))
+    return values, rank[codes], counts[values]
+
+
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, picks: np.ndarray) -> np.ndarray:
     """Concatenate the runs ``flat[starts[p] : starts[p] + lengths[p]]`` for each ``p`` of ``picks``."""
     size = lengths[picks]

@@ -13,14 +13,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from factloom.llm.blocks import carried, coded, joined_runs, list_array, split_lists, text_blocks
+from factloom.llm.blocks import carried, coded, distinct_codes, joined_runs, list_array, split_lists, text_blocks
 
 SPACE = "▁"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNKNOWN_PENALTY = 10.0
 #: Kinds of a piece in a model file (fixed values of the public format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KNOWN_LIMIT = 300_000
+KNOWN_LIMIT = 400_000
+BLOCK = 12_000_000
+
+
+def make_trie(score: dict[str, tuple[float, int]]) -> dict:
+    """character -> [following characters, score, id]; id -1 where no piece ends."""
+    root: dict = {}
+    for piece, (value, ident) in score.items():
+        level = root
+        for c in piece[:-1]:
+            level = level.setdefault(c, [{}, 0.0, -1])[0]
+        last = level.setdefault(piece[-1], [{}, 0.0, -1])
+        last[1], last[2] = value, ident
+    return root
 
 
 class PieceModel:
@@ -41,6 +54,7 @@ class PieceModel:
         self.unknown_id = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.unknown_score = min(s for s, _ in self.score.values()) - UNKNOWN_PENALTY
         self.longest = max(map(len, self.score))
+        self.trie = make_trie(self.score)
         self.bytes_of = [
             bytes([int(p.piece[3:5], 16)]) if p.type == BYTE
             else p.piece.replace(SPACE, " ").encode() if p.type in (NORMAL, USER_DEFINED) else b""
@@ -57,36 +71,41 @@ class PieceModel:
         ends, at most a longest piece apart. Once their back pointers converge on one boundary, the ids
         before it are committed and the window starts there anew.
         """
-        score, longest, unknown = self.score, self.longest, self.unknown_score
+        trie, longest, unknown = self.trie, self.longest, self.unknown_score
         base, size = 0, len(text)
-        best: list[tuple[float, int, int] | None] = [(0.0, 0, -1)]
+        best: list[tuple[float, int, int] | None] = [(0.0, 0, -1)] + [None] * min(size, longest)
         at, reach, look = 0, 0, 4 * longest
         while base + at < size:
             here = best[at]
             if here is not None:
-                meet = at if reach == at else 0
                 if at >= look:
                     meet = self._meeting(best, at, reach)
                     look = at + 4 * longest
-                if meet:
-                    yield self._ids(best, meet, text[base : base + meet])
-                    base, at, reach, look = base + meet, at - meet, reach - meet, 4 * longest
-                    best = [b and (b[0], b[1] - meet, b[2]) for b in best[meet:]]
-                total, start = best[at][0], base + at
-                for length in range(1, min(longest, size - start) + 1):
-                    found = score.get(text[start : start + length])
-                    if found is None:
-                        if length > 1:
-                            continue
-                        found = (unknown, -1)
-                    value, to = total + found[0], at + length
-                    while len(best) <= to:
-                        best.append(None)
-                    old = best[to]
-                    if old is None or value > old[0]:
-                        best[to] = (value, at, found[1])
-                        if to > reach:
-                            reach = to
+                    if meet:
+                        yield self._ids(best, meet, text[base : base + meet])
+                        base, at, reach, look = base + meet, at - meet, reach - meet, 4 * longest
+                        best = [b and (b[0], b[1] - meet, b[2]) for b in best[meet:]]
+                total, level, to, single = best[at][0], trie, at, False
+                if len(best) <= at + longest:
+                    best.extend([None] * (4 * longest))
+                for c in text[base + at : base + at + longest]:
+                    node = level.get(c)
+                    if node is None:
+                        break
+                    to += 1
+                    level, score, ident = node
+                    if ident >= 0:
+                        if to == at + 1:
+                            single = True
+                        old = best[to]
+                        if old is None or total + score > old[0]:
+                            best[to] = (total + score, at, ident)
+                            if to > reach:
+                                reach = to
+                if not single and (best[at + 1] is None or total + unknown > best[at + 1][0]):
+                    best[at + 1] = (total + unknown, at, -1)
+                    if at + 1 > reach:
+                        reach = at + 1
             at += 1
         if at:
             yield self._ids(best, at, text[base:])
@@ -164,7 +183,7 @@ def encode_block(model: PieceModel, known: dict[str, np.ndarray], texts: pa.Arra
     marked = np.ones(len(row), bool)
     if not model.prefix:
         marked[1:], marked[:1] = row[1:] == row[:-1], False
-    values, keys, seen = np.unique(codes * 2 + marked, return_inverse=True, return_counts=True)
+    values, keys, seen = distinct_codes(codes * 2 + marked, 2 * len(distinct))
     strings = distinct.to_pylist()
     parts = [searched((SPACE if v & 1 else "") + strings[v >> 1], n > 1) for v, n in zip(values.tolist(), seen.tolist(), strict=True)]
     plain = ~odd[row]
@@ -183,7 +202,7 @@ def encode_pieces(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("d
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
         known = _known.setdefault(model_path, {})
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK):
             ids, sizes = encode_block(model, known, block.column("__text"))
             arrays = [*[block.column(c) for c in carry], list_array(ids, sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, [*carry, "ids"])

@@ -13,13 +13,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.blocks import coded, joined_runs, list_array, split_lists, text_blocks
+from factloom.llm.blocks import coded, distinct_codes, joined_runs, list_array, split_lists, text_blocks
+from factloom.session import materialize
 
 #: A space before another blank, or at the end: here a space does not begin a token of its own word.
 ODD_SPACE = (
     r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]| $"
 )
-KNOWN_LIMIT = 300_000
+KNOWN_LIMIT = 400_000
+BLOCK = 8_000_000
 TOGETHER = 50
 
 #: Ids draw on a vocabulary: dictionary encoding, 2 bytes each. Ids of documents and places rise: delta
@@ -65,8 +67,8 @@ class WordEncoder:
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
         for group, ids in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
             ends = np.cumsum([len(w.encode()) for w in group])
-            cuts = np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1
-            out.extend(np.split(ids, cuts[:-1]))
+            cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1).tolist()
+            out.extend(ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
         return out
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +79,7 @@ class WordEncoder:
         codes, distinct = coded(flat)
         first = np.ones(len(row), bool)
         first[1:] = row[1:] != row[:-1]
-        values, keys, seen = np.unique(codes * 2 + ~first, return_inverse=True, return_counts=True)
+        values, keys, seen = distinct_codes(codes * 2 + ~first, 2 * len(distinct))
         strings = distinct.to_pylist()
         words = [(" " if v & 1 else "") + strings[v >> 1] for v in values.tolist()]
         parts = [self.known.get(w) for w in words]
@@ -114,7 +116,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, out: str, end_id: in
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder(tokenizer_path)
         before = 0
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK):
             ids, sizes = encoder.encode_block(block.column("__text"))
             ends = np.cumsum(sizes)
             ids = np.insert(ids, ends, end_id)
@@ -139,7 +141,8 @@ def read_token_files(spark: SparkSession, path: str, columns: tuple[str, ...] =
     files = spark.read.parquet(path)
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    # One small row per file, stored so that its size is known: then the ids need not be shuffled to meet it.
+    starts = materialize(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")), "starts")
     return files.join(starts, "part").select("doc_id", (F.col("first") + F.col("offset")).alias("start"), *columns)
 
 

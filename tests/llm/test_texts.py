@@ -339,6 +339,7 @@ def test_streaming_search_commits_early(rng):
     model = pieces.PieceModel.__new__(pieces.PieceModel)
     model.score = {p: (-rng.random() * len(p) ** 0.8, i) for i, p in enumerate(["a", "b", "aa", "ab", "aba", "bb", "aaaa", "bab"])}
     model.longest, model.unknown_score, model.byte_id, model.unknown_id = 4, -50.0, {}, 99
+    model.trie = pieces.make_trie(model.score)
     for _ in range(60):
         text = "".join(rng.choice("aaab") for _ in range(rng.randint(1, 400)))
         parts = list(model.segments(text))

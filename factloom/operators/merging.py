@@ -4,22 +4,40 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.operators.components import connected_components
 from factloom.operators.listings import split_metadata
+from factloom.session import materialize
 from factloom.sources.tables import Snapshot
 
 
 def valid_merges(merges: DataFrame, facts: DataFrame) -> DataFrame:
-    """Merges (user_id, master_id, dup_id) whose master and duplicate exist.
+    """Merges (user_id, master_id, dup_id) whose master and duplicate exist, with the final master of each.
 
-    A batch must not name a fact as master in one row and as duplicate in another.
+    A batch may chain merges: with 2 into 1 and 3 into 2, both end in 1. A duplicate with two masters, or
+    merges in a circle, raise an error.
     """
     ids = facts.select("user_id", "id")
     pairs = merges.select("user_id", "master_id", "dup_id").where("master_id <> dup_id").distinct()
     pairs = pairs.join(ids.withColumnRenamed("id", "master_id"), ["user_id", "master_id"], "left_semi")
-    return pairs.join(ids.withColumnRenamed("id", "dup_id"), ["user_id", "dup_id"], "left_semi")
+    pairs = materialize(pairs.join(ids.withColumnRenamed("id", "dup_id"), ["user_id", "dup_id"], "left_semi"), "pairs")
+    twice = pairs.groupBy("user_id", "dup_id").count().where("count > 1").take(1)
+    if twice:
+        raise ValueError(f"fact {twice[0]['dup_id']} of user {twice[0]['user_id']} has more than one master")
+    gone = pairs.select("user_id", F.col("dup_id").alias("master_id"))
+    if not pairs.join(gone, ["user_id", "master_id"], "left_semi").take(1):
+        return pairs
+    links = pairs.select("user_id", F.col("master_id").alias("a"), F.col("dup_id").alias("b"))
+    trees = materialize(connected_components(links, ["user_id"]), "trees")
+    roots = pairs.join(gone, ["user_id", "master_id"], "left_anti").select("user_id", "master_id").distinct()
+    roots = trees.join(roots.withColumnRenamed("master_id", "node"), ["user_id", "node"], "left_semi")
+    roots = roots.withColumnRenamed("node", "master_id")
+    if trees.join(roots, ["user_id", "component"], "left_anti").take(1):
+        raise ValueError("merges form a circle")
+    ends = trees.join(roots, ["user_id", "component"]).where("node <> master_id")
+    return ends.select("user_id", F.col("node").alias("dup_id"), "master_id")
 
 
 def _moved(table: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
@@ -83,20 +101,45 @@ def merge_properties(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     return combined.select("user_id", F.col("master_id").alias("id"), "key", "value").distinct()
 
 
+def _combined(facts: DataFrame, pairs: DataFrame, column: str, best: Column) -> DataFrame:
+    """One map per master (user_id, id, combined) out of its own and its duplicates' maps.
+
+    ``best`` ranks the values of a key, smallest first, by ``own`` (0 for the master) and ``value``."""
+    group = pairs.select("user_id", F.col("dup_id").alias("id"), "master_id", F.lit(1).alias("own"))
+    masters = pairs.select("user_id", F.col("master_id").alias("id"), "master_id", F.lit(0).alias("own")).distinct()
+    entries = facts.select("user_id", "id", F.explode(column).alias("key", "value")).where("value is not null")
+    entries = entries.join(group.unionByName(masters), ["user_id", "id"])
+    one = entries.groupBy("user_id", "master_id", "key").agg(F.min_by("value", best).alias("value"))
+    maps = one.groupBy("user_id", F.col("master_id").alias("id"))
+    return maps.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("combined"))
+
+
+def _with_combined(facts: DataFrame, pairs: DataFrame, column: str, best: Column) -> DataFrame:
+    if column not in facts.columns:
+        return facts
+    joined = facts.join(_combined(facts, pairs, column, best), ["user_id", "id"], "left")
+    return joined.withColumn(column, F.coalesce("combined", column)).drop("combined")
+
+
 def merge_facts(snapshot: Snapshot, merges: DataFrame, ts=None, embed=None) -> tuple[Snapshot, DataFrame]:
     """Carry out merges: the new snapshot and the combined properties of the masters.
 
     ``merges``: user_id, master_id, dup_id and the new title and text of the master (null
     = keep), equal in all rows of a master. ``ts`` is the time of the merge. Rows with a
     missing master or duplicate have no effect.
+
+    The master takes over what its duplicates know: of each metadata key its own value, else the
+    smallest of theirs (the combined properties hold all values); of each alias the highest
+    confidence. A master whose title or text changes loses its vector, or gets one from ``embed``.
     """
     pairs = valid_merges(merges, snapshot.facts)
     gone = pairs.select("user_id", F.col("dup_id").alias("id")).distinct()
-    rewritten = merges.join(pairs, ["user_id", "master_id", "dup_id"], "left_semi").groupBy(
-        "user_id", F.col("master_id").alias("id")
-    )
+    rewritten = merges.drop("master_id").join(pairs, ["user_id", "dup_id"]).groupBy("user_id", F.col("master_id").alias("id"))
     rewritten = rewritten.agg(F.max("title").alias("new_title"), F.max("text").alias("new_text"))
-    facts = snapshot.facts.join(gone, ["user_id", "id"], "left_anti").join(rewritten, ["user_id", "id"], "left")
+    facts = _with_combined(snapshot.facts, pairs, "metadata", F.struct("own", "value"))
+    confidence = F.coalesce(F.expr("try_cast(value as double)"), F.lit(float("-inf")))
+    facts = _with_combined(facts, pairs, "aliases", F.struct(-confidence, "value"))
+    facts = facts.join(gone, ["user_id", "id"], "left_anti").join(rewritten, ["user_id", "id"], "left")
     changed = F.col("new_title").isNotNull() | F.col("new_text").isNotNull()
     facts = facts.withColumn("title", F.coalesce("new_title", "title"))
     facts = facts.withColumn("text", F.coalesce("new_text", "text"))
@@ -108,9 +151,9 @@ def merge_facts(snapshot: Snapshot, merges: DataFrame, ts=None, embed=None) -> t
     vectors = snapshot.vectors
     if vectors is not None:
         vectors = vectors.join(gone, ["user_id", "id"], "left_anti")
+        vectors = vectors.join(renewed.select("user_id", "id"), ["user_id", "id"], "left_anti")
         if embed is not None:
             new = embed(renewed.drop("category")).join(renewed.select("user_id", "id", "category"), ["user_id", "id"])
-            vectors = vectors.join(renewed.select("user_id", "id"), ["user_id", "id"], "left_anti")
             vectors = vectors.unionByName(new.select(*vectors.columns))
     merged = replace(
         snapshot,

@@ -284,7 +284,12 @@ _SIMPLE = {
                  a.master_id is not null or b.master_id is not null as moved
           from edges e left join merges a on a.dup_id = e.src left join merges b on b.dup_id = e.dst)
         where not (moved and src = dst) group by all""",
-    "merge_facts": "select user_id, id, title, category from facts where id not in (select dup_id from merges)",
+    "merge_facts": """
+        select f.user_id, f.id, f.title, f.category, f.brand, coalesce(cast(f.size as varchar), x.size) as size
+        from facts f left join (
+          select m.master_id, min(cast(p.size as varchar)) as size from merges m join facts p on p.id = m.dup_id group by 1
+        ) x on x.master_id = f.id
+        where f.id not in (select dup_id from merges)""",
     "merge_mentions": """
         select distinct m.user_id, m.diary_id, coalesce(x.keep, m.fact_id) as fact_id
         from mentions m left join (select user_id, id, min(id) over (partition by user_id, left(text, 3)) as keep from names) x

@@ -269,7 +269,7 @@ def merge_edges(s: Sample) -> DataFrame:
 
 @query
 def merge_facts(s: Sample) -> DataFrame:
-    return _merged(s)[0].facts.select("user_id", "id", "title", "category")
+    return _merged(s)[0].facts.select("user_id", "id", "title", "category", _meta("brand"), _meta("size"))
 
 
 @query

@@ -7,8 +7,10 @@ a batch that is run again after a failure replaces what it wrote before.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.changes import apply_changes
@@ -46,12 +48,22 @@ def version_path(root: str, version: int) -> str:
     return f"{root}/version={version}"
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def stored_tables(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Names of the tables that a version holds."""
+    return tuple(f.name for f in fields(Snapshot) if _exists(spark, f"{path}/{f.name}"))
+
+
 def stream_changes(
-    changes: DataFrame, root: str, checkpoint: str, tables: tuple[str, ...] = ("facts", "edges"), embed=None
+    changes: DataFrame, root: str, checkpoint: str, tables: tuple[str, ...] | None = None, embed=None
 ) -> StreamingQuery:
     """Fold change events into snapshots: batch n reads version n and writes version n + 1.
 
-    ``root`` holds ``version=0``. A batch that had already written its version is skipped,
+    ``root`` holds ``version=0``; all its tables, or those named, are carried on. A batch that had already written its version is skipped,
     which makes a rerun harmless; one that failed half way is written again from the
     same input, under its final name only after all tables are complete.
     """
@@ -66,7 +78,8 @@ def stream_changes(
             return
         partial = hadoop(f"{root}/_partial={batch_id + 1}")
         files.delete(partial, True)
-        before = read_snapshot(spark, version_path(root, batch_id), tables)
+        known = version_path(root, batch_id)
+        before = read_snapshot(spark, known, tables or stored_tables(spark, known))
         log = materialize(batch, "log")
         write_snapshot(apply_changes(before, log, embed), partial.toString())
         files.rename(partial, target)
@@ -74,13 +87,14 @@ def stream_changes(
     return _start(changes, fold, checkpoint)
 
 
-def latest_version(spark: SparkSession, root: str, tables: tuple[str, ...] = ("facts", "edges")) -> Snapshot:
+def latest_version(spark: SparkSession, root: str, tables: tuple[str, ...] | None = None) -> Snapshot:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     folder = hadoop(root)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [status.getPath().getName() for status in files.listStatus(folder)]
     versions = [int(name.split("=")[1]) for name in names if name.startswith("version=")]
-    return read_snapshot(spark, version_path(root, max(versions)), tables)
+    path = version_path(root, max(versions))
+    return read_snapshot(spark, path, tables or stored_tables(spark, path))
 
 
 def stream_duplicates(
@@ -90,18 +104,23 @@ def stream_duplicates(
     out: str,
     checkpoint: str,
     threshold: float = 0.85,
-    delay: str = "1 hour",
 ) -> StreamingQuery:
     """Check arriving facts against the known ones; rows as from ``check_new_facts`` below ``out``.
 
-    Events delivered twice within ``delay`` (by event_id, in event time ts) are dropped.
+    An event that was delivered before (by event_id) is dropped, however late its repeat is; an event
+    that is itself late is checked like any other. The ids seen are kept below ``out/_seen``, which
+    readers of ``out`` skip; a batch that is run again does not see its own.
     """
-    fresh = new_facts.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        # The stateful plan must run once per batch, so what it let through is stored.
-        arrived = materialize(batch, "arrived")
+        spark = batch.sparkSession
+        arrived = batch.dropDuplicates(["event_id"])
+        if _exists(spark, f"{out}/_seen"):
+            seen = spark.read.parquet(f"{out}/_seen").where(F.col("batch") < batch_id)
+            arrived = arrived.join(seen.select("event_id"), "event_id", "left_anti")
+        arrived = materialize(arrived.select(*batch.columns), "arrived")
         found = check_new_facts(arrived, facts, vectors, threshold)
         found.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        arrived.select("event_id").write.mode("overwrite").parquet(f"{out}/_seen/batch={batch_id}")
 
-    return _start(fresh, check, checkpoint)
+    return _start(new_facts, check, checkpoint)

@@ -249,10 +249,39 @@ def test_merge(spark, merging_case):
     assert set(got) == {(1, "R", 8), (1, "S", 8), (8, "T", 1), (1, "LOOP", 1), (8, "U", 8)}
     assert got[1, "R", 8] == {"of": "master"} and got[1, "S", 8] == {"of": "two"}
     assert sorted((r.diary_id, r.fact_id) for r in after.mentions.collect()) == [(70, 1), (71, 1)]
-    assert sorted(r.id for r in after.vectors.collect()) == [1, 8]
+    # The vector of the old title is gone; it has to be made anew.
+    assert sorted(r.id for r in after.vectors.collect()) == [8]
+    assert facts[1].metadata == {"k": "1", "l": "x", "m": "y", "text": "core"}
     assert sorted((r.id, r.key, r.value) for r in properties.collect()) == [(1, "k", "1"), (1, "k", "2"), (1, "l", "x"), (1, "m", "y")]
 
 
+def test_merged_aliases_keep_the_highest_confidence(spark, merging_case):
+    known = {1: {"ada": "0.4"}, 2: {"ada": "0.9", "lace": "high"}, 8: {"own": "1"}}
+    column = F.create_map(*[x for i, m in known.items() for x in (F.lit(i), F.create_map(*[F.lit(v) for e in m.items() for v in e]))])
+    facts = merging_case.facts.drop("aliases").withColumn("aliases", column[F.col("id")])
+    merges = spark.createDataFrame([("u", 1, 2, None, None)], MERGES)
+    after, _ = merging.merge_facts(replace(merging_case, facts=facts), merges)
+    got = {r.id: r.aliases for r in after.facts.collect()}
+    assert got[1] == {"ada": "0.9", "lace": "high"} and got[8] == {"own": "1"}
+
+
+def test_chained_merges_end_in_the_last_master(spark, merging_case):
+    merges = spark.createDataFrame([("u", 2, 3, None, None), ("u", 8, 2, None, "B"), ("u", 8, 1, None, None)], MERGES)
+    after, properties = merging.merge_facts(merging_case, merges)
+    facts = {(r.user_id, r.id): r.text for r in after.facts.collect()}
+    assert set(facts) == {("u", 8), ("v", 9)} and facts["u", 8] == "B"
+    assert {(r.src, r.dst) for r in after.edges.collect()} == {(8, 8)}
+    assert {r.fact_id for r in after.mentions.collect()} == {8}
+    assert {r.id for r in properties.collect()} == {8}
+
+
+@pytest.mark.parametrize("rows", [[(1, 3), (2, 3)], [(1, 2), (2, 1)]])
+def test_merges_that_contradict_are_refused(spark, merging_case, rows):
+    merges = spark.createDataFrame([("u", m, d, None, None) for m, d in rows], MERGES)
+    with pytest.raises(ValueError, match="master|circle"):
+        merging.merge_facts(merging_case, merges)
+
+
 def test_merge_without_a_master_changes_nothing(spark, merging_case):
     merges = spark.createDataFrame([("u", 404, 2, None, None)], MERGES)
     after, properties = merging.merge_facts(merging_case, merges)
@@ -316,6 +345,32 @@ def test_events_delivered_twice_are_checked_once(spark, tmp_path):
     assert sorted((r.id, r.partners, r.best_similarity) for r in got) == [(101, 2, 1.0), (102, 1, 1.0)]
 
 
+def test_late_events_are_checked(spark, tmp_path):
+    """The second run brings an older event, one that was seen, and a new one."""
+    facts = spark.createDataFrame([("u", 1, "Tool", "A b")], "user_id string, id int, category string, title string")
+    vectors = spark.createDataFrame([("u", 1, [1.0, 0.0])], "user_id string, id int, embedding array<float>")
+    schema = "event_id int, ts timestamp, user_id string, id int, category string, title string, embedding array<float>"
+    parts = [[(1, 20)], [(2, 1), (1, 20), (3, 21)]]
+    for events in parts:
+        rows = [(e, dt.datetime(2024, 1, day), "u", 100 + e, "Tool", "a b", [1.0, 0.0]) for e, day in events]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = jobs.file_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema)
+        jobs.stream_duplicates(stream, facts, vectors, f"{tmp_path}/out", f"{tmp_path}/p", 0.9).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r.id, r.batch) for r in got) == [(101, 0), (102, 1), (103, 1)]
+
+
+def test_streamed_changes_carry_all_tables(spark, merging_case, tmp_path):
+    root, source = f"{tmp_path}/store", f"{tmp_path}/log"
+    tables.write_snapshot(merging_case, jobs.version_path(root, 0))
+    log(spark, change(1, "delete", 2)).coalesce(1).write.parquet(source)
+    stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema)
+    jobs.stream_changes(stream, root, f"{tmp_path}/progress").awaitTermination()
+    latest = jobs.latest_version(spark, root)
+    assert sorted(r.id for r in latest.vectors.collect()) == [1, 3, 8]
+    assert sorted((r.diary_id, r.fact_id) for r in latest.mentions.collect()) == [(70, 1), (71, 3)]
+
+
 def test_assigned_ids_stay(spark):
     rows = chg.assign_ids(spark.range(50).select(F.col("id").alias("n")))
     assert sorted(rows.collect()) == sorted(rows.collect())

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.blocks import carried, coded, text_blocks, words
+from factloom.session import materialize
 
 #: First and last code point of the main blocks of scripts (fixed values of Unicode); others are script 0.
 SCRIPTS = [
@@ -107,7 +108,8 @@ def learn_languages(labelled: DataFrame, per_language: int = 2000, script_share:
     """
     rows = labelled.where("text is not null and lang is not null").select("text", "lang")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    rate = counts.select("lang", (F.lit(per_language * 2.0**32) / F.col("n")).alias("rate"))
+    # One row per language, stored so that its size is known: then texts are drawn where they are read.
+    rate = materialize(counts.select("lang", (F.lit(per_language * 2.0**32) / F.col("n")).alias("rate")), "rate")
     sample = rows.join(rate, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.col("rate")).select("text", "lang")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,8 +20,8 @@ _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 UNKNOWN_PENALTY = 10.0
 #: Kinds of a piece in a model file (fixed values of the public format).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-KNOWN_LIMIT = 400_000
-BLOCK = 12_000_000
+KNOWN_LIMIT = 300_000
+BLOCK = 6_000_000
 
 
 def make_trie(score: dict[str, tuple[float, int]]) -> dict:

@@ -60,7 +60,8 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -
         placed.groupBy("h1", "h2", "doc_id", "version").agg(F.collect_set("pos").alias("positions")), "lines"
     )
     common = placed.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    common = common.where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
+    # Stored, so that the join sees its size: it is broadcast if small, else a hot hash can be split.
+    common = materialize(common.where(F.col("n") >= min_docs).select("h1", "h2", "keeper"), "common")
     dropped = placed.join(common, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     dropped = dropped.groupBy(F.col("doc_id").alias("__doc"), F.col("version").alias("__version")).agg(
         F.flatten(F.collect_list("positions")).alias("__drop")

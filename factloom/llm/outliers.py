@@ -114,7 +114,9 @@ def place_in_groups(rows: DataFrame, least: int) -> DataFrame:
         .when(F.col("n_one") >= least, F.concat(F.lit("language "), F.col("one")))
         .when(F.col("n_all") >= least, F.lit("all"))
     )
-    return named.join(places.select("both", level.alias("grp")), "both").drop("both", "one")
+    # Stored, as all tables of groups here: joins then see their size, so they are broadcast or a hot group is split.
+    places = materialize(places.select("both", level.alias("grp")), "places")
+    return named.join(places, "both").drop("both", "one")
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -158,7 +160,7 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 5) ->
     both = rows.select("grp", "x")
     plain = _moments(both, ["grp"]).withColumn("start", F.lit(0)).select("grp", "start", "n", "s", "ss")
     middle = both.groupBy("grp").agg(*[F.percentile_approx(F.col("x")[i], F.lit(0.5), F.lit(10000)).alias(f"m{i}") for i in range(SIZE)])
-    away = both.join(middle, "grp")
+    away = both.join(materialize(middle, "middle"), "grp")
     spread = away.groupBy("grp").agg(
         *[F.percentile_approx(F.abs(F.col("x")[i] - F.col(f"m{i}")), F.lit(0.5), F.lit(10000)).alias(f"d{i}") for i in range(SIZE)],
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(SIZE)],
@@ -171,6 +173,7 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 5) ->
     for _ in range(steps):
         far = both.join(fit, "grp").select("grp", "start", "x", _distance(F.col("x"), F.col("centre"), F.col("inverse")).alias("d2"))
         limit = far.groupBy("grp", "start").agg(F.percentile_approx("d2", F.lit(share), F.lit(10000)).alias("limit"))
+        limit = materialize(limit, "limit")
         near = far.join(limit, ["grp", "start"]).where(F.col("d2") <= F.col("limit"))
         fit = materialize(_moments(near, ["grp", "start"]).mapInPandas(_fit, _FIT), "fit")
     best = fit.groupBy("grp").agg(F.min_by("start", F.struct("log_det", "start")).alias("start"))
@@ -178,7 +181,7 @@ def minimum_covariance(rows: DataFrame, share: float = 0.75, steps: int = 5) ->
     far = both.join(fit, "grp").select("grp", _distance(F.col("x"), F.col("centre"), F.col("inverse")).alias("d2"))
     half = far.groupBy("grp").agg(F.percentile_approx("d2", F.lit(0.5), F.lit(10000)).alias("half"))
     scale = F.greatest(F.col("half") / F.lit(chi_square_quantile(0.5, SIZE)), F.lit(1.0))
-    return fit.join(half.select("grp", scale.alias("scale")), "grp")
+    return materialize(fit.join(half.select("grp", scale.alias("scale")), "grp"), "fit")
 
 
 def judge_documents(docs: DataFrame, confidence: float = 1 - 1e-7, share: float = 0.75, least: int = 50) -> DataFrame:

@@ -85,7 +85,8 @@ def _replace_words(texts: pd.Series, fixes: pd.Series) -> pd.Series:
 def link_names(texts: DataFrame, names: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """Wrap known names as ``[[Name]]``: key + the text column. Longer names win.
 
-    ``texts``: user_id, key, text; ``names``: user_id, name. Case matters.
+    ``texts``: user_id, key, text; ``names``: user_id, name. Case matters. A name counts only where
+    no letter, digit or underscore touches it, and what stands in ``[[…]]`` already stays as it is.
     """
     scope = ["user_id"]
     source = texts.select(*scope, *key, F.col(text).alias("text"))
@@ -95,8 +96,12 @@ def link_names(texts: DataFrame, names: DataFrame, key: list[str], text: str = "
     sized = F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("p"))
     quoted = F.transform(F.array_sort(F.collect_set(sized)), lambda s: F.regexp_replace(s["p"], r"([^\p{L}\p{N}_ ])", r"\\$1"))
     wanted = found.groupBy(*scope, *key).agg(F.array_join(quoted, "|").alias("_names"))
+    # Links are matched too, so that the search goes on behind them; they are put back unchanged.
+    link_or_name = F.concat(
+        F.lit(r"\[\[([^\[\]]*)\]\]|(?<![\p{L}\p{N}_])("), F.col("_names"), F.lit(r")(?![\p{L}\p{N}_])")
+    )
     linked = F.when(F.col("_names").isNull(), F.col(text)).otherwise(
-        F.regexp_replace(F.col(text), F.col("_names"), F.lit("[[$0]]"))
+        F.regexp_replace(F.col(text), link_or_name, F.lit("[[$1$2]]"))
     )
     return texts.join(wanted, [*scope, *key], "left").withColumn(text, linked).drop("_names")
 

@@ -165,6 +165,11 @@ VIEWS = {
           union all select u, c_mktsegment from customer, unnest([0, 1, 2, 3]) as t(u))""",
 }
 
+
+def _marked(text: str) -> str:
+    return rf"regexp_replace({text}, '({_WORD}+)', concat(chr(1), '\1', chr(2)), 'g')"
+
+
 # Views that others are defined by, beyond those their text names in a from clause.
 _RECURSIVE = {"reach"}
 
@@ -372,10 +377,12 @@ _SIMPLE = {
               from events left join part on p_partkey = event_id // 5) i
         left join (select user_id, title, min(id) as id from facts group by all) k
           on k.user_id = i.user_id and lower(k.title) = lower(i.title)""",
-    "wikilinks": """
-        select d.id, case when p.pattern is null then d.content else regexp_replace(d.content, p.pattern, '[[\\0]]', 'g') end as content
+    # chr(1) and chr(2) mark where words begin and end, so that names match whole words only.
+    "wikilinks": rf"""
+        select d.id, case when p.pattern is null then d.content else translate(regexp_replace({_marked('d.content')},
+            concat('\[\[([^\[\]]*)\]\]|(', p.pattern, ')'), '[[\1\2]]', 'g'), concat(chr(1), chr(2)), '') end as content
         from diary d left join (
-          select d.id, string_agg(regexp_escape(n.text), '|' order by length(n.text) desc, n.text) as pattern
+          select d.id, string_agg(regexp_escape({_marked('n.text')}), '|' order by length(n.text) desc, n.text) as pattern
           from diary d join names n on n.user_id = d.user_id and contains(d.content, n.text) group by d.id) p using (id)""",
     "file_name_dates": "select event_id, date_trunc('second', ts) as recorded_at from events",
     "direct_addresses": r"""

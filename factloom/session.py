@@ -31,12 +31,16 @@ def build_session(app_name: str = "factloom", **conf: str) -> SparkSession:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder stands in.
+    Only where that is unset and everything runs in one process (tests) a temporary folder
+    stands in. On a cluster each executor would write to a folder of its own and rows would
+    be missing when they are read back, so there an unset folder is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     if configured:
         return f"{configured.rstrip('/')}/{app}"
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if app not in _fallback_roots:
         _fallback_roots[app] = tempfile.mkdtemp(prefix="spark-")
     return _fallback_roots[app]

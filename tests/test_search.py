@@ -58,7 +58,7 @@ def test_alias_boost(spark):
     df = spark.createDataFrame(
         [
             ("tim", {"Tim": "0.8"}),
-            ("tim", {"Tim Lohman": "0.8", "T": "x"}),
+            ("tim", {"Tim Marsh": "0.8", "T": "x"}),
             ("tim", {"": "1.0"}),
             ("tim", {"Tim": "high", "im": "0.4"}),
             ("tim", None),
@@ -149,15 +149,15 @@ def test_substrings_equal_brute_force(spark, bound):
 def test_mentions_by_text_and_alias(spark):
     facts = spark.createDataFrame(
         [
-            ("u", 1, "People", "Tim Lohman", {"Timmy": "1"}),
+            ("u", 1, "People", "Ivo Marsh", {"Ivory": "1"}),
             ("u", 2, "Client", "SAP", None),
             ("u", 3, "Tool", "spark", None),
-            ("v", 4, "People", "Tim Lohman", None),
+            ("v", 4, "People", "Ivo Marsh", None),
         ],
         "user_id string, id int, category string, text string, aliases map<string,string>",
     )
     diary = spark.createDataFrame(
-        [("u", 10, "met timmy and TIM LOHMAN at wsapx"), ("u", 11, "spark only")], "user_id string, id int, content string"
+        [("u", 10, "met ivory and IVO MARSH at wsapx"), ("u", 11, "spark only")], "user_id string, id int, content string"
     )
     assert rows(link_mentions(diary, facts), "diary_id", "fact_id") == [(10, 1), (10, 2)]
     listed = facts.withColumn("aliases", F.map_keys("aliases"))

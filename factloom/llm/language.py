@@ -29,6 +29,8 @@ _SCRIPT = np.array([_NAMES.index(name) for _, _, name in SCRIPTS])
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 LONG_TEXT = 1500
+#: Bytes of text worked on at once: scores take a double for each word and language.
+BLOCK = 1_500_000
 UNDETERMINED = "und"
 
 
@@ -113,7 +115,7 @@ def learn_languages(labelled: DataFrame, per_language: int = 2000, script_share:
     sample = rows.join(rate, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < F.col("rate")).select("text", "lang")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK):
             flat, row = words(block.column("__text"))
             if not len(flat):
                 continue
@@ -223,7 +225,7 @@ def identify_languages(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = [*model.languages, UNDETERMINED]
-        for block in text_blocks(batches):
+        for block in text_blocks(batches, limit=BLOCK):
             n = len(block)
             flat, row = words(block.column("__text"))
             best, share = np.full(n, len(names) - 1), np.zeros(n)

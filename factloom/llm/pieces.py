@@ -190,19 +190,20 @@ def encode_block(model: PieceModel, known: dict[str, np.ndarray], texts: pa.Arra
     return joined_runs(parts, keys[plain], row[plain], whole, len(texts))
 
 
-def encode_pieces(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, carry: tuple[str, ...] = ("doc_id",), block_bytes: int = BLOCK) -> DataFrame:
     """The columns ``carry`` with ids (array<int>) for every row of ``docs``, which has text.
 
     Ids are those of the best-scoring segmentation under the scores of the model file at
     ``model_path``, which every worker can read; ties go to the segmentation found first. A null or
     empty text has no ids. Characters without a piece become byte pieces. Any text can be decoded to
-    itself. Rows stay where they are; nothing is shuffled. Other columns are ignored.
+    itself. Rows stay where they are; nothing is shuffled. Other columns are ignored. Texts are worked on
+    in blocks of about ``block_bytes``: smaller ones take less memory, larger ones find more words again.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model(model_path)
         known = _known.setdefault(model_path, {})
-        for block in text_blocks(batches, limit=BLOCK):
+        for block in text_blocks(batches, limit=block_bytes):
             ids, sizes = encode_block(model, known, block.column("__text"))
             arrays = [*[block.column(c) for c in carry], list_array(ids, sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(arrays, [*carry, "ids"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from factloom.llm.mixing import mix_documents, rake
+from factloom.llm.near_texts import drop_near_texts
 from factloom.llm.neighbours import Settings, near_duplicate_vectors
 from factloom.llm.shards import shard_documents
 from tests.conftest import SMALL
@@ -208,3 +209,56 @@ def test_pipeline_takes_odd_rows(spark, odd):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
         docs.count()
+
+
+def plain_kept(rows):
+    """Brute force: (doc_id, text) that stay of components of Jaccard >= 0.8, by doc_id then any text."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or (both and both / len(sets[i] | sets[j]) >= 0.8):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    groups = defaultdict(list)
+    for x, row in zip(label, rows, strict=True):
+        groups[x].append(row)
+    return [min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()], groups
+
+
+def planted_texts(rng):
+    """Texts, each with copies in which one to all words were changed, and a group of many near copies."""
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n in (3, 6, 30, 80, 200, 400):
+        for _ in range(6):
+            text = [rng.choice(vocabulary) for _ in range(n)]
+            rows.append(" ".join(text))
+            for share in (0.004, 0.01, 0.02, 0.03, 0.05, 0.2):
+                other = [rng.choice(vocabulary) if rng.random() < share else w for w in text]
+                rows.append(" ".join(other).title())
+    text = [rng.choice(vocabulary) for _ in range(150)]
+    for _ in range(150):
+        other = list(text)
+        other[rng.randrange(150)] = rng.choice(vocabulary)
+        rows.append(" ".join(other))
+    rows += [rows[5]] * 40 + ["", None, " \n "]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("tile", [40, 2048])
+def test_near_texts_against_brute_force(spark, rng, tile):
+    rows = planted_texts(rng)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, groups = plain_kept(rows)
+    assert 40 < len(groups) < len(rows) - 200
+    assert sorted(r.doc_id for r in drop_near_texts(frame, tile=tile).collect()) == sorted(want)
+    if tile == 2048:
+        docs = frame.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.char_length("text").cast("long")})
+        stage = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SMALL)
+        assert sorted(r.doc_id for r in stage.collect()) == sorted(want)

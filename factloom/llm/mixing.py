@@ -26,7 +26,28 @@ def tempered_shares(cells: DataFrame, dim: str, alpha: float) -> DataFrame:
     return powers.crossJoin(powers.agg(F.sum("power").alias("all"))).select(dim, (F.col("power") / F.col("all")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-9) -> DataFrame:
+def bounded_shares(cells: DataFrame, dim: str, target: DataFrame, rate: float) -> DataFrame:
+    """Shares (dim, share) of ``rate`` of all tokens that ask no class for more tokens than it has.
+
+    A class that has fewer than its target gives all it has; what is missing goes to the others in proportion
+    to their targets. All are capped together at a multiple of their shares, found in a few aggregates."""
+    classes = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("most")).join(target.where("share > 0"), dim)
+    classes = materialize(classes, "classes")
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    wanted, scale, taken = rate * total, 0.0, -1
+    while True:
+        full = F.col("share") * F.lit(scale) >= F.col("most")
+        seen = classes.agg(F.count(F.when(full, 1)), F.sum(F.when(full, F.col("most"))), F.sum(F.when(~full, F.col("share")))).first()
+        if seen[0] == taken or not seen[2]:
+            break
+        taken, scale = seen[0], (wanted - (seen[1] or 0.0)) / seen[2]
+    given = F.least(F.col("share") * F.lit(scale), F.col("most")) if seen[2] else F.col("most")
+    return classes.select(dim, (given / F.lit(wanted or 1.0)).alias("share"))
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tolerance: float = 1e-9, total: float | None = None
+) -> DataFrame:
     """Iterative proportional fitting of ``cells`` (the dims, tokens) to ``targets`` (dim -> (dim, share)).
 
     Adds ``weight``, which starts at the tokens and is scaled to each target in turn until a whole
@@ -34,16 +55,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 30, tole
     weights can meet together; the last dim is then met exactly). A class without a target, or with
     target zero, gets no weight. Each scaling is an aggregate and a join over cells, never a window
     over all cells of a class.
+
+    With ``total``, weights are tokens to draw: the targets are shares of it, and no cell gets more than it
+    has; the other cells of its classes take the excess in the next rounds.
     """
     cells = materialize(cells.where(F.col("tokens") > 0).withColumn("weight", F.col("tokens").cast("double")), "cells")
     for _ in range(rounds):
         change = F.lit(0.0)
         for dim, target in targets.items():
             sums = cells.groupBy(dim).agg(F.sum("weight").alias("margin")).where(F.col("margin") > 0)
-            factor = sums.join(target, dim).select(dim, (F.col("share") / F.col("margin")).alias("factor"))
+            factor = sums.join(target, dim).select(dim, (F.col("share") * F.lit(float(total or 1.0)) / F.col("margin")).alias("factor"))
             cells = cells.join(factor, dim)
             change = F.greatest(change, F.abs(F.col("factor") - 1))
-            cells = cells.withColumn("weight", F.col("weight") * F.col("factor")).withColumn("change", change)
+            weight = F.col("weight") * F.col("factor")
+            weight = weight if total is None else F.least(weight, F.col("tokens").cast("double"))
+            cells = cells.withColumn("weight", weight).withColumn("change", change)
             cells, change = cells.drop("factor"), F.col("change")
         cells = materialize(cells, "raked")
         worst = cells.agg(F.max("change")).first()[0] or 0.0
@@ -64,6 +90,7 @@ def mix_documents(
     alphas: dict[str, float] | None = None,
     targets: dict[str, DataFrame] | None = None,
     rate: float | None = None,
+    once: bool = False,
 ) -> DataFrame:
     """Sample documents so that their tokens meet marginal targets.
 
@@ -74,7 +101,9 @@ def mix_documents(
     Returns doc_id, the dims, n_tokens (words), expected (calibrated number of copies; a probability if at
     most 1) and copies, the drawn number: the whole part of ``expected`` and one more with the remaining
     probability. ``rate`` is the number of tokens wanted, relative to all; None takes the largest at
-    which no document is wanted more than once. The draw depends on doc_id alone, so rows that repeat an
+    which no document is wanted more than once. ``once`` bounds the expected number of a cell at 1 at a given
+    ``rate`` (at most 1) and hands its excess to other cells, so that no single cell decides on the size of
+    the sample; classes too small for their target are taken whole. The draw depends on doc_id alone, so rows that repeat an
     id are drawn alike and a rerun gives the same sample. Documents in cells without tokens, or in classes
     without a target, are expected 0 times. Columns other than these are ignored. An empty table gives
     an empty result.
@@ -92,11 +121,16 @@ def mix_documents(
         shares = {f"__{d}": t.select(_class(F.col(d)).alias(f"__{d}"), "share") for d, t in targets.items()}
     else:
         shares = {f"__{d}": materialize(tempered_shares(cells, f"__{d}", a), "shares") for d, a in alphas.items()}
-    raked = rake(cells, shares)
+    if once:
+        size = rate * (cells.agg(F.sum("tokens")).first()[0] or 0)
+        shares = {d: bounded_shares(cells, d, t, rate) for d, t in shares.items()}
+        raked = rake(cells, shares, total=size or None)
+    else:
+        raked = rake(cells, shares)
     ratio = F.col("weight") / F.col("tokens")
     scale = raked.agg(F.sum("tokens").alias("all"), F.sum("weight").alias("weights"), F.max(ratio).alias("most")).first()
     total = scale["all"] or 0
-    factor = (rate * total / (scale["weights"] or 1.0)) if rate is not None else 1.0 / (scale["most"] or 1.0)
+    factor = 1.0 if once else (rate * total / (scale["weights"] or 1.0)) if rate is not None else 1.0 / (scale["most"] or 1.0)
     wanted = raked.select(*keys, (ratio * F.lit(float(factor))).alias("expected"))
     found = narrow.join(wanted, keys, "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
     whole = F.floor(F.col("expected"))

@@ -59,6 +59,30 @@ def test_sample_meets_targets(spark):
     assert single[0] == pytest.approx(1.0) and single[1] == 1
 
 
+def test_a_tiny_source_does_not_shrink_the_sample(spark):
+    """The rate holds whatever the rarest cell is; a class too small for its target is taken whole."""
+    docs = spark.range(12_000).select(
+        F.col("id").alias("doc_id"),
+        F.repeat(F.lit("word "), (F.col("id") % 7 + 20).cast("int")).alias("text"),
+        F.when(F.col("id") == 5, "tiny").when(F.col("id") % 10 == 0, "small").otherwise("hot").alias("source"),
+        F.when(F.col("id") % 5 == 0, None).otherwise("en").alias("lang"),
+    )
+    out = mix_documents(docs, {"source": 0.7, "lang": 0.8}, rate=0.5, once=True).collect()
+    everything = sum(r.n_tokens for r in out)
+    assert max(r.expected for r in out) <= 1 + 1e-9 and {r.copies for r in out} == {0, 1}
+    assert sum(r.expected * r.n_tokens for r in out) == pytest.approx(0.5 * everything, rel=1e-3)
+    assert sum(r.copies * r.n_tokens for r in out) == pytest.approx(0.5 * everything, rel=0.03)
+    assert [r.expected for r in out if r.source == "tiny"] == pytest.approx([1.0], abs=1e-3)
+
+
+def test_pipeline_mixing_keeps_its_rate(spark, small_docs):
+    one = spark.createDataFrame([(-1, "three short words", "en", "tiny", 17)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = small_docs.select(*corpus_pipeline.COLUMNS).unionByName(one)
+    n_words = F.sum(F.size(F.split(F.trim("text"), r"\s+")))
+    kept = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, SMALL).agg(n_words).first()[0]
+    assert kept / docs.agg(n_words).first()[0] == pytest.approx(0.5, abs=0.12)
+
+
 def test_mixing_odd_rows(odd, empty):
     out = mix_documents(odd, {"source": 0.5, "lang": 0.5}, rate=1.0).collect()
     assert len(out) == odd.count()

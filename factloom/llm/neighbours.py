@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from math import ceil, log2
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ class Settings:
     threshold: float = 0.95
     k: int = 8  # neighbours of a node at first
     k_most: int = 64  # beyond this, saturated nodes are compared in tiles
-    trees: int = 6
+    trees: int = 6  # at least; more as the number of vectors grows
     rounds: int = 8
     settled: float = 0.01  # share of list entries that change in the last round
     recall: float = 0.95
-    audited: int = 512
+    audited: int = 512  # at a time, until they hold ``audited_links`` links or are ``audited_most``
+    audited_links: int = 400
+    audited_most: int = 16384
     tries: int = 3
 
 
@@ -143,22 +146,31 @@ def _last(s: Settings) -> Column:
     return F.when(full, last).when(F.col("k") > s.k, F.lit(np.nextafter(s.threshold, 0.0).item())).otherwise(F.lit(-1.5))
 
 
+def trees_for(bits: int, attempt: int, s: Settings) -> int:
+    """Trees in which a pair at the threshold, without other neighbours, shares a leaf with probability
+    ``s.recall``; twice as many in each further attempt."""
+    shared = (1 - acos(max(-1.0, min(1.0, s.threshold))) / pi) ** bits
+    needed = ceil(log(1 - s.recall) / log(1 - shared)) if 0 < shared < 1 and s.recall < 1 else 1
+    return max(s.trees, needed) << attempt
+
+
 def initial_graph(nodes: DataFrame, graph: DataFrame, n: int, seed: int, s: Settings) -> DataFrame:
     """Lists from the leaves of random hyperplane trees, merged into ``graph``."""
     bits = max(0, ceil(log2(max(1, n / LEAF))))
+    trees = trees_for(bits, seed, s)
 
     def leaves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         power = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
             values, at = list_parts(batch.column("vec"))
             dims = np.diff(at)
-            code = np.zeros((len(batch), s.trees), np.int64)
+            code = np.zeros((len(batch), trees), np.int64)
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
                 unit = _units(np.concatenate([values[at[i] : at[i + 1]] for i in rows]), len(rows))
-                for tree in range(s.trees):
+                for tree in range(trees):
                     code[rows, tree] = (unit @ _planes(dim, seed * 1000 + tree, bits) > 0) @ power
-            leaf = list_array(code.ravel(), np.full(len(batch), s.trees), pa.int64())
+            leaf = list_array(code.ravel(), np.full(len(batch), trees), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node"), leaf], ["node", "leaves"])
 
     placed = nodes.select("node", "vec").mapInArrow(leaves, "node long, leaves array<long>")
@@ -230,14 +242,15 @@ def _score_tiles(batches: Iterable[pa.RecordBatch], threshold: float) -> Iterato
                 [
                     pa.array(np.concatenate([ids, to])),
                     pa.array(np.concatenate([linked @ weight, np.zeros(len(to), np.int64)])),
+                    pa.array(np.concatenate([linked.sum(1), np.zeros(len(to), np.int64)])),
                     pa.array([None] * len(ids) + low.tolist(), pa.int64()),
                 ],
-                ["node", "n", "link"],
+                ["node", "n", "partners", "link"],
             )
 
 
 def dense_links(dense: DataFrame, s: Settings) -> DataFrame:
-    """Links among saturated nodes ``dense`` (node, component, copies, vec, dim): (node, n, link).
+    """Links among saturated nodes ``dense`` (node, component, copies, vec, dim): (node, n, partners, link).
 
     They lie in groups so tight that lists would hold every pair. Per component they are cut into tiles,
     tile pairs are compared as matrices, and counts and spanning links come out, not pairs."""
@@ -250,12 +263,12 @@ def dense_links(dense: DataFrame, s: Settings) -> DataFrame:
     rows = rows.select(
         "node", "copies", "vec", "tile", F.least("tile", other).alias("low"), F.greatest("tile", other).alias("high")
     )
-    return _dealt(rows, ["low", "high"]).mapInArrow(lambda b: _score_tiles(b, s.threshold), "node long, n long, link long")
+    return _dealt(rows, ["low", "high"]).mapInArrow(lambda b: _score_tiles(b, s.threshold), "node long, n long, partners long, link long")
 
 
 @dataclass
 class Links:
-    """counts: (node, n_links) in other rows; edges: (a, b), which connect all that is linked."""
+    """counts: (node, n_links in other rows, partners in other nodes); edges: (a, b), which connect all that is linked."""
 
     counts: DataFrame
     edges: DataFrame
@@ -275,43 +288,58 @@ def collect_links(nodes: DataFrame, graph: DataFrame, s: Settings) -> Links:
     both = both.join(saturated.select(F.col("node").alias("b"), F.lit(1).alias("sb")), "b", "left")
     sparse = both.where("sa is null or sb is null").select("a", "b")
     turned = sparse.unionByName(sparse.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weighed = turned.join(nodes.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("n"))
-    own = nodes.select("node", (F.col("copies") - 1).alias("n"))
-    counts = weighed.unionByName(own).unionByName(scored.select("node", "n"))
-    counts = counts.groupBy("node").agg(F.sum("n").alias("n_links"))
+    weighed = turned.join(nodes.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("n"), F.lit(1).cast("long").alias("partners"))
+    own = nodes.select("node", (F.col("copies") - 1).alias("n"), F.lit(0).cast("long").alias("partners"))
+    counts = weighed.unionByName(own).unionByName(scored.select("node", "n", "partners"))
+    counts = counts.groupBy("node").agg(F.sum("n").alias("n_links"), F.sum("partners").alias("partners"))
     edges = pairs.unionByName(scored.where("link is not null").select(F.col("node").alias("a"), F.col("link").alias("b")))
     return Links(counts, edges.distinct())
 
 
 def audit(nodes: DataFrame, counts: DataFrame, s: Settings) -> float:
-    """Recall of links, measured by comparing a fixed number of nodes with all others, in blocks."""
-    spark = nodes.sparkSession
-    queries = nodes.join(counts, "node").orderBy(F.xxhash64("h1"), "node").limit(s.audited).select("node", "vec", "copies", "n_links").collect()
+    """Recall of links between different vectors, each partner counted once however many rows share it.
+
+    Nodes are compared with all others, ``s.audited`` at a time, until they hold enough true links, all nodes
+    were compared, or ``s.audited_most``; too few links then are reported as a warning."""
+    drawn = materialize(nodes.join(counts, "node").select("node", "vec", "partners", F.xxhash64("h1").alias("order")), "drawn")
+    n, done, there, found = drawn.count(), 0, 0, 0
+    while done < min(n, s.audited_most) and there < s.audited_links:
+        queries = drawn.orderBy("order", "node").offset(done).limit(s.audited).collect()
+        true = _true_partners(nodes, queries, s.threshold)
+        there += sum(true.values())
+        found += sum(min(q["partners"], true[q["node"]]) for q in queries)
+        done += len(queries)
+    if there < s.audited_links and done < n:
+        logging.getLogger(__name__).warning("recall is measured on %d links only, of %d of %d vectors", there, done, n)
+    return found / there if there else 1.0
+
+
+def _true_partners(nodes: DataFrame, queries: list, threshold: float) -> dict[int, int]:
+    """Number of other nodes that each of ``queries`` is linked with, by comparing all, in blocks."""
     by_dim: dict[int, tuple[list[int], np.ndarray]] = {}
     for dim in {len(q["vec"]) for q in queries}:
         rows = [q for q in queries if len(q["vec"]) == dim]
         by_dim[dim] = [q["node"] for q in rows], _units(np.array([q["vec"] for q in rows]), len(rows))
-    shared = spark.sparkContext.broadcast(by_dim)
+    shared = nodes.sparkSession.sparkContext.broadcast(by_dim)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for batch in batches:
             values, at = list_parts(batch.column("vec"))
-            copies = batch.column("copies").to_numpy()
+            node = batch.column("node").to_numpy()
             dims = np.diff(at)
             for dim, (ids, unit) in shared.value.items():
                 rows = np.flatnonzero(dims == dim)
                 if len(rows):
                     others = _units(np.concatenate([values[at[i] : at[i + 1]] for i in rows]), len(rows))
-                    found = (unit @ others.T >= s.threshold) @ copies[rows]
-                    for ident, number in zip(ids, found.tolist(), strict=True):
+                    linked = unit @ others.T >= threshold
+                    linked &= np.array(ids)[:, None] != node[rows]  # a vector is not linked with itself
+                    for ident, number in zip(ids, linked.sum(1).tolist(), strict=True):
                         total[ident] = total.get(ident, 0) + number
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["node", "n"])
 
-    exact = nodes.select("vec", "copies").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    true = {r["node"]: r["n"] - 1 for r in exact.collect()}  # a vector is not linked with itself
-    there = sum(true.values())
-    return sum(min(q["n_links"], true[q["node"]]) for q in queries) / there if there else 1.0
+    exact = nodes.select("node", "vec").mapInArrow(count, "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
+    return {r["node"]: r["n"] for r in exact.collect()}
 
 
 def near_duplicate_vectors(vectors: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -320,8 +348,9 @@ def near_duplicate_vectors(vectors: DataFrame, settings: Settings | None = None)
 
     n_links counts the other rows linked directly, component_id is the smallest vec_id reachable, kept says
     that it is the row's own. Cosines are in double precision; no link below the threshold is counted.
-    The method is approximate: its recall is measured, and the search goes on with new random trees until
-    the measured recall reaches ``settings.recall`` or ``settings.tries`` attempts are made.
+    The method is approximate: its recall of links between different vectors is measured, and the search
+    goes on with new random trees, twice as many each time, until it reaches ``settings.recall``. If
+    ``settings.tries`` attempts do not reach it, that is an error, which states the recall.
 
     Vectors that are null or empty, all zero, or hold null or non-finite components link with nothing, nor do
     vectors of different lengths, nor rows without vec_id (component_id null, kept false). Equal vectors
@@ -343,8 +372,11 @@ def near_duplicate_vectors(vectors: DataFrame, settings: Settings | None = None)
         graph = refine(nodes, graph, n, attempt, s)
         links = collect_links(nodes, graph, s)
         links.counts = materialize(links.counts, "counts")
-        if audit(nodes, links.counts, s) >= s.recall:
+        recall = audit(nodes, links.counts, s)
+        if recall >= s.recall:
             break
+    else:
+        raise RuntimeError(f"recall of links is {recall:.4f} after {s.tries} attempts, below {s.recall}")
     labels = connected_components(links.edges, [])
     grouped = nodes.select("node", "h1", "h2", "first_id").join(labels, "node", "left")
     grouped = grouped.withColumn("component", F.coalesce("component", "node"))

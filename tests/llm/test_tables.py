@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from factloom.llm import neighbours
 from factloom.llm.mixing import mix_documents, rake
 from factloom.llm.near_texts import drop_near_texts
 from factloom.llm.neighbours import Settings, near_duplicate_vectors
@@ -199,6 +200,23 @@ def test_odd_vectors(spark):
     assert near_duplicate_vectors(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies, pairs", [(2000, 60), (1, 1)])
+def test_lost_links_are_an_error(spark, monkeypatch, copies, pairs):
+    """Links between different vectors all lost: copies, or a sample without links, must not hide it."""
+    r = np.random.default_rng(5)
+    base = r.standard_normal((1200, 24))
+    rows = [*base, *(base[:pairs] + 0.01 * r.standard_normal((pairs, 24))), *[base[700]] * (copies - 1)]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "initial_graph", lambda nodes, graph, *rest: graph)
+    with pytest.raises(RuntimeError, match=r"recall of links is 0\.0000 after 1 attempts"):
+        near_duplicate_vectors(frame, Settings(rounds=0, tries=1, audited=128)).count()
+
+
+def test_trees_grow_with_the_number_of_vectors():
+    assert [neighbours.trees_for(bits, 0, Settings()) for bits in (0, 4, 14, 20)] == [6, 6, 12, 24]
+    assert neighbours.trees_for(4, 2, Settings()) == 24
+
+
 # --- pipeline
 
 

@@ -304,3 +304,12 @@ def test_near_texts_against_brute_force(spark, rng, tile):
         docs = frame.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.char_length("text").cast("long")})
         stage = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SMALL)
         assert sorted(r.doc_id for r in stage.collect()) == sorted(want)
+
+
+def test_near_texts_keep_rows_that_share_an_id(spark):
+    """Rows without an id, or with the same one, go only as near duplicates of a row that stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(20)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (3, c), (3, d), (4, d), (5, a), (3, c)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in drop_near_texts(frame).collect())
+    assert got == Counter([(5, a), (None, b), (3, c), (3, d)])

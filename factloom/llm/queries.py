@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm import oracle
+from factloom.llm.exact_search import nearest_by_product
 from factloom.llm.language import identify_languages, learn_languages
 from factloom.llm.licenses import scan_licenses
 from factloom.llm.lines import drop_common_lines
+from factloom.llm.merkle import hex_text, leaf_digest, merkle_manifest, path_digest, verified_manifest
 from factloom.llm.mixing import mix_documents
 from factloom.llm.neighbours import near_duplicate_vectors
 from factloom.llm.outliers import judge_documents
+from factloom.llm.phrases import collocations
 from factloom.llm.pieces import encode_pieces, piece_digests
 from factloom.llm.shards import shard_documents
 from factloom.llm.simhash import simhash_groups
@@ -105,15 +108,44 @@ def op10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(encode_pieces(_table(spark, folder, "documents"), model), model)
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh document, by the checksum of its id, claims to be one character longer than it is."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claim = leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text"))
+    manifest = merkle_manifest(
+        spark.read.parquet(f"{folder}/documents.parquet"),
+        ["doc_id", "source", "lang", "n_chars", "text"],
+        scope="lang",
+        order="doc_id",
+        carry={"claim": F.when(tampered, claim)},
+    )
+    checked = verified_manifest(manifest, F.coalesce("claim", "leaf"))
+    digests = [hex_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root", "folded_root")]
+    return checked.select("doc_id", *digests, path_digest(F.col("path"), F.col("top_path")).alias("proof_sha256"), "verified")
+
+
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations(_table(spark, folder, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_exact_search(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings")
+    return nearest_by_product(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_robust_outliers, op3_nn_descent, op4_line_dedup, op5_simhash, op6_shards, op7_languages,
-        op8_token_files, op9_licenses, op10_pieces,
+        op8_token_files, op9_licenses, op10_pieces, op11_merkle_manifest, op12_phrase_mining, op13_exact_search,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": oracle.mixing(ALPHAS, RATE),
     "op4_line_dedup": oracle.LINE_DEDUP,
+    "op11_merkle_manifest": oracle.MERKLE,
+    "op12_phrase_mining": oracle.PHRASES,
+    "op13_exact_search": oracle.EXACT_SEARCH,
 }

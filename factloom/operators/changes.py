@@ -1,7 +1,7 @@
 """Folding a log of changes into the tables it changes.
 
 ``changes`` is append-only: seq (total order), ts, user_id, op (add, update, delete,
-link), id, title, text, category, metadata for facts; src, rel, dst, props for links.
+link, merge), id, title, text, category, metadata for facts; src, rel, dst, props for links; dup_id for merges.
 Everything is an aggregate per key, so a fact that holds a large share of the log is
 reduced before the shuffle; rows of the tables that no change touches are not shuffled
 when the folded log is small enough for a broadcast join.
@@ -31,14 +31,14 @@ def update_map(old: Column, new: Column) -> Column:
     return F.map_concat(kept, new)
 
 
-def _last_entries(rows: DataFrame, key: list[str], map_col: str) -> DataFrame:
+def last_entries(rows: DataFrame, key: list[str], map_col: str) -> DataFrame:
     """Per key the last value of every map entry: key + [entries: array of (k, seq, v)]."""
     entry = rows.select(*key, "seq", F.explode(map_col).alias("k", "v"))
     last = entry.groupBy(*key, "k").agg(F.max(F.struct("seq", "v")).alias("last"))
     return last.groupBy(*key).agg(F.collect_list(F.struct("k", "last.seq", "last.v")).alias("entries"))
 
 
-def _entries_since(entries: Column, since: Column) -> Column:
+def entries_since(entries: Column, since: Column) -> Column:
     recent = F.filter(entries, lambda e: e["seq"] >= since)
     return F.map_from_entries(F.transform(recent, lambda e: F.struct(e["k"], e["v"])))
 
@@ -69,7 +69,7 @@ def fold_facts(changes: DataFrame) -> DataFrame:
     def since(name: str) -> Column:
         return F.when(F.col(name)["seq"] >= F.col("born"), F.col(name)["v"])
 
-    entries = _last_entries(rows.where(writes), _KEY, "metadata")
+    entries = last_entries(rows.where(writes), _KEY, "metadata")
     return folded.join(entries, _KEY, "left").select(
         *_KEY,
         "born",
@@ -79,7 +79,7 @@ def fold_facts(changes: DataFrame) -> DataFrame:
         since("_category").alias("new_category"),
         since("_ts").alias("new_ts"),
         since("_updated").alias("new_updated_at"),
-        F.when(F.col("entries").isNotNull(), _entries_since(F.col("entries"), F.col("born"))).alias("new_metadata"),
+        F.when(F.col("entries").isNotNull(), entries_since(F.col("entries"), F.col("born"))).alias("new_metadata"),
     )
 
 
@@ -139,6 +139,19 @@ def without_ends(table: DataFrame, gone: DataFrame, ends: list[str]) -> DataFram
     return table
 
 
+def living_ends(asked: DataFrame, facts: DataFrame, folded: DataFrame) -> DataFrame:
+    """Of the ids ``asked`` those that are facts after the log, with the seq they were last added at, or -1."""
+    owned = facts.select(*_KEY).join(asked, _KEY, "left_semi").withColumn("owned", F.lit(True))
+    state = asked.join(owned, _KEY, "left").join(folded.select(*_KEY, "born", "died"), _KEY, "left")
+    readded = F.coalesce(F.col("born") >= 0, F.lit(False))
+    alive = state.where(
+        F.when(readded, F.col("died").isNull() | (F.col("died") < F.col("born"))).otherwise(
+            F.col("owned").isNotNull() & F.col("died").isNull()
+        )
+    )
+    return alive.select(*_KEY, F.coalesce(F.col("born").cast("long"), F.lit(-1)).alias("born"))
+
+
 def apply_link_changes(edges: DataFrame, changes: DataFrame, facts: DataFrame, folded: DataFrame) -> DataFrame:
     """The edges after deletes and link requests.
 
@@ -150,19 +163,12 @@ def apply_link_changes(edges: DataFrame, changes: DataFrame, facts: DataFrame, f
     requests = changes.where(F.col("op") == "link").withColumn("rel", relation_type("rel"))
     requests = requests.select("seq", *ends, "props")
     asked = requests.select("user_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    owned = facts.select(*_KEY).join(asked, _KEY, "left_semi").withColumn("owned", F.lit(True))
-    state = asked.join(owned, _KEY, "left").join(folded.select(*_KEY, "born", "died"), _KEY, "left")
-    readded = F.coalesce(F.col("born") >= 0, F.lit(False))
-    alive = state.where(
-        F.when(readded, F.col("died").isNull() | (F.col("died") < F.col("born"))).otherwise(
-            F.col("owned").isNotNull() & F.col("died").isNull()
-        )
-    ).select(*_KEY, F.coalesce(F.col("born").cast("long"), F.lit(-1)).alias("born"))
+    alive = living_ends(asked, facts, folded)
     for end in ("src", "dst"):
         side = alive.select("user_id", F.col("id").alias(end), F.col("born").alias("_born"))
         requests = requests.join(side, ["user_id", end]).where(F.col("seq") > F.col("_born")).drop("_born")
-    entries = _last_entries(requests, ends, "props").select(
-        *ends, _entries_since(F.col("entries"), F.lit(-1)).alias("new_props")
+    entries = last_entries(requests, ends, "props").select(
+        *ends, entries_since(F.col("entries"), F.lit(-1)).alias("new_props")
     )
     links = requests.select(*ends).distinct().join(entries, ends, "left")
     updated = edges.join(links, ends, "left").withColumn(
@@ -176,12 +182,22 @@ def apply_link_changes(edges: DataFrame, changes: DataFrame, facts: DataFrame, f
 
 
 def apply_changes(snapshot: Snapshot, changes: DataFrame, embed=None) -> Snapshot:
-    """All tables after the log.
+    """All tables after the log, which may also merge facts (op merge: id is the master, dup_id the duplicate, title
+    and text are those of the master from now on, null = keep).
 
     ``embed`` maps (user_id, id, title, text) rows to (user_id, id, embedding) and is
     called for facts that are new or whose title or text changed; without it those facts
     have no vector until the caller adds one.
     """
+    from factloom.operators.merge_log import apply_merging_log
+
+    if "dup_id" in changes.columns and changes.where((F.col("op") == "merge") & F.col("dup_id").isNotNull()).take(1):
+        return apply_merging_log(snapshot, changes, embed)
+    return apply_plain_changes(snapshot, changes, embed)
+
+
+def apply_plain_changes(snapshot: Snapshot, changes: DataFrame, embed=None) -> Snapshot:
+    """``apply_changes`` for a log without merges."""
     folded = materialize(fold_facts(changes), "folded")
     after = apply_fact_changes(snapshot.facts, folded)
     gone = detached(folded)

@@ -101,6 +101,12 @@ def merge_properties(facts: DataFrame, pairs: DataFrame) -> DataFrame:
     return combined.select("user_id", F.col("master_id").alias("id"), "key", "value").distinct()
 
 
+def alias_rank(value: str) -> Column:
+    """Ranks the confidences of an alias: the highest first, then the smaller text; no number comes last."""
+    confidence = F.coalesce(F.col(value).try_cast("double"), F.lit(float("-inf")))
+    return F.struct(-confidence, value)
+
+
 def _combined(facts: DataFrame, pairs: DataFrame, column: str, best: Column) -> DataFrame:
     """One map per master (user_id, id, combined) out of its own and its duplicates' maps.
 
@@ -134,11 +140,13 @@ def merge_facts(snapshot: Snapshot, merges: DataFrame, ts=None, embed=None) -> t
     """
     pairs = valid_merges(merges, snapshot.facts)
     gone = pairs.select("user_id", F.col("dup_id").alias("id")).distinct()
-    rewritten = merges.drop("master_id").join(pairs, ["user_id", "dup_id"]).groupBy("user_id", F.col("master_id").alias("id"))
-    rewritten = rewritten.agg(F.max("title").alias("new_title"), F.max("text").alias("new_text"))
+    # In a chain only the merges into the final master name it; those further down named facts that are gone.
+    last = merges.join(pairs, ["user_id", "master_id", "dup_id"], "left_semi").groupBy("user_id", F.col("master_id").alias("id"))
+    given = F.struct("title", "text")
+    rewritten = last.agg(F.max(F.when(F.col("title").isNotNull() | F.col("text").isNotNull(), given)).alias("given"))
+    rewritten = rewritten.select("user_id", "id", F.col("given.title").alias("new_title"), F.col("given.text").alias("new_text"))
     facts = _with_combined(snapshot.facts, pairs, "metadata", F.struct("own", "value"))
-    confidence = F.coalesce(F.expr("try_cast(value as double)"), F.lit(float("-inf")))
-    facts = _with_combined(facts, pairs, "aliases", F.struct(-confidence, "value"))
+    facts = _with_combined(facts, pairs, "aliases", alias_rank("value"))
     facts = facts.join(gone, ["user_id", "id"], "left_anti").join(rewritten, ["user_id", "id"], "left")
     changed = F.col("new_title").isNotNull() | F.col("new_text").isNotNull()
     facts = facts.withColumn("title", F.coalesce("new_title", "title"))

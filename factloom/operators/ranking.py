@@ -54,3 +54,21 @@ def running_number(
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
     numbered = spread.withColumn("_local", F.row_number().over(local)).join(shifts, [*keys, "_slice"])
     return numbered.withColumn(out, (F.col("_local") + F.col("_shift")).cast("int")).drop("_slice", "_local", "_shift")
+
+
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """Add ``out``: the last ``value`` that is not null among the earlier rows of the key.
+
+    Rows are range partitioned by key and order; a partition starts with the last value of those before it,
+    which is one row per key and partition. So no task holds a whole key. Equal rows in ``order`` do not see
+    each other in a defined way; make it total where that matters.
+    """
+    spread = df.repartitionByRange(*keys, *order)
+    spread = materialize(spread.withColumn("_slice", F.spark_partition_id()), "ordered")
+    latest = F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order)))
+    slices = spread.groupBy(*keys, "_slice").agg(latest.alias("_latest"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("_carried", F.last("_latest", ignorenulls=True).over(before)).drop("_latest")
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    carried = spread.withColumn("_own", F.last(value, ignorenulls=True).over(local)).join(slices, [*keys, "_slice"])
+    return carried.withColumn(out, F.coalesce("_own", "_carried")).drop("_slice", "_own", "_carried")

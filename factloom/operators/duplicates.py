@@ -103,9 +103,9 @@ def find_duplicates(
 
 def _label(scored: DataFrame, evidence: DataFrame) -> DataFrame:
     """Attach the component of every fact. Only groups of several tiles need rounds."""
-    final = evidence.where(F.col("tiles") == 1)
+    final = evidence.where(~F.col("tiled"))
     labels = final.select(*_GROUP, "link", F.col("root").alias("component")).distinct()
-    split = evidence.where((F.col("tiles") > 1) & (F.col("link") != F.col("root")))
+    split = evidence.where(F.col("tiled") & (F.col("link") != F.col("root")))
     if split.take(1):
         edges = split.select(*_GROUP, F.col("link").alias("a"), F.col("root").alias("b")).distinct()
         labels = labels.unionByName(connected_components(edges, _GROUP).withColumnRenamed("node", "link"))

@@ -8,6 +8,11 @@ pairs never leave the task that scores them.
   therefore adds m-1 partners of score 1 to each copy: counted, not compared.
 * Pairs with different titles need their cosine. Facts are tiled, and one task scores
   two tiles with a matrix product and hands on one row per fact with a partner.
+* A (tenant, category) that does not fit one tile is tiled around pivots, and pairs of
+  tiles too far apart for the threshold, with the largest bonus, are skipped
+  (``pivots``). The only pairs that may pass nevertheless are those of which one title has
+  all words of the other: they score a fixed value there, so they are counted per title
+  over an index of title words (``all_words_titles``), and those met in tiles are taken off.
 """
 
 from __future__ import annotations
@@ -26,7 +31,9 @@ from factloom.functions.text import title_key, words
 from factloom.functions.vectors import norm
 from factloom.operators.nearest import matrix, rows_by_key, unit_rows
 from factloom.operators.ranking import top_k
-from factloom.operators.tiling import cross_tiles, self_tiles
+from factloom.operators.pivots import pivot_tiles
+from factloom.operators.tiling import cross_tiles
+from factloom.session import materialize
 
 # Fixed values of the title rule.
 SAME_TITLE = 1.0
@@ -36,7 +43,8 @@ SHORT_WORD = 2
 NAME_CATEGORY = "People"
 
 _STEP = 1024
-_CARRIED = ["user_id", "category", "id", "link", "tiles"]
+_GROUP = ["user_id", "category"]
+_CARRIED = ["user_id", "category", "id", "node", "link", "tiled"]
 
 
 def recency_pool(facts: DataFrame, size: int) -> DataFrame:
@@ -118,8 +126,9 @@ def _shared_ratio(left: list[list[str]], right: list[list[str]], names: bool) ->
 
 def passing_pairs(
     a: TitledVectors, b: TitledVectors, threshold: float, names: bool
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs with different titles that score at least ``threshold``: rows of a, rows of b, scores.
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs with different titles that score at least ``threshold``: rows of a, rows of b, scores, and whether one
+    title has all words of the other.
 
     The score is the cosine plus a bonus for shared title words. Only pairs whose cosine
     can still pass with the largest bonus at hand, or that have all words in common, are
@@ -148,7 +157,7 @@ def passing_pairs(
         score = cosines[i, j] + SHARED_WORD_BOOST * share
         score = np.where(share >= 1.0, np.maximum(score, ALL_WORDS_FLOOR), score)
         keep = (score >= threshold) & ~equal[code[i], b_code[j]]
-        yield start + i[keep], j[keep], score[keep]
+        yield start + i[keep], j[keep], score[keep], share[keep] >= 1.0
 
 
 def _smallest_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,25 +175,27 @@ def _smallest_reachable(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _score_tiles(table: pa.Table, threshold: float) -> pa.Table:
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    tile = table.column("tile").to_numpy()
     names = table.column("category")[0].as_py() == NAME_CATEGORY
-    (left,) = np.nonzero(tile == low)
-    (right,) = np.nonzero(tile == high)
+    place = table.column("tile").to_pylist()
+    left = np.array([n for n, tile in enumerate(place) if tile == low], dtype=np.int64)
+    right = left if low == high else np.array([n for n, tile in enumerate(place) if tile == high], dtype=np.int64)
     a = TitledVectors(table.take(pa.array(left)))
     b = a if low == high else TitledVectors(table.take(pa.array(right)))
     links = table.column("link").to_pandas().to_numpy()
     link_values, link = np.unique(links, return_inverse=True)
 
     n = table.num_rows
-    partners, total, best = np.zeros(n, dtype=np.int64), np.zeros(n), np.full(n, -np.inf)
+    partners, lifted = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    total, best = np.zeros(n), np.full(n, -np.inf)
     linked = [np.empty((0, 2), dtype=np.int64)]
-    for i, j, score in passing_pairs(a, b, threshold, names):
+    for i, j, score, complete in passing_pairs(a, b, threshold, names):
         i, j = left[i], right[j]
         if low == high:
             once = i < j
-            i, j, score = i[once], j[once], score[once]
+            i, j, score, complete = i[once], j[once], score[once], complete[once]
         for side in (i, j):
             partners += np.bincount(side, minlength=n)
+            lifted += np.bincount(side[complete], minlength=n)
             total += np.bincount(side, weights=score, minlength=n)
             np.maximum.at(best, side, score)
         linked.append(np.unique(np.stack([link[i], link[j]], axis=1), axis=0))
@@ -193,25 +204,89 @@ def _score_tiles(table: pa.Table, threshold: float) -> pa.Table:
     (members,) = np.nonzero(partners)
     taken = table.select(_CARRIED).take(pa.array(members))
     roots = pa.array(link_values[root[link[members]]].tolist(), table.schema.field("link").type)
-    extra = [roots, pa.array(partners[members]), pa.array(total[members]), pa.array(best[members])]
-    return pa.table([*taken.columns, *extra], names=[*taken.column_names, "root", "partners", "total", "best"])
+    extra = [roots, pa.array(partners[members]), pa.array(total[members]), pa.array(best[members]), pa.array(lifted[members])]
+    return pa.table([*taken.columns, *extra], names=[*taken.column_names, "root", "partners", "total", "best", "lifted"])
 
 
 def cross_title_evidence(items: DataFrame, threshold: float, tile_rows: int = 8192) -> DataFrame:
-    """Partner counts and links among facts with different titles, per pair of tiles.
+    """Partner counts and links among facts with different titles.
 
-    A fact may appear once per pair of tiles it has partners in. ``root`` is the smallest
-    link that ``link`` reaches inside that pair of tiles; ``tiles`` is the number of tiles
-    of the group, so with 1 the roots are final.
+    A fact may have several rows, which add up. ``root`` is a smaller or equal link that ``link``
+    reaches; where ``tiled`` is false, the facts of the group were scored together and the roots are final.
     """
-    group = ["user_id", "category"]
-    tiled = self_tiles(items, group, "id", tile_rows)
-    tiled = tiled.select(*group, "id", "node", "titled", "link", "words", "embedding", "tiles", "tile", "low", "high")
-    return tiled.groupBy(*group, "low", "high").applyInArrow(
+    columns = ["id", "node", "titled", "link", "words", "embedding", "copies"]
+    sizes = items.groupBy(*_GROUP).agg((F.count("*") > tile_rows).alias("tiled"))
+    sized = items.select(*_GROUP, *columns).join(materialize(sizes, "group-sizes"), _GROUP)
+    alone = sized.where("not tiled").withColumns({c: F.lit(0) for c in ("tile", "low", "high")})
+    found = _scored(alone, threshold)
+    if not sizes.where("tiled").take(1):
+        return found.drop("node", "lifted")
+    large = materialize(sized.where("tiled"), "large-groups")
+    tiles = pivot_tiles(large, _GROUP, "id", tile_rows, threshold - SHARED_WORD_BOOST)
+    scored = materialize(_scored(tiles, threshold), "scored-tiles")
+    if threshold <= ALL_WORDS_FLOOR:
+        scored = scored.unionByName(_unmet(large, scored))
+    return found.unionByName(scored).drop("node", "lifted")
+
+
+def _scored(tiled: DataFrame, threshold: float) -> DataFrame:
+    return tiled.groupBy(*_GROUP, "low", "high").applyInArrow(
         lambda table: _score_tiles(table, threshold), _evidence_schema(tiled)
     )
 
 
+def all_words_titles(items: DataFrame) -> DataFrame:
+    """Pairs of titles of which the first has only words that count, all of them words of the second:
+    group + [a, b, a_copies, b_copies], named by node, each pair once.
+
+    Every title is looked up by its rarest word, so a word that very many titles have is only
+    followed for titles that have no other."""
+    names = F.col("category") == NAME_CATEGORY
+    titles = items.where(F.col("titled")).groupBy(*_GROUP, "node").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
+    titles = materialize(titles, "titles")
+    counting = F.forall("words", lambda w: F.length(w) > SHORT_WORD) | names
+    entries = titles.select(*_GROUP, "node", "words", "copies", (counting & (F.size("words") > 0)).alias("counting"), F.explode("words").alias("word"))
+    common = entries.groupBy(*_GROUP, "word").agg(F.count("*").alias("titles"))
+    short = entries.where("counting").join(common, [*_GROUP, "word"]).groupBy(*_GROUP, "node")
+    short = short.agg(
+        F.min_by("word", F.struct("titles", "word")).alias("word"), F.first("words").alias("short"), F.first("copies").alias("a_copies")
+    ).withColumnRenamed("node", "a")
+    pairs = entries.join(materialize(short, "short-titles"), [*_GROUP, "word"]).where(F.col("node") != F.col("a"))
+    pairs = pairs.where(F.size(F.array_except("short", "words")) == 0)
+    # Titles with the same words in another order would be found from both sides.
+    pairs = pairs.where((F.size("short") < F.size("words")) | (F.col("a") < F.col("node")))
+    return pairs.select(*_GROUP, "a", F.col("node").alias("b"), "a_copies", F.col("copies").alias("b_copies"))
+
+
+def _unmet(items: DataFrame, scored: DataFrame) -> DataFrame:
+    """Evidence of pairs with all words in common that no tile brought together: their cosine is too low
+    to count, so each scores ALL_WORDS_FLOOR. ``scored`` tells how many of a fact's pairs were met."""
+    pairs = materialize(all_words_titles(items), "all-words-titles")
+    sides = [pairs.select(*_GROUP, F.col(x).alias("node"), F.col(y).alias("other"), F.col(f"{y}_copies").alias("n")) for x, y in ("ab", "ba")]
+    counts = sides[0].unionByName(sides[1]).groupBy(*_GROUP, "node")
+    counts = counts.agg(F.sum("n").alias("n"), F.min("other").alias("lowest"))
+    met = scored.groupBy(*_GROUP, "id").agg(F.sum("lifted").alias("met"))
+    facts = items.where("titled").select(*_CARRIED).join(counts, [*_GROUP, "node"]).join(met, [*_GROUP, "id"], "left")
+    left = F.col("n") - F.coalesce("met", F.lit(0))
+    # With equal titles in one class, links are nodes: a title reaches the smallest of its partners, and these their own.
+    unmet = facts.select(
+        *_CARRIED,
+        F.least("link", "lowest").alias("root"),
+        left.cast("long").alias("partners"),
+        (left * F.lit(ALL_WORDS_FLOOR)).alias("total"),
+        F.when(left > 0, F.lit(ALL_WORDS_FLOOR)).otherwise(F.lit(float("-inf"))).alias("best"),
+        F.lit(0).cast("long").alias("lifted"),
+    )
+    # Links of the pairs themselves: a row without partners of its own, for one fact of each title.
+    first = items.where("titled").groupBy(*_GROUP, "node").agg(F.min("id").alias("id"))
+    links = pairs.select(*_GROUP, F.col("a").alias("node"), F.col("b").alias("root")).join(first, [*_GROUP, "node"])
+    links = links.select(
+        *_GROUP, "id", "node", F.col("node").alias("link"), F.lit(True).alias("tiled"), "root",
+        F.lit(0).cast("long").alias("partners"), F.lit(0.0).alias("total"), F.lit(float("-inf")).alias("best"), F.lit(0).cast("long").alias("lifted"),
+    )
+    return unmet.unionByName(links)
+
+
 def _evidence_schema(tiled: DataFrame) -> T.StructType:
     return T.StructType(
         [
@@ -220,6 +295,7 @@ def _evidence_schema(tiled: DataFrame) -> T.StructType:
             T.StructField("partners", T.LongType()),
             T.StructField("total", T.DoubleType()),
             T.StructField("best", T.DoubleType()),
+            T.StructField("lifted", T.LongType()),
         ]
     )
 
@@ -234,7 +310,7 @@ class _Tally:
         self.best = np.full(len(side), -np.inf)
 
     def add(self, other: TitledVectors, threshold: float) -> None:
-        for i, _, score in passing_pairs(self.side, other, threshold, self.names):
+        for i, _, score, _ in passing_pairs(self.side, other, threshold, self.names):
             self.partners += np.bincount(i, minlength=len(self.side))
             self.total += np.bincount(i, weights=score, minlength=len(self.side))
             np.maximum.at(self.best, i, score)
@@ -253,8 +329,7 @@ class _Tally:
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
 
-_ITEM = ["user_id", "category", "id", "node", "titled", "words", "embedding"]
-_GROUP = _ITEM[:2]
+_ITEM = [*_GROUP, "id", "node", "titled", "words", "embedding"]
 
 
 def evidence_against(

@@ -405,11 +405,14 @@ _SIMPLE = {
         where similarity >= 0.4 group by all""",
 }
 
-# A streamed result equals its batch twin.
+# A streamed result equals its batch twin; the path for large data that of small data.
 _TWINS = {
     "stream_mentions": "link_mentions",
     "stream_changes": "apply_changes",
     "stream_duplicates": "check_new_facts",
+    "duplicate_clusters_tiled": "duplicate_clusters",
+    "duplicate_partners_tiled": "duplicate_partners",
+    "search_vector_tiled": "search_vector",
 }
 
 

@@ -107,6 +107,13 @@ def search_vector(s: Sample) -> DataFrame:
     return _hits(s).select("query_id", "id", _r4("score"), _long("rank"))
 
 
+@query
+def search_vector_tiled(s: Sample) -> DataFrame:
+    """As ``search_vector``, with a batch of queries beyond the bound of a scan."""
+    found = nearest(s.vectors(), s.queries(), search.fetch_size(5), TOP_P, broadcast_rows=10, tile_rows=64)
+    return found.select("query_id", "id", _r4("score"), _long("rank"))
+
+
 @query
 def search_boosted(s: Sample) -> DataFrame:
     return search.boosted_hits(_hits(s), s.facts(), s.queries()).select("query_id", "id", _r4("score"))
@@ -202,6 +209,18 @@ def duplicate_members(s: Sample) -> DataFrame:
     return _duplicates(s).members.withColumn("cluster_id", _long("cluster_id"))
 
 
+@query
+def duplicate_clusters_tiled(s: Sample) -> DataFrame:
+    """As ``duplicate_clusters``, with tiles so small that every group needs several, and numbers in slices."""
+    found = dup.find_duplicates(s.facts(), s.vectors(), THRESHOLD, tile_rows=6, group_bound=3)
+    return found.clusters.withColumn("cluster_id", _long("cluster_id"))
+
+
+@query
+def duplicate_partners_tiled(s: Sample) -> DataFrame:
+    return dup.find_duplicates(s.facts(), s.vectors(), THRESHOLD, tile_rows=6).partners
+
+
 _CLUSTER = ["user_id", "category", "cluster_id"]
 
 

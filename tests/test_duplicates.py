@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import duplicates as dup
+from factloom.operators import pivots
 from factloom.operators.components import connected_components
 from factloom.operators.ranking import running_number, top_k
-from factloom.operators.similarity import recency_pool
+from factloom.operators.similarity import recency_pool, similarity_items
 from factloom.sources.tables import records_from_json
 
 FACTS = "user_id string, id int, category string, title string, ts timestamp_ntz"
@@ -124,6 +125,42 @@ def test_many_tiles_and_a_title_of_a_third_of_all_facts(spark, seed):
     check(spark, random_items(90, seed, hot=0.33), 0.98, tile_rows=7, group_bound=3)
 
 
+@pytest.mark.parametrize("threshold", [0.86, 0.75, 0.4])
+def test_titles_lift_pairs_that_no_tile_brings_together(spark, threshold):
+    """Below the score of titles with all words in common, pairs count however far apart their vectors are."""
+    rng = np.random.default_rng(7)
+    centers = np.eye(6) * 5
+    names = ["rosa field", "field rosa", "rosa", "al b", "b", "ivo marsh x", "ivo of", "of x", None]
+    items = [
+        (i, ["People", "Tool"][i % 2], names[rng.integers(len(names))], [float(x) for x in centers[rng.integers(6)] + 0.3 * rng.normal(size=6)])
+        for i in range(120)
+    ]
+    check(spark, items, threshold, tile_rows=9)
+
+
+def tile_pairs_of(spark, items, rows, least_cosine):
+    facts, vectors = store(spark, items)
+    found = similarity_items(facts, vectors)
+    cells, near = pivots.pivot_cells(found, ["user_id", "category"], "id", rows)
+    cells = cells.withColumn("heavy", F.when(F.col("copies") > rows, F.col("node")))
+    pairs = pivots.tile_pairs(cells, near, ["user_id", "category"], rows, least_cosine).collect()
+    tiles = {tuple(p[end]) for p in pairs for end in ("low", "high")}
+    assert len({(tuple(p.low), tuple(p.high)) for p in pairs}) == len(pairs)
+    return len(pairs), len(tiles)
+
+
+def test_far_tiles_are_not_compared(spark):
+    """In tight clusters most pairs of tiles are ruled out; in a heap of anything none needs to be."""
+    rng = np.random.default_rng(8)
+    centers = np.eye(12)
+    clustered = [(i, "Tool", f"t{i}", (centers[i % 12] + 0.02 * rng.normal(size=12)).tolist()) for i in range(600)]
+    kept, tiles = tile_pairs_of(spark, clustered, 20, 0.6)
+    assert kept < 0.3 * tiles * (tiles + 1) / 2
+    heap = [(i, "Tool", f"t{i}", rng.normal(size=12).tolist()) for i in range(200)]
+    kept, tiles = tile_pairs_of(spark, heap, 20, -1.0)
+    assert kept == tiles * (tiles + 1) / 2
+
+
 def test_a_group_of_copies_only(spark):
     items = [(i, "Tool", "same thing", [float(np.cos(i)), float(np.sin(i))]) for i in range(30)]
     found = check(spark, items, 0.999, tile_rows=4)

@@ -8,18 +8,21 @@ from functools import reduce
 from math import ceil, floor, log2
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.blocks import coded, text_blocks
+from factloom.llm.blocks import coded, list_array, list_parts, text_blocks
 from factloom.operators.ranking import top_k
 from factloom.session import materialize
 
 #: Language of a document without one.
 NO_LANG = "und"
-BLOCK_BYTES = 6_000_000
+#: Text, and words, that are worked on at once.
+BLOCK_BYTES, BLOCK_WORDS = 3_000_000, 1 << 20
+#: Stands between pieces in place of a word.
+END = 0
 #: Bits of a filter for each phrase, and at most: 64 MB. A fuller filter admits more phrases than it should, which
 #: costs time and changes no result.
 BITS_EACH, MOST_BITS = 16, 1 << 29
@@ -62,15 +65,9 @@ def _longer_hash(start: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _word_hashes(langs: list[str], words: list[str]) -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(f"{lang} {word}") for lang, word in zip(langs, words, strict=True)], np.uint64)
-
-
 @dataclass
 class Members:
-    """A set of phrases as bits of fixed number; it may admit others, never refuses its own."""
+    """A set of phrases, by their hashes, as bits of fixed number; it may admit others, never refuses its own."""
 
     bits: np.ndarray
 
@@ -84,49 +81,87 @@ class Members:
         return (bit(hashes) & bit(hashes >> np.uint64(32))).astype(bool)
 
 
-def phrase_members(phrases: DataFrame) -> Members:
-    """Filter over ``phrases`` (lang, phrase), as bits that an aggregate puts together."""
-    size = 1 << ceil(log2(max(1024, min(MOST_BITS, BITS_EACH * phrases.count()))))
+def _columns(longest: int) -> list[str]:
+    return [f"w{i}" for i in range(1, longest + 1)]
+
+
+def _phrase_hashes(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    words = [batch.column(c).to_numpy().view(np.uint64) for c in _columns(size)]
+    return reduce(_longer_hash, words)
+
+
+def phrase_members(phrases: DataFrame, size: int) -> Members:
+    """Filter over ``phrases`` of ``size`` words (w1, w2, …), as bits that an aggregate puts together."""
+    bits = 1 << ceil(log2(max(1024, min(MOST_BITS, BITS_EACH * phrases.count()))))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = _phrase_hashes(batch)
-            places = np.concatenate([hashes, hashes >> np.uint64(32)]) & np.uint64(size - 1)
+            hashes = _phrase_hashes(batch, size)
+            places = np.concatenate([hashes, hashes >> np.uint64(32)]) & np.uint64(bits - 1)
             slots, at = np.unique(places >> np.uint64(6), return_inverse=True)
-            bits = np.zeros(len(slots), np.uint64)
-            np.bitwise_or.at(bits, at, np.uint64(1) << (places & np.uint64(63)))
-            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(bits.view(np.int64))], ["slot", "bits"])
+            words = np.zeros(len(slots), np.uint64)
+            np.bitwise_or.at(words, at, np.uint64(1) << (places & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(words.view(np.int64))], ["slot", "bits"])
 
-    found = phrases.select("lang", "phrase").mapInArrow(run, "slot long, bits long")
+    found = phrases.select(*_columns(size)).mapInArrow(run, "slot long, bits long")
     found = found.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    bits = np.zeros(size // 64, np.uint64)
-    bits[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    return Members(bits)
-
-
-def _phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
-    langs = batch.column("lang").to_pylist()
-    parts = [p.split(" ") for p in batch.column("phrase").to_pylist()]
-    lengths = np.array([len(p) for p in parts], np.int64)
-    flat = _word_hashes([lang for lang, p in zip(langs, parts, strict=True) for _ in p], [w for p in parts for w in p])
-    first = np.cumsum(lengths) - lengths
-    out = flat[first] if len(first) else flat
-    for k in range(1, int(lengths.max(initial=1))):
-        longer = np.flatnonzero(lengths > k)
-        out[longer] = _longer_hash(out[longer], flat[first[longer] + k])
-    return out
+    out = np.zeros(bits // 64, np.uint64)
+    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return Members(out)
+
+
+def _refused(phrases: DataFrame, members: Members, size: int) -> bool:
+    """Whether a filter lacks one of the phrases."""
+    shared = phrases.sparkSession.sparkContext.broadcast(members)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~shared.value.has(_phrase_hashes(batch, size)))).select(["w1"])
+
+    return bool(phrases.select(*_columns(size)).mapInArrow(run, "w1 long").take(1))
 
 
-def _admitted(hashes: np.ndarray, piece: np.ndarray, levels: list[Members], longest: int) -> list[np.ndarray]:
+def tokenized(docs: DataFrame, seed: int) -> DataFrame:
+    """Texts read once, as two kinds of rows: (lang, word, hash, n), the words of a block of texts, and tokens, the
+    hashes of a text's words in order with END after each piece. A hash stands for a word in a language."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        names = ["lang", "word", "hash", "n", "tokens"]
+        for block in text_blocks(batches, limit=BLOCK_BYTES):
+            flat, row, piece = piece_words(block.column("__text"))
+            if not len(flat):
+                continue
+            langs, lang_names = coded(block.column("lang").cast(pa.string()))
+            codes, distinct = coded(flat)
+            own, kinds = pd.factorize(langs[row] * len(distinct) + codes)
+            lang = lang_names.take(pa.array(kinds // len(distinct)))
+            word = distinct.take(pa.array(kinds % len(distinct))).cast(pa.string())
+            digest = xxhash.xxh64_intdigest
+            pairs = zip(lang.to_pylist(), word.to_pylist(), strict=True)
+            hashes = np.array([digest(f"{a} {w}", seed) for a, w in pairs], np.uint64).view(np.int64)
+            hashes[hashes == END] = 1
+            n, none = np.bincount(own, minlength=len(kinds)).astype(np.int64), len(kinds)
+            yield pa.RecordBatch.from_arrays([lang, word, pa.array(hashes), pa.array(n), pa.nulls(none, pa.list_(pa.int64()))], names)
+            last = np.append(piece[1:] != piece[:-1], True)
+            at = np.flatnonzero(last) + 1
+            tokens = np.insert(hashes[own], at, END)
+            sizes = np.bincount(row, minlength=len(block)) + np.bincount(row[at - 1], minlength=len(block))
+            lists = list_array(tokens, sizes[sizes > 0], pa.int64())
+            empty = [pa.nulls(len(lists), kind) for kind in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty, lists], names)
+
+    return docs.mapInArrow(run, "lang string, word string, hash long, n long, tokens array<long>")
+
+
+def _admitted(hashes: np.ndarray, levels: list[Members], longest: int) -> list[np.ndarray]:
     """For 2 to ``longest`` words: where phrases start both of whose shorter parts ``levels`` has."""
-    out, here, known = [], hashes, np.ones(len(hashes), bool)
-    for size in range(2, longest + 1):
-        if size - 2 >= len(levels):
-            break
+    out, here, known = [], hashes, hashes != END
+    for size in range(2, min(longest, len(levels) + 1) + 1):
         fine = known & levels[size - 2].has(here)
         within = np.zeros(len(hashes), bool)
-        within[: 1 - size] = piece[: 1 - size] == piece[size - 1 :]
-        within[:-1] &= fine[:-1] & fine[1:]
+        within[:-1] = fine[:-1] & fine[1:]
         out.append(within)
         last = np.zeros_like(hashes)
         last[: 1 - size] = hashes[size - 1 :]
@@ -134,33 +169,15 @@ def _admitted(hashes: np.ndarray, piece: np.ndarray, levels: list[Members], long
     return out
 
 
-def block_counts(block: pa.RecordBatch, passes: list[list[Members]], longest: int, words: bool) -> Iterator[pa.RecordBatch]:
-    """(lang, size, phrase, n) of a block of texts: words if asked for, and the phrases that the last of ``passes`` admits
-    and no earlier one did. Size 0 holds the number of all words."""
-    flat, row, piece = piece_words(block.column("__text"))
-    if not len(flat):
-        return
-    langs, lang_names = coded(block.column("lang").cast(pa.string()))
-    codes, names = coded(flat)
-    names = names.cast(pa.string())
-    kinds, own, n = np.unique(langs[row] * len(names) + codes, return_inverse=True, return_counts=True)
-    lang, word = kinds // len(names), names.take(pa.array(kinds % len(names)))
-
-    def rows(size: int, kind: np.ndarray, phrase: pa.Array, count: np.ndarray) -> pa.RecordBatch:
-        sizes = pa.array(np.full(len(kind), size, np.int32))
-        return pa.RecordBatch.from_arrays([lang_names.take(pa.array(kind)), sizes, phrase, pa.array(count)], ["lang", "size", "phrase", "n"])
-
-    if words:
-        total = np.bincount(lang, weights=n, minlength=len(lang_names)).astype(np.int64)
-        yield rows(0, np.arange(len(lang_names)), pa.array([""] * len(lang_names)), total)
-        yield rows(1, lang, word, n.astype(np.int64))
-    if not passes:
-        return
-    hashes = _word_hashes(lang_names.take(pa.array(lang)).to_pylist(), word.to_pylist())[own]
-    new = _admitted(hashes, piece, passes[-1], longest)
+def block_counts(tokens: np.ndarray, passes: list[list[Members]], longest: int) -> Iterator[pa.RecordBatch]:
+    """(size, w1, w2, …, n): phrases that the last of ``passes`` admits and no earlier one did."""
+    names = ["size", *_columns(longest), "n"]
+    hashes = tokens.view(np.uint64)
+    new = _admitted(hashes, passes[-1], longest)
     for earlier in passes[:-1]:
-        for mask, seen in zip(new, _admitted(hashes, piece, earlier, longest), strict=False):
+        for mask, seen in zip(new, _admitted(hashes, earlier, longest), strict=False):
             mask &= ~seen
+    own, kinds = pd.factorize(tokens)
     for size, mask in enumerate(new, start=2):
         at = np.flatnonzero(mask)
         if not len(at):
@@ -168,63 +185,98 @@ def block_counts(block: pa.RecordBatch, passes: list[list[Members]], longest: in
         key = own[at]
         for k in range(1, size):
             # Renumbered before each further word, so that keys stay small and exact.
-            key = np.unique(key, return_inverse=True)[1] * len(kinds) + own[at + k]
-        _, example, count = np.unique(key, return_index=True, return_counts=True)
-        start = at[example]
-        phrase = pc.binary_join_element_wise(*[word.take(pa.array(own[start + k])) for k in range(size)], " ")
-        yield rows(size, lang[own[start]], phrase, count.astype(np.int64))
-
-
-def counted(docs: DataFrame, passes: list[list[Members]], longest: int, words: bool) -> DataFrame:
-    """Counts (lang, size, phrase, n) over all of ``docs`` (lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(passes)
+            key = key * len(kinds) + own[at + k]
+            key, distinct = pd.factorize(key)
+        example = np.zeros(len(distinct), np.int64)
+        example[key] = at
+        words = [tokens[example + k] if k < size else np.zeros(len(example), np.int64) for k in range(longest)]
+        count = np.bincount(key, minlength=len(distinct)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(example), size, np.int32)), *map(pa.array, words), pa.array(count)], names)
+
+
+def _token_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The tokens of several texts together, about BLOCK_WORDS at a time; each text ends with END."""
+    held, size = [], 0
+    for batch in batches:
+        flat, at = list_parts(batch.column("tokens"))
+        start = 0
+        while start < len(batch):
+            stop = max(start + 1, int(np.searchsorted(at, at[start] + BLOCK_WORDS - size, side="right")) - 1)
+            held.append(flat[at[start] : at[stop]])
+            size += len(held[-1])
+            start = stop
+            if size >= BLOCK_WORDS // 2:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def counted(tokens: DataFrame, passes: list[list[Members]], longest: int) -> DataFrame:
+    """Counts (size, w1, w2, …, n) over all of ``tokens``."""
+    shared = tokens.sparkSession.sparkContext.broadcast(passes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in text_blocks(batches, limit=BLOCK_BYTES):
-            yield from block_counts(block, shared.value, longest, words)
-
-    rows = docs.mapInArrow(run, "lang string, size int, phrase string, n long")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+        for block in _token_blocks(batches):
+            yield from block_counts(block, shared.value, longest)
 
+    words = ", ".join(f"{c} long" for c in _columns(longest))
+    rows = tokens.mapInArrow(run, f"size int, {words}, n long")
+    return rows.groupBy("size", *_columns(longest)).agg(F.sum("n").alias("n"))
 
-def _refused(phrases: DataFrame, members: Members) -> bool:
-    """Whether a filter lacks one of the phrases."""
-    shared = phrases.sparkSession.sparkContext.broadcast(members)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(~shared.value.has(_phrase_hashes(batch))))
 
-    return bool(phrases.select("lang", "phrase").mapInArrow(run, "lang string, phrase string").take(1))
+@dataclass
+class Phrases:
+    """words: (lang, word, hash, n) of all words; frequent: (size, w1, w2, …, n), words by their hash, unused ones END."""
 
+    words: DataFrame
+    frequent: DataFrame
 
-def frequent_phrases(docs: DataFrame, least: int, longest: int, rate: float, seed: int = 0) -> DataFrame:
-    """(lang, size, phrase, n) of all phrases of up to ``longest`` words found ``least`` times in their language, and
-    the number of all words as size 0.
 
-    A sample of ``rate`` of the documents proposes phrases that reach a lowered count there. The first full pass counts the proposals and
-    their negative border: all words, and each longer phrase whose two parts without the last, or the first, word were proposed. Both
-    conditions are tested on filters of bounded size, so the border is never listed. Where a phrase of the border proves
-    frequent and was not proposed, longer phrases with it were not counted: then a further pass counts those, and only
-    those, that its filters admit and the earlier ones did not. The border is closed when no frequent phrase is missing in the last filters.
-    Each phrase is counted in exactly one pass, over all documents, so all counts are exact whatever the sample was."""
+def word_tables(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(words, tokens). Two words of one hash, of which one is frequent, would be counted as one: then another seed is taken."""
+    seed = 0
+    while True:
+        stored = materialize(tokenized(docs, seed), "tokens")
+        words = stored.where("tokens is null").groupBy("hash", "lang", "word").agg(F.sum("n").alias("n"))
+        words = materialize(words, "words")
+        shared = words.groupBy("hash").agg(F.count("*").alias("kinds"), F.max("n").alias("n"))
+        if not shared.where((F.col("kinds") > 1) & (F.col("n") >= least)).take(1):
+            return words, stored.where("tokens is not null").select("tokens")
+        seed += 1
+
+
+def frequent_phrases(docs: DataFrame, least: int, longest: int, rate: float, seed: int = 0) -> Phrases:
+    """All phrases of up to ``longest`` words found ``least`` times in their language.
+
+    Words are counted over all documents first. Then a sample of ``rate`` of the documents proposes longer phrases that
+    reach a lowered count there. The first full pass counts the proposals and their negative border: each phrase whose two
+    parts, without its last or its first word, are frequent words or were proposed. That is tested on filters of
+    bounded size, so the border is never listed. Where a phrase of the border proves frequent, longer ones with it were
+    not counted: then a further pass counts those, and only those, that its filters admit and the earlier ones did
+    not. The border is closed when no frequent phrase is missing in the last filters. Each phrase is counted
+    in exactly one pass, over all documents, so all counts are exact whatever the sample was."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
+    words, tokens = word_tables(docs, least)
+    frequent_words = materialize(words.where(F.col("n") >= least).select(F.col("hash").alias("w1"), "n"), "frequent-words")
     lowered = max(2, floor(0.8 * rate * least))
-    sample = materialize(docs.sample(rate, seed), "sample")
-    proposed: list[Members] = []
-    for size in range(1, longest):
-        found = counted(sample, [proposed] if proposed else [], size, size == 1)
-        proposed.append(phrase_members(materialize(found.where((F.col("size") == size) & (F.col("n") >= lowered)), "proposed")))
-
-    passes, tables = [proposed], []
+    sample = materialize(tokens.sample(rate, seed), "sample")
+    proposed = [phrase_members(frequent_words, 1)]
+    for size in range(2, longest):
+        found = counted(sample, [proposed], size).where((F.col("size") == size) & (F.col("n") >= lowered))
+        proposed.append(phrase_members(materialize(found, "proposed"), size))
+
+    unused = {c: F.lit(END).cast("long") for c in _columns(longest)[1:]}
+    tables = [frequent_words.withColumns({"size": F.lit(1), **unused}).select("size", *_columns(longest), "n")]
+    passes = [proposed]
     while True:
-        found = counted(docs, passes, longest, len(passes) == 1)
-        tables.append(materialize(found.where((F.col("size") == 0) | (F.col("n") >= least)), "frequent"))
+        found = counted(tokens, passes, longest).where(F.col("n") >= least)
+        tables.append(materialize(found, "frequent"))
         frequent = reduce(DataFrame.unionByName, tables)
-        shorter = [frequent.where(F.col("size") == size) for size in range(1, longest)]
-        if not any(_refused(part, members) for part, members in zip(shorter, passes[-1], strict=True)):
-            return frequent
-        passes.append([phrase_members(part) for part in shorter])
+        shorter = [(frequent.where(F.col("size") == size), size) for size in range(2, longest)]
+        if not any(_refused(part, members, size) for (part, size), members in zip(shorter, passes[-1][1:], strict=True)):
+            return Phrases(words, frequent)
+        passes.append([proposed[0], *(phrase_members(part, size) for part, size in shorter)])
 
 
 def collocations(
@@ -233,39 +285,48 @@ def collocations(
     """The strongest phrases of 2 to ``longest`` words of each language: lang, rank, phrase, a, l, r, n, score.
 
     ``docs`` has lang and text. Texts are lower-cased (A-Z) and cut into pieces at ``[.,;:!?\\x0A-\\x0D]``, these into words at
-    spaces and tabs; phrases lie within a piece and may overlap. a is the count of a phrase found ``least`` times or more; l and r are those of its
-    two parts at the cut with the lowest score, floor(1000000 * a * a / (l * r)), the earliest of several; n counts all words of the language. Phrases
-    within a longer frequent one that has ``covered`` percent of their count are left out. Ranked by score, count and phrase;
-    ``limit`` is the length of the report.
+    spaces and tabs; phrases lie within a piece and may overlap. a is the count of a phrase found ``least`` times or more; l and r are
+    those of its two parts at the cut with the lowest score, floor(1000000 * a * a / (l * r)), the earliest of several;
+    n counts all words of the language. Phrases within a longer frequent one that has ``covered`` percent of their count are
+    left out. Ranked by score, count and phrase; ``limit`` is the length of the report.
 
-    A null lang is ``und``; a null or empty text has no words, and neither has one of separators only. Every row counts, also if it repeats another. An empty
-    table gives an empty result. Other columns are ignored. See ``frequent_phrases`` for the method.
+    A null lang is ``und``; a null or empty text has no words, and neither has one of separators only. Every row counts, also
+    if it repeats another. An empty table gives an empty result. Other columns are ignored. See ``frequent_phrases`` for the method.
     """
-    frequent = frequent_phrases(docs, least, longest, rate)
-    known = frequent.where("size >= 1").select("lang", "phrase", "size", F.col("n").alias("a"))
-    candidates = known.where("size >= 2").withColumn("words", F.split("phrase", " "))
+    mined = frequent_phrases(docs, least, longest, rate)
+    columns = _columns(longest)
+    known = mined.frequent.withColumnRenamed("n", "a")
+    candidates = known.where("size >= 2")
 
-    def part(first, last):
-        return F.array_join(F.slice("words", first, last), " ")
+    def part(start: Column, length: Column) -> list[Column]:
+        """The words of a part, filled up with END."""
+        listed = F.concat(F.slice(F.array(*columns), start, length), F.array_repeat(F.lit(END).cast("long"), F.lit(longest) - length))
+        return [listed.alias("part")]
 
     cuts = candidates.select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", part(F.lit(1), F.col("k")).alias("left"), part(F.col("k") + 1, F.col("size") - F.col("k")).alias("right"))
-    for side, name in ("left", "l"), ("right", "r"):
-        counts = known.select("lang", F.col("phrase").alias(side), F.col("a").alias(name))
-        cuts = cuts.join(counts, ["lang", side])
+    for name, start, length in ("l", F.lit(1), F.col("k")), ("r", F.col("k") + 1, F.col("size") - F.col("k")):
+        keyed = cuts.select("*", *part(start, length))
+        keyed = keyed.withColumns({f"p{i}": F.get("part", F.lit(i)) for i in range(longest)}).drop("part")
+        counts = known.select(*[F.col(c).alias(f"p{i}") for i, c in enumerate(columns)], F.col("a").alias(name))
+        cuts = keyed.join(counts, [f"p{i}" for i in range(longest)]).drop(*[f"p{i}" for i in range(longest)])
     exact = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "l", "r")}
     cuts = cuts.withColumns({"over": exact["a"] * exact["a"] * F.lit(1000000).cast("decimal(7,0)"), "under": exact["l"] * exact["r"]})
     lowest = F.min(F.struct(F.expr("over div under").alias("score"), "k", "l", "r")).alias("cut")
-    scored = cuts.groupBy("lang", "phrase", "a").agg(lowest).select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
+    scored = cuts.groupBy("size", *columns, "a").agg(lowest).select("size", *columns, "a", "cut.l", "cut.r", "cut.score")
 
     lengths = F.sequence(F.lit(2), F.col("size") - 1)
-    inner = F.flatten(
-        F.transform(lengths, lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: F.array_join(F.slice("words", i, m), " ")))
-    )
-    longer = candidates.where("size >= 3").select("lang", F.explode(inner).alias("phrase"), "a")
-    longer = longer.groupBy("lang", "phrase").agg(F.max("a").alias("most"))
-    free = scored.join(longer, ["lang", "phrase"], "left").where(F.coalesce(F.col("most"), F.lit(0)) * 100 < F.col("a") * covered)
-    totals = frequent.where("size = 0").groupBy("lang").agg(F.sum("n").alias("n"))
-    free = free.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
+    inner = F.flatten(F.transform(lengths, lambda m: F.transform(F.sequence(F.lit(1), F.col("size") - m + 1), lambda i: part(i, m)[0])))
+    longer = candidates.where("size >= 3").select(F.explode(inner).alias("part"), "a")
+    longer = longer.select(*[F.get("part", F.lit(i)).alias(c) for i, c in enumerate(columns)], "a").groupBy(*columns).agg(F.max("a").alias("most"))
+    free = scored.join(longer, columns, "left").where(F.coalesce(F.col("most"), F.lit(0)) * 100 < F.col("a") * covered)
+
+    names = materialize(mined.words.where(F.col("n") >= least).select("hash", "word", F.col("lang").alias("of")), "names")
+    for c in columns:
+        named = names.select(F.col("hash").alias(c), F.col("word").alias(f"{c}_word"), *(["of"] if c == "w1" else []))
+        free = free.join(named, c, "left")  # END has no word
+    phrase = F.concat_ws(" ", *[f"{c}_word" for c in columns])
+    named = free.select(F.col("of").alias("lang"), phrase.alias("phrase"), "a", "l", "r", "score")
+    totals = mined.words.groupBy("lang").agg(F.sum("n").alias("n"))
+    named = named.join(totals, "lang").select("lang", "phrase", "a", "l", "r", "n", "score")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    return top_k(free, ["lang"], order, limit).withColumn("rank", F.col("rank").cast("long"))
+    return top_k(named, ["lang"], order, limit).withColumn("rank", F.col("rank").cast("long"))

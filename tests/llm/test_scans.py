@@ -203,14 +203,34 @@ def test_a_closed_border_takes_no_further_pass(spark, monkeypatch):
     """A sample of everything proposes all that is frequent; one that proposes nothing leaves all to the border."""
     passes = []
     count = ph.counted
-    monkeypatch.setattr(ph, "counted", lambda docs, members, longest, words: passes.append(len(members)) or count(docs, members, longest, words))
+    monkeypatch.setattr(ph, "counted", lambda tokens, members, longest: passes.append(len(members)) or count(tokens, members, longest))
     rows = [("en", "one two three four"), ("en", "five six")] * 12
     df = spark.createDataFrame(rows, "lang string, text string")
-    whole = ph.frequent_phrases(df, 10, 3, 1.0).count()
-    assert passes == [0, 1, 1]  # two of the sample, one full pass
+    whole = ph.frequent_phrases(df, 10, 3, 1.0).frequent.count()
+    assert whole == 6 + 4 + 2 and passes == [1, 1]  # one of the sample, one full pass
     passes.clear()
-    assert ph.frequent_phrases(df, 10, 3, 0.0).count() == whole
-    assert passes == [0, 1, 1, 2, 3]
+    assert ph.frequent_phrases(df, 10, 3, 0.0).frequent.count() == whole
+    assert passes == [1, 1, 2]
+
+
+def test_words_of_one_hash_get_another_seed(spark, monkeypatch):
+    """Under the first seed all words have one hash."""
+    tokenized = ph.tokenized
+
+    def clashing(docs, seed):
+        found = tokenized(docs, seed)
+        return found if seed else found.withColumn("hash", F.when(F.col("hash").isNotNull(), 7))
+
+    monkeypatch.setattr(ph, "tokenized", clashing)
+    df = spark.createDataFrame([("en", "one two one two three")] * 12, "lang string, text string")
+    assert mined(df) == plain_phrases([("en", "one two one two three")] * 12, 10, 3, 50, 2000)
+
+
+def test_blocks_of_tokens_lose_nothing(monkeypatch):
+    monkeypatch.setattr(ph, "BLOCK_WORDS", 10)
+    lists = [[1, 2, 0], [3] * 40 + [0], [4, 0], [5, 0, 6, 0], [7, 0]] * 3
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[i : i + 4], pa.list_(pa.int64()))], ["tokens"]) for i in range(0, len(lists), 4)]
+    assert np.concatenate(list(ph._token_blocks(batches))).tolist() == [x for part in lists for x in part]
 
 
 def test_words_of_blocks():

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from factloom.operators.bloom import MOST_BITS, bloom_of, mixed
 from factloom.session import materialize
 
 # Piece widths; a pattern uses the largest that fits, the empty pattern width 0.
@@ -115,7 +116,7 @@ def substring_matches(
     scope: list[str],
     key: list[str],
     carry: list[str] | None = None,
-    anchor_bound: int = 1_000_000,
+    most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """All (text, pattern) with ``pattern`` contained in ``text`` within equal ``scope``.
 
@@ -123,38 +124,38 @@ def substring_matches(
     ``patterns`` has ``scope + ['pattern']``. Comparison is exact; lower both sides
     beforehand to ignore case. The result has ``scope + key + carry + ['pattern']``.
 
-    Up to ``anchor_bound`` anchors travel to the scan of the texts, so that only pieces
-    equal to an anchor leave it and the texts are not shuffled. Beyond the bound all
-    pieces are shuffled and joined.
+    The anchors travel to the scan of the texts as a filter of bounded size, by scope, width and
+    piece; only pieces it lets through leave the scan, without their texts. They meet their anchors in a
+    join, and the candidates meet the texts: in place where they are few enough for
+    Spark to broadcast them, else each text is moved once, and those without a candidate not at
+    all where a runtime filter applies. One plan for any number of anchors.
     """
     carry = carry or []
     texts = texts.where(F.col("text").isNotNull()).select(*scope, *key, *carry, "text")
     patterns = patterns.where(F.col("pattern").isNotNull())
-    anchors = materialize(_anchors(patterns, scope), "anchors")
-    probe = anchors.select(*_PIECE).distinct().limit(anchor_bound + 1).toArrow()
-    bounded = probe.num_rows <= anchor_bound
-    wanted = np.sort(probe.column("piece").to_numpy()) if bounded else None
-    found_widths = probe if bounded else anchors.select("width").distinct().toArrow()
-    widths = sorted(set(found_widths.column("width").to_pylist()))
-    keep = texts.columns if bounded else [*scope, *key]
+    anchors = _anchors(patterns, scope).withColumn("_scope", F.xxhash64(*scope))
+    anchors = materialize(anchors, "anchors")
+    widths = sorted(r["width"] for r in anchors.select("width").distinct().collect())
+    wanted = bloom_of(anchors, ["_scope", *_PIECE], most_bits)
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+    keep = [*scope, *key]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             strings = batch.column("text").to_pylist()
+            scopes = batch.column("_scope").to_numpy()
             for lo, hi in _chunks(strings):
                 for width in widths:
                     rows, hashes = piece_hashes(strings[lo:hi], width)
-                    if wanted is not None:
-                        slot = np.minimum(np.searchsorted(wanted, hashes), max(wanted.size - 1, 0))
-                        hit = wanted[slot] == hashes
-                        rows, hashes = rows[hit], hashes[hit]
-                    rows, hashes = _distinct_pairs(rows, hashes)
+                    hit = shared.value.has(mixed(scopes[lo + rows], np.full(len(rows), width, np.int64), hashes))
+                    rows, hashes = _distinct_pairs(rows[hit], hashes[hit])
                     yield _emit(batch, keep, lo + rows, width, hashes)
 
     fields = [texts.schema[name] for name in keep]
-    hits = texts.mapInArrow(scan, T.StructType(fields + _PIECE_FIELDS))
-    found = hits.join(anchors, [*scope, *_PIECE]).drop(*_PIECE)
-    if not bounded:
-        found = found.join(texts, [*scope, *key])
-    found = found.where(F.contains("text", "pattern"))
-    return found.select(*scope, *key, *carry, "pattern")
+    scanned = texts.select(*keep, "text", F.xxhash64(*scope).alias("_scope"))
+    hits = scanned.mapInArrow(scan, T.StructType(fields + _PIECE_FIELDS))
+    candidates = hits.join(anchors.drop("_scope"), [*scope, *_PIECE]).select(*keep, "pattern").distinct()
+    candidates = materialize(candidates, "candidates")
+    same = [F.col(f"t.{c}") == F.col(f"c.{c}") for c in scope] + [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key]
+    found = texts.alias("t").join(candidates.alias("c"), same).where(F.contains("t.text", "c.pattern"))
+    return found.select(*[f"t.{c}" for c in [*scope, *key, *carry]], "c.pattern")

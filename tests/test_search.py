@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from factloom.functions.vectors import cosine
 from factloom.operators import search
 from factloom.operators.mentions import link_mentions
 from factloom.operators.nearest import nearest
+from factloom.operators.bloom import bloom_of, mixed
 from factloom.operators.substring import substring_matches
 
 FACTS = "user_id string, id int, title string, text string, category string, aliases map<string,string>"
@@ -129,8 +132,9 @@ def test_nearest_keeps_equal_vectors_in_id_order(spark):
     assert rows(nearest(vectors.repartition(7), asked, 5, 0.1), "id") == [(i,) for i in range(5)]
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 3])
-def test_substrings_equal_brute_force(spark, bound):
+@pytest.mark.parametrize("most_bits", [1 << 29, 1])
+def test_substrings_equal_brute_force(spark, most_bits):
+    """With the filter as it is, and with one so small that it lets nearly everything through."""
     rng = np.random.default_rng(5)
     letters = list("ab é😀")
 
@@ -141,11 +145,34 @@ def test_substrings_equal_brute_force(spark, bound):
     patterns = [("u%d" % (i % 2), word(0, 20)) for i in range(120)] + [("u0", ""), ("u0", "x" * 17), ("u0", "x" * 16)]
     left = spark.createDataFrame(texts, "user_id string, id int, text string")
     right = spark.createDataFrame(patterns, "user_id string, pattern string")
-    got = rows(substring_matches(left, right, ["user_id"], ["id"], anchor_bound=bound), "user_id", "id", "pattern")
+    got = rows(substring_matches(left, right, ["user_id"], ["id"], most_bits=most_bits), "user_id", "id", "pattern")
     want = sorted({(u, i, p) for u, i, t in texts for w, p in patterns if u == w and p in t})
     assert got == want
 
 
+def test_texts_stay_where_they_are(spark):
+    """Few candidates: no exchange holds a text. The plan is the same whatever the number of anchors."""
+    texts = spark.range(3000).select(F.lit("u").alias("user_id"), "id", F.concat_ws(" ", F.lit("a long text about item"), "id").alias("text"))
+    plans = []
+    for n in (1, 2000):
+        patterns = spark.range(n).select(F.lit("u").alias("user_id"), F.concat_ws(" ", F.lit("item"), F.col("id") + 500).alias("pattern"))
+        found = substring_matches(texts, patterns, ["user_id"], ["id"])
+        assert found.count() >= n
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+    for plan in plans:
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert re.sub(r"\d+|candidates-\w+", "", plans[0]).split("Location")[0] == re.sub(r"\d+|candidates-\w+", "", plans[1]).split("Location")[0]
+
+
+def test_a_filter_refuses_no_member(spark):
+    rng = np.random.default_rng(3)
+    members = [(int(a), int(b)) for a, b in rng.integers(-(2**62), 2**62, size=(5000, 2))]
+    bloom = bloom_of(spark.createDataFrame(members, "a long, b long").repartition(3), ["a", "b"])
+    a, b = np.array(members).T
+    assert bloom.has(mixed(a, b)).all()
+    assert bloom.has(mixed(b, a)).mean() < 0.05
+
+
 def test_mentions_by_text_and_alias(spark):
     facts = spark.createDataFrame(
         [

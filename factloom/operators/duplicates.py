@@ -26,6 +26,9 @@ HIGH_OVERLAP = 0.9
 LABEL_HIGH = "MERGE - high overlap"
 LABEL_VERIFY = "MERGE - verify and combine"
 
+# Fixed value: fields that a comparison of records shows by name.
+SHOWN_FIELDS = ("id", "title", "text", "date", "updatedAt", "similarity")
+
 _GROUP = ["user_id", "category"]
 
 
@@ -183,10 +186,17 @@ def completeness(records: DataFrame, fields: list[str]) -> DataFrame:
 def suggest_merge(
     records: DataFrame, cluster: list[str], fields: list[str], group_bound: int = GROUP_BOUND
 ) -> DataFrame:
-    """Rank the records of each cluster by completeness; rank 1 is the suggested master."""
+    """Rank the records of each cluster by completeness; rank 1 is the suggested master. ``record_count`` is the size
+    of the cluster."""
     ranked = materialize(completeness(records, fields), "completeness")
+    counts = ranked.groupBy(*cluster).agg(F.count("*").alias("record_count"))
     order = [F.desc("non_empty"), F.desc("text_len"), F.asc("id")]
     ranked = running_number(ranked, cluster, order, "rank", group_bound)
-    return ranked.withColumn("is_master", F.col("rank") == 1)
+    return ranked.withColumn("is_master", F.col("rank") == 1).join(materialize(counts, "record-counts"), cluster)
+
+
+def extra_fields(record: str) -> F.Column:
+    """Entries of a record (map of its fields) that a comparison does not show in columns of their own."""
+    return F.map_filter(record, lambda key, _: ~key.isin(*SHOWN_FIELDS))
 
 

@@ -102,7 +102,9 @@ def merged_facts(facts: DataFrame, written: DataFrame, lives: Lives) -> DataFram
     }
     if "aliases" in facts.columns:
         columns["aliases"] = F.coalesce("aliases", F.col("old.aliases"))
-    selected = [columns.get(c, F.col(f"old.{c}")).cast(facts.schema[c].dataType).alias(c) for c in facts.columns]
+    kinds = {f.name: f.dataType for f in facts.schema.fields}
+    given = {c: columns.get(c, F.col(f"old.{c}")) for c in facts.columns}
+    selected = [(value if kinds[c].typeName() == "map" else value.cast(kinds[c])).alias(c) for c, value in given.items()]
     touched = fresh | F.col("new_title").isNotNull() | F.col("new_text").isNotNull()
     return roots.select(*selected, touched.alias("touched"), fresh.alias("fresh"))
 

@@ -52,6 +52,44 @@ VIEWS = {
                case when event_type = 'signup' then 'General' when event_type = 'error' then 'People' end as category,
                case when event_type <> 'signup' then props ->> '$.k' end as k, event_type
         from events""",
+    "mchanges": """
+        select c.* replace (case when e.event_type = 'error' and e.value >= 8 and e.value < 15 then 'merge' else c.op end as op,
+                            case when e.event_type = 'error' and e.value >= 8 and e.value < 15 then concat('merged ', c.seq) else c.title end as title)
+        from changes c join events e on e.event_id = c.seq""",
+    "born": "select user_id, id, min(seq) filter (op = 'delete') as deleted from (select user_id, id, null as seq, '' as op from facts union all select user_id, id, seq, op from mchanges) group by all",
+    "masked": """
+        select m.seq, m.user_id, m.id as master, m.id + 4 as dup, row_number() over (order by m.seq) as n,
+               a.id is not null and b.id is not null and coalesce(x.deleted > m.seq, true) and coalesce(y.deleted > m.seq, true) as fine
+        from mchanges m left join facts a on a.user_id = m.user_id and a.id = m.id left join facts b on b.user_id = m.user_id and b.id = m.id + 4
+        left join born x on x.user_id = m.user_id and x.id = m.id left join born y on y.user_id = m.user_id and y.id = m.id + 4
+        where m.op = 'merge'""",
+    # One merge after another, with the list of those that are gone.
+    "judged": """
+        select cast(0 as bigint) as n, cast([] as bigint[]) as gone, cast(null as bigint) as seq, cast(null as bigint) as user_id,
+               cast(null as bigint) as master, cast(null as bigint) as dup, false as done
+        union all
+        select m.n, case when m.fine and not list_contains(gone, m.master) and not list_contains(gone, m.dup) then list_append(gone, m.dup) else gone end,
+               m.seq, m.user_id, m.master, m.dup, m.fine and not list_contains(gone, m.master) and not list_contains(gone, m.dup)
+        from judged j join masked m on m.n = j.n + 1""",
+    "done": "select seq, user_id, master, dup from judged where done",
+    "spans": """
+        select f.user_id, f.id, least(b.deleted, d.seq) as ended, d.seq as merged from facts f
+        left join born b on b.user_id = f.user_id and b.id = f.id left join done d on d.user_id = f.user_id and d.dup = f.id""",
+    "tree": """
+        select user_id, id as root, id as node, cast([] as bigint[]) as way from spans where ended is null
+        union all
+        select t.user_id, t.root, d.dup, list_append(t.way, d.seq) from tree t join done d on d.user_id = t.user_id and d.master = t.node""",
+    "mwrites": """
+        select c.user_id, c.id, c.seq, c.ts, c.title, c.text, c.category, c.k, c.event_type in ('purchase', 'view') as keyed
+        from mchanges c join spans s on s.user_id = c.user_id and s.id = c.id where c.op = 'update' and coalesce(c.seq < s.ended, true)
+        union all
+        select d.user_id, d.master, d.seq, c.ts, c.title, null, null, null, false from done d join mchanges c on c.seq = d.seq""",
+    "owned": """
+        select f.user_id, f.id, f.title, f.text, f.category, f.brand, cast(f.size as varchar) as size,
+               arg_max(w.title, w.seq) filter (w.title is not null) as new_title, arg_max(w.text, w.seq) filter (w.text is not null) as new_text,
+               arg_max(w.category, w.seq) filter (w.category is not null) as new_category, arg_max(w.k, w.seq) filter (w.keyed) as k,
+               max(w.ts) as updated_at
+        from facts f left join mwrites w on w.user_id = f.user_id and w.id = f.id group by all""",
     "exact_all": """
         select q.query_id, f.id, f.category, q.category as wanted,
                case when lower(f.title) = lower(q.query) then 2.0 when contains(lower(f.title), lower(q.query)) then 1.5
@@ -171,7 +209,7 @@ def _marked(text: str) -> str:
 
 
 # Views that others are defined by, beyond those their text names in a from clause.
-_RECURSIVE = {"reach"}
+_RECURSIVE = {"reach", "judged", "tree"}
 
 
 def _needed(text: str, known: dict[str, None]) -> None:
@@ -265,6 +303,10 @@ _SIMPLE = {
         select user_id, category, id, recency from (
           select *, row_number() over (partition by user_id, category order by ts desc, id) as recency from facts)
         where recency <= 500""",
+    "recency_pool_cut": """
+        select user_id, category, id, recency from (
+          select *, row_number() over (partition by user_id, category order by ts desc, id) as recency from facts)
+        where recency <= 3""",
     "duplicate_partners": """
         select user_id, category, id, count(*) as partners, round(avg(similarity), 4) as mean_similarity,
                round(max(similarity), 4) as best_similarity from sides group by all""",
@@ -283,6 +325,10 @@ _SIMPLE = {
         from (select id, 0 as position, cast(id as varchar) as record_id, 5 + case when size is null then 0 else 1 end as non_empty,
                      length(text) as text_len, '' as date from facts
               union all select id, 1, concat(id, '-copy'), 3, length(category), cast(cast(ts as date) as varchar) from facts)""",
+    "suggest_merge_extra": """
+        select id as cluster_id, 0 as position, 2 as record_count, unnest(['category', 'brand', 'note']) as key, unnest([category, brand, '']) as value from facts
+        union all select id, 0, 2, 'size', cast(size as varchar) from facts where size is not null
+        union all select id, 1, 2, 'tags', '[]' from facts""",
     "merge_edges": """
         select user_id, src, rel, dst from (
           select e.user_id, coalesce(a.master_id, e.src) as src, e.rel, coalesce(b.master_id, e.dst) as dst,
@@ -295,6 +341,26 @@ _SIMPLE = {
           select m.master_id, min(cast(p.size as varchar)) as size from merges m join facts p on p.id = m.dup_id group by 1
         ) x on x.master_id = f.id
         where f.id not in (select dup_id from merges)""",
+    "merge_chain": """
+        select user_id, min(id) as id, case when count(*) > 1 then concat('kept ', list_sort(list(id))[2]) else min(title) end as title,
+               arg_min(text, id) as text, category from facts group by user_id, category""",
+    "apply_changes_merges": """
+        select r.user_id, r.id, coalesce(r.new_title, r.title) as title, coalesce(r.new_text, r.text) as text,
+               coalesce(r.new_category, r.category) as category, r.brand, x.k, x.size, r.updated_at
+        from owned r join (
+          select t.user_id, t.root, arg_min(o.k, t.way) filter (o.k is not null) as k, arg_min(o.size, t.way) filter (o.size is not null) as size
+          from tree t join owned o on o.user_id = t.user_id and o.id = t.node group by all) x on x.user_id = r.user_id and x.root = r.id
+        union all
+        select user_id, id, title, text, category, null, null, null, null from mchanges where op = 'add'""",
+    "link_upsert_merges": """
+        select distinct e.user_id, a.root as src, e.rel, b.root as dst
+        from (select user_id, src, rel, dst from edges
+              union all
+              select c.user_id, c.id, 'WORKS_ON', c.id + 4 from mchanges c
+              join spans a on a.user_id = c.user_id and a.id = c.id and coalesce(c.seq < a.ended, true)
+              join spans b on b.user_id = c.user_id and b.id = c.id + 4 and coalesce(c.seq < b.ended, true) where c.op = 'link') e
+        join tree a on a.user_id = e.user_id and a.node = e.src join tree b on b.user_id = e.user_id and b.node = e.dst
+        where a.root <> b.root or (e.src = a.root and e.dst = b.root)""",
     "merge_mentions": """
         select distinct m.user_id, m.diary_id, coalesce(x.keep, m.fact_id) as fact_id
         from mentions m left join (select user_id, id, min(id) over (partition by user_id, left(text, 3)) as keep from names) x
@@ -312,6 +378,14 @@ _SIMPLE = {
           select r.user_id, r.seed, g.next, 2, count(*)
           from requests r join hops h on h.user_id = r.user_id and h.node = r.seed
           join hops g on g.user_id = h.user_id and g.node = h.next and g.edge <> h.edge group by all)""",
+    "neighborhood_types": """
+        select user_id, seed, id, depth, paths from (
+          select r.user_id, r.seed, h.next as id, 1 as depth, count(*) as paths
+          from requests r join hops h on h.user_id = r.user_id and h.node = r.seed and contains(h.edge, 'BOUGHT_R>') group by all
+          union all
+          select r.user_id, r.seed, g.next, 2, count(*)
+          from requests r join hops h on h.user_id = r.user_id and h.node = r.seed and contains(h.edge, 'BOUGHT_R>')
+          join hops g on g.user_id = h.user_id and g.node = h.next and g.edge <> h.edge and contains(g.edge, 'BOUGHT_R>') group by all)""",
     "neighborhood_distinct": """
         select user_id, seed, id, min(depth) as min_depth from (
           select r.user_id, r.seed, h.next as id, 1 as depth
@@ -322,6 +396,10 @@ _SIMPLE = {
           join hops g on g.user_id = h.user_id and g.node = h.next)
         where id <> seed group by all""",
     "link_mentions": "select user_id, diary_id, fact_id from mentions",
+    "mentions_by_alias": """
+        select distinct d.user_id, d.id as diary_id, n.id as fact_id
+        from diary d join names n on d.user_id = n.user_id
+          and (contains(lower(d.content), lower(n.text)) or contains(lower(d.content), lower(left(n.text, 24))))""",
     "apply_changes": """
         select f.user_id, f.id, coalesce(arg_max(c.title, c.seq) filter (c.title is not null), f.title) as title,
                coalesce(arg_max(c.text, c.seq) filter (c.text is not null), f.text) as text,

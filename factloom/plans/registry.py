@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import cosine, dot, metadata_from_json, name_uuid, norm, tag_list
@@ -190,6 +190,12 @@ def recency_pool_(s: Sample) -> DataFrame:
     return pool.select("user_id", "category", "id", _long("recency"))
 
 
+@query
+def recency_pool_cut(s: Sample) -> DataFrame:
+    """A pool that is smaller than most groups."""
+    return recency_pool(s.facts(), 3).select("user_id", "category", "id", _long("recency"))
+
+
 def _duplicates(s: Sample) -> dup.Duplicates:
     return dup.find_duplicates(s.facts(), s.vectors(), THRESHOLD)
 
@@ -236,8 +242,7 @@ def suggest_merge(s: Sample) -> DataFrame:
     )
 
 
-@query
-def suggest_merge_json(s: Sample) -> DataFrame:
+def _json_records(s: Sample) -> DataFrame:
     """Two records per fact, the second without most fields, as one JSON list each."""
     own = F.struct(
         F.col("id").cast("string").alias("id"), "title", "text", "category",
@@ -254,7 +259,7 @@ def suggest_merge_json(s: Sample) -> DataFrame:
         F.col("id").alias("cluster_id"),
         F.concat(F.lit("["), F.to_json(own), F.lit(","), F.to_json(copy), F.lit("]")).alias("cluster_json"),
     )
-    records = records_from_json(clusters, "cluster_json").select(
+    return records_from_json(clusters, "cluster_json").select(
         "cluster_id",
         "position",
         F.col("record")["id"].alias("id"),
@@ -262,12 +267,24 @@ def suggest_merge_json(s: Sample) -> DataFrame:
         tr.shown_date(F.col("record")["date"], F.col("record")["updatedAt"]).alias("date"),
         "record",
     )
-    ranked = dup.suggest_merge(records, ["cluster_id"], ["record"])
+
+
+@query
+def suggest_merge_json(s: Sample) -> DataFrame:
+    ranked = dup.suggest_merge(_json_records(s), ["cluster_id"], ["record"])
     return ranked.select(
         "cluster_id", "position", F.col("id").alias("record_id"), _long("non_empty"), _long("text_len"), _long("rank"), "date"
     )
 
 
+@query
+def suggest_merge_extra(s: Sample) -> DataFrame:
+    """Number of records and fields beyond the shown ones, one per row."""
+    ranked = dup.suggest_merge(_json_records(s), ["cluster_id"], ["record"])
+    extra = F.explode_outer(dup.extra_fields("record")).alias("key", "value")
+    return ranked.select("cluster_id", "position", _long("record_count"), extra)
+
+
 def _merges(s: Sample) -> DataFrame:
     ranked = _suggested(s).select(*_CLUSTER, "id", "is_master")
     masters = ranked.where("is_master").select(*_CLUSTER, F.col("id").alias("master_id"))
@@ -296,6 +313,16 @@ def merge_properties(s: Sample) -> DataFrame:
     return _merged(s)[1]
 
 
+@query
+def merge_chain(s: Sample) -> DataFrame:
+    """Each fact is merged into the one before it in its category: all end in the first."""
+    before = F.lag("id").over(Window.partitionBy("user_id", "category").orderBy("id"))
+    pairs = s.facts().select("user_id", F.col("id").alias("dup_id"), before.alias("master_id")).where("master_id is not null")
+    named = pairs.withColumns({"title": F.concat(F.lit("kept "), F.col("dup_id").cast("string")), "text": F.lit(None).cast("string")})
+    merged, _ = merging.merge_facts(s.snapshot(), materialize(named, "merges"))
+    return merged.facts.select("user_id", "id", "title", "text", "category")
+
+
 @query
 def merge_mentions(s: Sample) -> DataFrame:
     """Names that begin alike are merged into the first of them."""
@@ -310,6 +337,12 @@ def neighborhood_paths(s: Sample) -> DataFrame:
     return graph.neighborhood_paths(s.edges(), s.view_requests(), depth=2)
 
 
+@query
+def neighborhood_types(s: Sample) -> DataFrame:
+    """Neighbours over relationships of one type."""
+    return graph.neighborhood_paths(s.edges(), s.view_requests(), depth=2, rel_types=["bought_r"])
+
+
 @query
 def neighborhood_distinct(s: Sample) -> DataFrame:
     return graph.neighborhood_distinct(s.edges(), s.view_requests(), depth=2)
@@ -320,6 +353,13 @@ def link_mentions_(s: Sample) -> DataFrame:
     return _mentions(s)
 
 
+@query
+def mentions_by_alias(s: Sample) -> DataFrame:
+    """Names with an alias each: their beginning."""
+    names = s.names().withColumn("aliases", F.create_map(F.left("text", F.lit(24)), F.lit("0.5")))
+    return link_mentions(s.diary(), names)
+
+
 def _flat_facts(facts: DataFrame) -> DataFrame:
     return facts.select("user_id", "id", "title", "text", "category", _meta("brand"), _meta("k"), "updated_at")
 
@@ -329,6 +369,23 @@ def apply_changes(s: Sample) -> DataFrame:
     return _flat_facts(chg.apply_changes(s.snapshot(), s.changes()).facts)
 
 
+def _after_merging_log(s: Sample) -> Snapshot:
+    return chg.apply_changes(s.snapshot(), materialize(s.merging_changes(), "log"))
+
+
+@query
+def apply_changes_merges(s: Sample) -> DataFrame:
+    """A log that adds, updates, deletes and merges, each row as of its moment."""
+    facts = _after_merging_log(s).facts
+    return facts.select("user_id", "id", "title", "text", "category", _meta("brand"), _meta("k"), _meta("size"), "updated_at")
+
+
+@query
+def link_upsert_merges(s: Sample) -> DataFrame:
+    """Edges after a log that also links and merges."""
+    return _after_merging_log(s).edges.select("user_id", "src", "rel", "dst")
+
+
 @query
 def delete_detach(s: Sample) -> DataFrame:
     gone = chg.detached(chg.fold_facts(s.changes()))

@@ -149,6 +149,16 @@ class Sample:
             F.when(kind == "click", F.create_map(F.lit("k"), k)).alias("props"),
         )
 
+    def merging_changes(self) -> DataFrame:
+        """The changes, except that errors of middling value merge the part after next of the tenant into theirs."""
+        log = self.changes()
+        events = self.table("events").select(F.col("event_id").alias("seq"), "event_type", "value")
+        merging = (F.col("event_type") == "error") & (F.col("value") >= 8) & (F.col("value") < 15)
+        log = log.join(events, "seq").withColumn("dup_id", F.when(merging, F.col("id") + TENANTS))
+        log = log.withColumn("op", F.when(merging, "merge").otherwise(F.col("op")))
+        title = F.when(merging, F.concat(F.lit("merged "), F.col("seq").cast("string"))).otherwise(F.col("title"))
+        return log.withColumn("title", title).drop("event_type", "value")
+
     def view_requests(self) -> DataFrame:
         """Facts somebody looked at: the seeds of neighbourhoods."""
         base = F.floor(F.col("event_id") / 5)

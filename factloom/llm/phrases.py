@@ -20,7 +20,7 @@ from factloom.session import materialize
 #: Language of a document without one.
 NO_LANG = "und"
 #: Text, and words, that are worked on at once.
-BLOCK_BYTES, BLOCK_WORDS = 3_000_000, 1 << 20
+BLOCK_BYTES, BLOCK_WORDS, ROW_WORDS = 3_000_000, 1 << 18, 100
 #: Stands between pieces in place of a word.
 END = 0
 #: Bits of a filter for each phrase, and at most: 64 MB. A fuller filter admits more phrases than it should, which
@@ -123,7 +123,8 @@ def _refused(phrases: DataFrame, members: Members, size: int) -> bool:
 
 def tokenized(docs: DataFrame, seed: int) -> DataFrame:
     """Texts read once, as two kinds of rows: (lang, word, hash, n), the words of a block of texts, and tokens, the
-    hashes of a text's words in order with END after each piece. A hash stands for a word in a language."""
+    hashes of words in order with END after each piece. A hash stands for a word in a language. Rows of tokens hold whole
+    pieces and about ROW_WORDS words, whatever the length of a text, so that what is read again comes in small batches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -147,8 +148,9 @@ def tokenized(docs: DataFrame, seed: int) -> DataFrame:
             last = np.append(piece[1:] != piece[:-1], True)
             at = np.flatnonzero(last) + 1
             tokens = np.insert(hashes[own], at, END)
-            sizes = np.bincount(row, minlength=len(block)) + np.bincount(row[at - 1], minlength=len(block))
-            lists = list_array(tokens, sizes[sizes > 0], pa.int64())
+            ends = np.flatnonzero(tokens == END) + 1
+            cuts = ends[np.append(ends[1:] // ROW_WORDS != ends[:-1] // ROW_WORDS, True)]
+            lists = list_array(tokens, np.diff(cuts, prepend=0), pa.int64())
             empty = [pa.nulls(len(lists), kind) for kind in (pa.string(), pa.string(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*empty, lists], names)
 
@@ -195,7 +197,7 @@ def block_counts(tokens: np.ndarray, passes: list[list[Members]], longest: int)
 
 
 def _token_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The tokens of several texts together, about BLOCK_WORDS at a time; each text ends with END."""
+    """The tokens of several rows together, about BLOCK_WORDS at a time; each row ends with END."""
     held, size = [], 0
     for batch in batches:
         flat, at = list_parts(batch.column("tokens"))
@@ -249,8 +251,8 @@ def word_tables(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 def frequent_phrases(docs: DataFrame, least: int, longest: int, rate: float, seed: int = 0) -> Phrases:
     """All phrases of up to ``longest`` words found ``least`` times in their language.
 
-    Words are counted over all documents first. Then a sample of ``rate`` of the documents proposes longer phrases that
-    reach a lowered count there. The first full pass counts the proposals and their negative border: each phrase whose two
+    Words are counted over all documents first. Then a sample of ``rate`` of the texts, drawn by runs of pieces, proposes longer
+    phrases that reach a lowered count there. The first full pass counts the proposals and their negative border: each phrase whose two
     parts, without its last or its first word, are frequent words or were proposed. That is tested on filters of
     bounded size, so the border is never listed. Where a phrase of the border proves frequent, longer ones with it were
     not counted: then a further pass counts those, and only those, that its filters admit and the earlier ones did

@@ -47,7 +47,8 @@ class WordEncoder:
     """A byte-level tokenizer of the tokenizers library that encodes each distinct word of a block once.
 
     Its pattern starts a new token at every single space between two non-blanks, and at marks after
-    letters, so a text may be cut there. Texts with other blanks around a space are encoded whole.
+    letters, so a text may be cut there. Texts with other blanks around a space, or with one of the
+    tokenizer's added tokens (``<|endoftext|>``), are encoded whole, as the library does it.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size()
         # In a byte-level vocabulary each character of a token stands for one byte.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
@@ -77,7 +78,10 @@ class WordEncoder:
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and how many each has."""
-        odd = pc.match_substring_regex(texts, f"{ODD_SPACE}|{CUT}").to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, f"{ODD_SPACE}|{CUT}")
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        odd = whole.to_numpy(zero_copy_only=False)
         whole = self._encode(texts.filter(pa.array(odd)).to_pylist())
         cut = pc.replace_substring(pc.if_else(pa.array(odd), "", texts), " ", f"{CUT} ")
         cut = pc.replace_substring_regex(cut, MARK_AFTER_LETTER, rf"\1{CUT}\2")

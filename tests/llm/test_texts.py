@@ -269,9 +269,9 @@ def test_token_files(spark, odd, small_docs, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
+    assert tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
     docs = odd.select("doc_id", "text").unionByName(small_docs.selectExpr("doc_id + 100 as doc_id", "text"))
-    extra = [(900, "a  b   c"), (901, "tabs\t and \n lines  \n x"), (902, " lead and trail "), (903, "  "), (904, "<|endoftext|> here")]
+    extra = [(900, "a  b   c"), (901, "tabs\t and \n lines  \n x"), (902, " lead and trail "), (903, "  "), (904, "<|endoftext|> here"), (905, "hello <|endoftext|> world"), (906, "a<|endoftext|><|endoftext|>\n<|endoftext|"), (907, "one <|endof text|> two")]
     docs = docs.unionByName(spark.createDataFrame(extra, "doc_id long, text string")).repartition(3)
     out = str(tmp_path / "tokens")
     write_token_files(docs, BPE, out)

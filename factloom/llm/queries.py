@@ -14,7 +14,7 @@ from factloom.llm.language import identify_languages, learn_languages
 from factloom.llm.licenses import scan_licenses
 from factloom.llm.lines import drop_common_lines
 from factloom.llm.merkle import hex_text, leaf_digest, merkle_manifest, path_digest, verified_manifest
-from factloom.llm.mixing import mix_documents
+from factloom.llm.mixing import mix_documents, word_count
 from factloom.llm.neighbours import near_duplicate_vectors
 from factloom.llm.outliers import judge_documents
 from factloom.llm.phrases import collocations
@@ -46,7 +46,10 @@ def with_topics(docs: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    mixed = mix_documents(with_topics(docs, spark.read.parquet(f"{folder}/embeddings.parquet")), ALPHAS, rate=RATE)
+    # Words are counted where texts are read: only the counts meet the topics.
+    docs = docs.select("doc_id", "source", "lang", word_count(F.col("text")).alias("n_tokens"))
+    docs = with_topics(docs, spark.read.parquet(f"{folder}/embeddings.parquet"))
+    mixed = mix_documents(docs, ALPHAS, rate=RATE, tokens=F.col("n_tokens"))
     return mixed.withColumn("expected", F.round("expected", 4))
 
 

@@ -491,6 +491,7 @@ _TWINS = {
     "duplicate_clusters_tiled": "duplicate_clusters",
     "duplicate_partners_tiled": "duplicate_partners",
     "search_vector_tiled": "search_vector",
+    "search_vector_index": "search_vector",
 }
 
 

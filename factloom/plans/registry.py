@@ -16,6 +16,7 @@ from factloom.operators.embedding import embed_queries, embed_text
 from factloom.operators.mentions import link_mentions
 from factloom.operators.nearest import nearest
 from factloom.operators.similarity import recency_pool
+from factloom.operators.vector_index import build_index, search_index
 from factloom.plans.sample import TENANTS, Sample
 from factloom.session import materialize, scratch_path
 from factloom.sources.tables import Snapshot, records_from_json, write_snapshot
@@ -114,6 +115,15 @@ def search_vector_tiled(s: Sample) -> DataFrame:
     return found.select("query_id", "id", _r4("score"), _long("rank"))
 
 
+@query
+def search_vector_index(s: Sample) -> DataFrame:
+    """As ``search_vector``, over a stored index with lists so small that every tenant has several."""
+    path = scratch_path(s.spark, "vector-index")
+    build_index(s.vectors(), path, list_rows=20)
+    found = search_index(s.spark, path, s.queries(), search.fetch_size(5), TOP_P)
+    return found.select("query_id", "id", _r4("score"), _long("rank"))
+
+
 @query
 def search_boosted(s: Sample) -> DataFrame:
     return search.boosted_hits(_hits(s), s.facts(), s.queries()).select("query_id", "id", _r4("score"))

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions.vectors import cosine
-from factloom.operators import search
+from factloom.operators import search, vector_index
+from factloom.operators.bloom import bloom_of, mixed
 from factloom.operators.mentions import link_mentions
 from factloom.operators.nearest import nearest
-from factloom.operators.bloom import bloom_of, mixed
 from factloom.operators.substring import substring_matches
 
 FACTS = "user_id string, id int, title string, text string, category string, aliases map<string,string>"
@@ -132,6 +132,42 @@ def test_nearest_keeps_equal_vectors_in_id_order(spark):
     assert rows(nearest(vectors.repartition(7), asked, 5, 0.1), "id") == [(i,) for i in range(5)]
 
 
+def clustered(spark, n, seed, spread):
+    rng = np.random.default_rng(seed)
+    data = [("uv"[i % 7 == 0], i, "AB"[i % 2], (np.eye(10)[i % 10] + spread * rng.normal(size=10)).tolist()) for i in range(n)]
+    data += [("u", n, "A", [0.0] * 10), ("w", n + 1, "A", [1.0] + [0.0] * 9)]
+    return spark.createDataFrame(data, "user_id string, id int, category string, embedding array<float>")
+
+
+@pytest.mark.parametrize("least", [0.2, -1.0])
+def test_index_equals_scan(spark, tmp_path, least):
+    vectors, asked = clustered(spark, 700, 1, 0.3), clustered(spark, 90, 2, 0.4)
+    asked = asked.select(
+        F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("vec"), F.when(F.col("id") % 3 == 0, F.col("category")).alias("category")
+    )
+    path = f"{tmp_path}/index"
+    vector_index.build_index(vectors, path, list_rows=60)
+    fields = ("query_id", "id", "score", "rank")
+    assert rows(vector_index.search_index(spark, path, asked, 6, least), *fields) == rows(nearest(vectors, asked, 6, least), *fields)
+    with pytest.raises(Exception, match="already exists"):
+        vector_index.build_index(vectors, path)
+
+
+def test_index_reads_few_lists(spark, tmp_path, monkeypatch):
+    """In tight clusters most lists are ruled out; fewer probes lose hits, and that is measured."""
+    vectors = clustered(spark, 1500, 3, 0.03)
+    asked = vectors.where("id < 100").select(F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("vec"), F.lit(None).cast("string").alias("category"))
+    path = f"{tmp_path}/index"
+    vector_index.build_index(vectors, path, list_rows=100)
+    probed, scored = [], vector_index._scored
+    monkeypatch.setattr(vector_index, "_scored", lambda lists, queries, probes, *rest: probed.append(probes.count()) or scored(lists, queries, probes, *rest))
+    vector_index.search_index(spark, path, asked, 5, 0.5).collect()
+    n_lists = spark.read.parquet(f"{path}/centroids").where("user_id = 'u'").count()
+    assert n_lists > 8 and sum(probed) < 0.5 * 85 * n_lists
+    assert vector_index.index_recall(spark, path, asked, 5, 0.5, probes=n_lists) == 1.0
+    assert 0.2 < vector_index.index_recall(spark, path, asked, 150, 0.5, probes=1) < 1.0
+
+
 @pytest.mark.parametrize("most_bits", [1 << 29, 1])
 def test_substrings_equal_brute_force(spark, most_bits):
     """With the filter as it is, and with one so small that it lets nearly everything through."""

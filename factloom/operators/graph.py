@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import first_filled
@@ -91,14 +91,17 @@ def neighborhood_paths(
     ``seeds``: scope + seed. Direction is ignored; a path uses no edge twice but may
     revisit nodes. Returns scope + seed, id, depth, paths.
 
-    The last hop is reduced while it is joined, so the longest paths are never kept. A
-    hub next to many seeds reaches all of its neighbours from each of them; that many
+    Up to three hops paths are counted, not listed (``_counted_paths``). Beyond that they are
+    listed with their edges; the last hop is reduced while it is joined, so the longest ones
+    are never kept. A hub next to many seeds reaches all of its neighbours from each of them; that many
     rows are the answer, and the join on the hub is split by adaptive execution.
     """
     if depth < 1:
         raise ValueError("depth must be at least 1")
     scope = list(scope)
     hops = _adjacency(edges, scope, rel_types)
+    if depth <= 3:
+        return _counted_paths(hops, seeds, depth, scope)
     walks = seeds.select(*scope, "seed", F.col("seed").alias("node")).distinct()
     result = []
     for length in range(1, depth + 1):
@@ -115,6 +118,52 @@ def neighborhood_paths(
     return _union(result).select(*scope, "seed", "id", "depth", "paths")
 
 
+def _counted_paths(hops: DataFrame, seeds: DataFrame, depth: int, scope: list[str]) -> DataFrame:
+    """Paths of one to three hops from numbers of walks, without listing any.
+
+    With n(u, v) edges between u and v, walks of any length multiply and add up, whatever the number of edges of a hub. Those
+    that use an edge twice are taken off: with two hops they go out and back on an edge of the seed. With three the first and second
+    are one edge (degree(seed) * n(seed, id)), the second and third (n(seed, id) * degree(id)), or the first and third: out, back
+    over any parallel edge and out again (n(seed, id) squared), or out, over a loop and back to the seed. Walks on one edge only
+    are taken off three times and belong to all three kinds, so they are added twice."""
+    pairs = materialize(hops.groupBy(*scope, "node", "next").agg(F.count("*").alias("n")), "adjacency")
+    degrees = pairs.groupBy(*scope, "node").agg(F.sum("n").alias("degree"))
+    start = seeds.select(*scope, "seed").distinct()
+    start = start.join(degrees.withColumnRenamed("node", "seed"), [*scope, "seed"])
+    key = [*scope, "seed", "id"]
+
+    def further(walks: DataFrame) -> DataFrame:
+        onward = pairs.select(*scope, F.col("node").alias("id"), "next", F.col("n").alias("m"))
+        longer = walks.join(onward, [*scope, "id"]).groupBy(*scope, "seed", F.col("next").alias("id"))
+        return longer.agg(F.sum(F.col("n") * F.col("m")).alias("n"))
+
+    def row(df: DataFrame, length: int, paths: Column) -> DataFrame:
+        found = df.select(*key, F.lit(length).cast("long").alias("depth"), paths.cast("long").alias("paths"))
+        return found.where(F.col("paths") > 0)
+
+    at_seed = F.col("id") == F.col("seed")
+    first = start.select(*scope, "seed").join(pairs.withColumnRenamed("node", "seed"), [*scope, "seed"])
+    first = first.withColumnRenamed("next", "id")
+    result = [row(first, 1, F.col("n"))]
+    if depth >= 2:
+        second = materialize(further(first), "walks")
+        back = F.when(at_seed, F.col("degree")).otherwise(0)
+        result.append(row(second.join(start, [*scope, "seed"]), 2, F.col("n") - back))
+    if depth == 3:
+        loops = pairs.where("node = next").select(*scope, F.col("node").alias("id"), F.col("n").alias("loops"))
+        over_loops = first.where(~at_seed).join(loops, [*scope, "id"]).groupBy(*scope, "seed")
+        over_loops = over_loops.agg(F.sum(F.col("n") * F.col("loops")).alias("over_loops"))
+        direct = first.select(*key, F.col("n").alias("direct"))
+        third = further(second).join(start, [*scope, "seed"]).join(direct, key, "left")
+        third = third.join(degrees.select(*scope, F.col("node").alias("id"), F.col("degree").alias("id_degree")), [*scope, "id"])
+        third = third.join(over_loops, [*scope, "seed"], "left")
+        edges = F.coalesce("direct", F.lit(0))
+        ends_meet = edges * edges + F.when(at_seed, F.coalesce("over_loops", F.lit(0))).otherwise(0)
+        repeated = F.col("degree") * edges + edges * F.col("id_degree") + ends_meet - 2 * edges
+        result.append(row(third, 3, F.col("n") - repeated))
+    return _union(result).select(*scope, "seed", "id", "depth", "paths")
+
+
 def neighborhood_distinct(
     edges: DataFrame,
     seeds: DataFrame,

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from collections import Counter
 from dataclasses import replace
 
@@ -62,6 +63,34 @@ def test_paths_in_a_multigraph(spark):
     assert near == {(2, 1), (3, 1)}
 
 
+def listed_paths(edges, seeds, depth):
+    """Every path, edge by edge."""
+    found = Counter()
+    for seed in seeds:
+        front = [(seed, ())]
+        for length in range(1, depth + 1):
+            front = [
+                (dst if node == src else src, (*used, i))
+                for node, used in front
+                for i, (src, dst) in enumerate(edges)
+                if node in (src, dst) and i not in used
+            ]
+            found.update((seed, node, length) for node, _ in front)
+    return dict(found)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_counted_paths_equal_listed_ones(spark, seed):
+    """Random multigraphs with loops, parallel edges and a hub."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(5), rng.randrange(5)) for _ in range(9)] + [(0, rng.randrange(5)) for _ in range(4)] + [(3, 3), (3, 3), (6, 6)]
+    df = spark.createDataFrame([("u", a, "R", b, i) for i, (a, b) in enumerate(edges)], "user_id string, src int, rel string, dst int, edge_id int")
+    seeds = spark.createDataFrame([("u", i) for i in range(8)], "user_id string, seed int")
+    for depth in (1, 2, 3, 4):
+        got = {(r.seed, r.id, r.depth): r.paths for r in graph.neighborhood_paths(df, seeds, depth).collect()}
+        assert got == listed_paths(edges, range(8), depth)
+
+
 def test_neighborhood_options(spark):
     edges = spark.createDataFrame([("u", 1, "A", 2), ("u", 2, "B", 3), ("u", 3, "A", 3)], "user_id string, src int, rel string, dst int")
     seeds = spark.createDataFrame([("u", 1), ("u", 3)], "user_id string, seed int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -121,15 +122,21 @@ def _refused(phrases: DataFrame, members: Members, size: int) -> bool:
     return bool(phrases.select(*_columns(size)).mapInArrow(run, "w1 long").take(1))
 
 
-def tokenized(docs: DataFrame, seed: int) -> DataFrame:
-    """Texts read once, as two kinds of rows: (lang, word, hash, n), the words of a block of texts, and tokens, the
+def word_hash(salt: int) -> Column:
+    """The hash of a word (lang, word), as ``tokenized`` computes it."""
+    hashed = F.xxhash64(F.concat_ws(" ", F.lit(str(salt)), "lang", "word"))
+    return F.when(hashed == END, F.lit(1).cast("long")).otherwise(hashed)
+
+
+def tokenized(docs: DataFrame, salt: int) -> DataFrame:
+    """Texts read once, as two kinds of rows: (lang, word, n), the words of a block of texts, and tokens, the
     hashes of words in order with END after each piece. A hash stands for a word in a language. Rows of tokens hold whole
     pieces and about ROW_WORDS words, whatever the length of a text, so that what is read again comes in small batches."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        names = ["lang", "word", "hash", "n", "tokens"]
+        names = ["lang", "word", "n", "tokens"]
         for block in text_blocks(batches, limit=BLOCK_BYTES):
             flat, row, piece = piece_words(block.column("__text"))
             if not len(flat):
@@ -141,20 +148,20 @@ def tokenized(docs: DataFrame, seed: int) -> DataFrame:
             word = distinct.take(pa.array(kinds % len(distinct))).cast(pa.string())
             digest = xxhash.xxh64_intdigest
             pairs = zip(lang.to_pylist(), word.to_pylist(), strict=True)
-            hashes = np.array([digest(f"{a} {w}", seed) for a, w in pairs], np.uint64).view(np.int64)
+            hashes = np.array([digest(f"{salt} {a} {w}", 42) for a, w in pairs], np.uint64).view(np.int64)
             hashes[hashes == END] = 1
             n, none = np.bincount(own, minlength=len(kinds)).astype(np.int64), len(kinds)
-            yield pa.RecordBatch.from_arrays([lang, word, pa.array(hashes), pa.array(n), pa.nulls(none, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([lang, word, pa.array(n), pa.nulls(none, pa.list_(pa.int64()))], names)
             last = np.append(piece[1:] != piece[:-1], True)
             at = np.flatnonzero(last) + 1
             tokens = np.insert(hashes[own], at, END)
             ends = np.flatnonzero(tokens == END) + 1
             cuts = ends[np.append(ends[1:] // ROW_WORDS != ends[:-1] // ROW_WORDS, True)]
             lists = list_array(tokens, np.diff(cuts, prepend=0), pa.int64())
-            empty = [pa.nulls(len(lists), kind) for kind in (pa.string(), pa.string(), pa.int64(), pa.int64())]
+            empty = [pa.nulls(len(lists), kind) for kind in (pa.string(), pa.string(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*empty, lists], names)
 
-    return docs.mapInArrow(run, "lang string, word string, hash long, n long, tokens array<long>")
+    return docs.mapInArrow(run, "lang string, word string, n long, tokens array<long>")
 
 
 def _admitted(hashes: np.ndarray, levels: list[Members], longest: int) -> list[np.ndarray]:
@@ -236,16 +243,23 @@ class Phrases:
 
 
 def word_tables(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(words, tokens). Two words of one hash, of which one is frequent, would be counted as one: then another seed is taken."""
-    seed = 0
+    """(words, tokens). Two words of one hash, of which one is frequent, would be counted as one: then another salt is taken."""
+    salt = 0
     while True:
-        stored = materialize(tokenized(docs, seed), "tokens")
-        words = stored.where("tokens is null").groupBy("hash", "lang", "word").agg(F.sum("n").alias("n"))
-        words = materialize(words, "words")
+        stored = materialize(tokenized(docs, salt), "tokens")
+        words = stored.where("tokens is null").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        words = materialize(words.withColumn("hash", word_hash(salt)), "words")
         shared = words.groupBy("hash").agg(F.count("*").alias("kinds"), F.max("n").alias("n"))
         if not shared.where((F.col("kinds") > 1) & (F.col("n") >= least)).take(1):
             return words, stored.where("tokens is not null").select("tokens")
-        seed += 1
+        salt += 1
+
+
+def _release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored by now. Its cleaner follows the garbage
+    collection of the driver, which a small driver heap of a long job may not need for hours."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int, rate: float, seed: int = 0) -> Phrases:
@@ -261,12 +275,15 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, rate: float, see
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), "text")
     words, tokens = word_tables(docs, least)
     frequent_words = materialize(words.where(F.col("n") >= least).select(F.col("hash").alias("w1"), "n"), "frequent-words")
+    _release(docs)
     lowered = max(2, floor(0.8 * rate * least))
-    sample = materialize(tokens.sample(rate, seed), "sample")
+    sample = tokens.sample(rate, seed)
     proposed = [phrase_members(frequent_words, 1)]
     for size in range(2, longest):
         found = counted(sample, [proposed], size).where((F.col("size") == size) & (F.col("n") >= lowered))
         proposed.append(phrase_members(materialize(found, "proposed"), size))
+        del found
+        _release(docs)
 
     unused = {c: F.lit(END).cast("long") for c in _columns(longest)[1:]}
     tables = [frequent_words.withColumns({"size": F.lit(1), **unused}).select("size", *_columns(longest), "n")]
@@ -274,6 +291,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int, rate: float, see
     while True:
         found = counted(tokens, passes, longest).where(F.col("n") >= least)
         tables.append(materialize(found, "frequent"))
+        del found
+        _release(docs)
         frequent = reduce(DataFrame.unionByName, tables)
         shorter = [(frequent.where(F.col("size") == size), size) for size in range(2, longest)]
         if not any(_refused(part, members, size) for (part, size), members in zip(shorter, passes[-1][1:], strict=True)):

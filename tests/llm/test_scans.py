@@ -213,19 +213,29 @@ def test_a_closed_border_takes_no_further_pass(spark, monkeypatch):
     assert passes == [1, 1, 2]
 
 
-def test_words_of_one_hash_get_another_seed(spark, monkeypatch):
-    """Under the first seed all words have one hash."""
-    tokenized = ph.tokenized
+def test_words_of_one_hash_get_another_salt(spark, monkeypatch):
+    """Under the first salt all words have one hash."""
+    tokenized, word_hash = ph.tokenized, ph.word_hash
 
-    def clashing(docs, seed):
-        found = tokenized(docs, seed)
-        return found if seed else found.withColumn("hash", F.when(F.col("hash").isNotNull(), 7))
+    def clashing(docs, salt):
+        found = tokenized(docs, salt)
+        return found if salt else found.withColumn("tokens", F.transform("tokens", lambda t: F.when(t == 0, 0).otherwise(7).cast("long")))
 
     monkeypatch.setattr(ph, "tokenized", clashing)
+    monkeypatch.setattr(ph, "word_hash", lambda salt: word_hash(salt) if salt else F.lit(7).cast("long"))
     df = spark.createDataFrame([("en", "one two one two three")] * 12, "lang string, text string")
     assert mined(df) == plain_phrases([("en", "one two one two three")] * 12, 10, 3, 50, 2000)
 
 
+def test_hashes_of_words_are_those_of_their_tokens(odd):
+    docs = odd.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
+    for salt in (0, 3):
+        stored = ph.tokenized(docs, salt)
+        words = {r[0] for r in stored.where("tokens is null").select(ph.word_hash(salt)).collect()}
+        tokens = {t for r in stored.where("tokens is not null").collect() for t in r.tokens}
+        assert tokens == words | {ph.END}
+
+
 def test_blocks_of_tokens_lose_nothing(monkeypatch):
     monkeypatch.setattr(ph, "BLOCK_WORDS", 10)
     lists = [[1, 2, 0], [3] * 40 + [0], [4, 0], [5, 0, 6, 0], [7, 0]] * 3

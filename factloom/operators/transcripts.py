@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions.text import SPACE, first_filled, strip, title_key
+from factloom.operators.fuzzy import names_within
 from factloom.operators.substring import substring_matches
 
 # Filler words to remove.
@@ -134,29 +135,22 @@ def parse_aliases(text: Column | str) -> Column:
     return F.map_from_entries(firsts)
 
 
-def resolve_people(names: DataFrame, facts: DataFrame, category: str | None = "People") -> DataFrame:
+def resolve_people(
+    names: DataFrame, facts: DataFrame, category: str | None = "People", aliases: bool = False, max_edits: int = 0
+) -> DataFrame:
     """How many facts each extracted name may mean: none, single or multiple.
 
     ``names``: user_id, name. A fact is a candidate if its title contains the name, or,
-    for names over three characters, its text does. Returns user_id, name, candidates,
-    resolution and, for a single candidate, match_id.
+    for names over three characters, its text does; with ``aliases`` also if one of its aliases contains it (short
+    forms), and with ``max_edits`` if its title, or an alias, is that few edits away (misspellings).
+    Returns user_id, name, candidates, resolution and, for a single candidate, match_id.
     """
     if category is not None:
         facts = facts.where(F.col("category") == category)
     asked = names.select("user_id", "name").distinct().withColumn("pattern", F.lower("name"))
-    texts = facts.select(
-        "user_id",
-        "id",
-        F.lower("title").alias("low_title"),
-        F.explode(F.create_map(F.lit("title"), F.lower("title"), F.lit("text"), F.lower("text"))).alias("field", "text"),
-    )
-    long_enough = F.length("pattern") > 3
-    fields = F.when(long_enough, F.array(F.lit("title"), F.lit("text"))).otherwise(F.array(F.lit("title")))
-    patterns = asked.select("user_id", F.explode(fields).alias("field"), "pattern")
-    found = substring_matches(texts, patterns, ["user_id", "field"], ["id"], carry=["low_title"])
-    found = found.where(
-        (F.col("field") == "title") | ~F.coalesce(F.contains("low_title", "pattern"), F.lit(False))
-    )
+    found = _named_facts(asked, facts, aliases)
+    if max_edits:
+        found = found.unionByName(_misspelt_facts(asked, facts, aliases, max_edits)).distinct()
     counted = found.groupBy("user_id", "pattern").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     candidates = F.coalesce("n", F.lit(0)).cast("long")
     return (
@@ -171,6 +165,38 @@ def resolve_people(names: DataFrame, facts: DataFrame, category: str | None = "P
     )
 
 
+def _alias_names(facts: DataFrame) -> DataFrame:
+    """user_id, id, alias in lower case; aliases are a map or a list."""
+    listed = F.map_keys("aliases") if facts.schema["aliases"].dataType.typeName() == "map" else F.col("aliases")
+    return facts.select("user_id", "id", F.explode(listed).alias("alias")).withColumn("alias", F.lower("alias"))
+
+
+def _named_facts(asked: DataFrame, facts: DataFrame, aliases: bool) -> DataFrame:
+    """Facts that contain a name: user_id, pattern, id, each once."""
+    texts = facts.select(
+        "user_id", "id", F.explode(F.create_map(F.lit("title"), F.lower("title"), F.lit("text"), F.lower("text"))).alias("field", "text")
+    )
+    fields = ["title", "alias"] if aliases else ["title"]
+    if aliases:
+        # One text for all aliases of a fact, between breaks that no name holds.
+        joined = _alias_names(facts).groupBy("user_id", "id").agg(F.array_join(F.array_sort(F.collect_set("alias")), "\n").alias("text"))
+        texts = texts.unionByName(joined.withColumn("field", F.lit("alias")))
+    listed = F.array(*[F.lit(f) for f in fields])
+    wanted = F.when(F.length("pattern") > 3, F.array_append(listed, F.lit("text"))).otherwise(listed)
+    patterns = asked.select("user_id", F.explode(wanted).alias("field"), "pattern")
+    found = substring_matches(texts, patterns, ["user_id", "field"], ["id"])
+    return found.select("user_id", "pattern", "id").distinct()
+
+
+def _misspelt_facts(asked: DataFrame, facts: DataFrame, aliases: bool, max_edits: int) -> DataFrame:
+    known = facts.select("user_id", "id", F.lower("title").alias("known"))
+    if aliases:
+        known = known.unionByName(_alias_names(facts).withColumnRenamed("alias", "known"))
+    near = names_within(asked.select("user_id", F.col("pattern").alias("name")), known.select("user_id", F.col("known").alias("pattern")), max_edits, ["user_id"])
+    near = near.select("user_id", F.col("name").alias("pattern"), F.col("pattern").alias("known"))
+    return near.join(known, ["user_id", "known"]).select("user_id", "pattern", "id").distinct()
+
+
 def reprocessing_guard(incoming: DataFrame, facts: DataFrame) -> DataFrame:
     """Whether incoming facts update a known one or are new: adds op and existing_id.
 

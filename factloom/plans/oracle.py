@@ -448,6 +448,22 @@ _SIMPLE = {
         from asked a left join facts f on f.user_id = a.user_id
           and (contains(lower(f.title), lower(a.name)) or (length(a.name) > 3 and contains(lower(f.text), lower(a.name))))
         group by a.user_id, a.name""",
+    "fuzzy_names": """
+        select a.user_id, a.name, b.title as pattern, levenshtein(a.name, b.title) as distance
+        from (select distinct user_id, concat(left(title, 3), substr(title, 5)) as name from facts) a
+        join (select distinct user_id, title from facts) b on a.user_id = b.user_id and levenshtein(a.name, b.title) <= 2""",
+    "people_resolution_fuzzy": """
+        select a.user_id, a.name, count(f.id) as candidates,
+               case count(f.id) when 0 then 'none' when 1 then 'single' else 'multiple' end as resolution,
+               case when count(f.id) = 1 then min(f.id) end as match_id
+        from (select distinct user_id, concat(left(title, 3), substr(title, 5)) as name from facts
+              union select user_id, concat(left(brand, 3), substr(brand, 5)) from facts) a
+        left join facts f on f.user_id = a.user_id
+          and (contains(lower(f.title), lower(a.name)) or (length(a.name) > 3 and contains(lower(f.text), lower(a.name)))
+               or contains(lower(f.brand), lower(a.name)) or contains(lower(f.word2), lower(a.name))
+               or levenshtein(lower(f.title), lower(a.name)) <= 1 or levenshtein(lower(f.brand), lower(a.name)) <= 1
+               or levenshtein(lower(f.word2), lower(a.name)) <= 1)
+        group by a.user_id, a.name""",
     "reprocessing_guard": """
         select i.event_id, i.user_id, i.title, case when k.id is null then 'insert' else 'update' end as op, k.id as existing_id
         from (select event_id, (event_id // 5) % 4 as user_id,

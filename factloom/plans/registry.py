@@ -13,6 +13,7 @@ from factloom.operators import duplicates as dup
 from factloom.operators import graph, listings, merging, search
 from factloom.operators import transcripts as tr
 from factloom.operators.embedding import embed_queries, embed_text
+from factloom.operators.fuzzy import names_within
 from factloom.operators.mentions import link_mentions
 from factloom.operators.nearest import nearest
 from factloom.operators.similarity import recency_pool
@@ -460,6 +461,28 @@ def people_resolution(s: Sample) -> DataFrame:
     return tr.resolve_people(full.unionByName(short).unionByName(segments), facts, category=None)
 
 
+def _misspelt(name: str) -> Column:
+    """A name without its fourth character."""
+    return F.concat(F.left(name, F.lit(3)), F.substring(F.col(name), 5, 1000))
+
+
+@query
+def fuzzy_names(s: Sample) -> DataFrame:
+    """Titles that a misspelt title may have meant."""
+    facts = s.facts()
+    asked = facts.select("user_id", _misspelt("title").alias("name"))
+    return names_within(asked, facts.select("user_id", F.col("title").alias("pattern")), 2, ["user_id"]).withColumn("distance", _long("distance"))
+
+
+@query
+def people_resolution_fuzzy(s: Sample) -> DataFrame:
+    """Misspelt titles and brands against titles, texts and aliases."""
+    facts = s.facts()
+    asked = facts.select("user_id", _misspelt("title").alias("name"))
+    brands = facts.select("user_id", F.col("metadata")["brand"].alias("brand")).select("user_id", _misspelt("brand").alias("name"))
+    return tr.resolve_people(asked.unionByName(brands), facts, category=None, aliases=True, max_edits=1)
+
+
 @query
 def reprocessing_guard(s: Sample) -> DataFrame:
     base = F.floor(F.col("event_id") / 5)

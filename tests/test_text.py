@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import random
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import text as tx
 from factloom.functions.ids import name_uuid
 from factloom.operators import transcripts as tr
+from factloom.operators.fuzzy import names_within
 
 
 def one(spark, value, expr, kind="string"):
@@ -142,6 +145,39 @@ def test_people_resolution(spark):
     }
 
 
+def test_people_by_alias_and_misspelling(spark):
+    facts = spark.createDataFrame(
+        [("u", 1, "People", "Ruth Vance", "x", {"Ruthie": "0.9"}), ("u", 2, "People", "Bo", "x", {}), ("u", 3, "People", None, "x", None)],
+        "user_id string, id int, category string, title string, text string, aliases map<string,string>",
+    )
+    names = spark.createDataFrame([("u", n) for n in ("Ruth Vanse", "ruthi", "Ruthee", "Bob", "Ann", "")], "user_id string, name string")
+    got = {r.name: (r.candidates, r.match_id) for r in tr.resolve_people(names, facts, aliases=True, max_edits=1).collect()}
+    assert got == {"Ruth Vanse": (1, 1), "ruthi": (1, 1), "Ruthee": (1, 1), "Bob": (1, 2), "Ann": (0, None), "": (2, None)}
+    listed = facts.withColumn("aliases", F.map_keys("aliases"))
+    assert tr.resolve_people(names, listed, aliases=True).where("name = 'ruthi'").first().match_id == 1
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, left = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_names_within_edits_equal_all_pairs(spark, most):
+    rng = random.Random(most)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(8))) for _ in range(90)]
+    asked, known = words[:45] + [None, "aaaaaaaaaaaa"], words[45:] + [None, "aaaaaaaaaaa"]
+    left = spark.createDataFrame([("u", w) for w in asked], "user_id string, name string")
+    right = spark.createDataFrame([("u", w) for w in known] + [("v", "ab")], "user_id string, pattern string")
+    got = sorted((r.name, r.pattern, r.distance) for r in names_within(left, right, most, ["user_id"]).collect())
+    want = {(a, b, d) for a in asked for b in known if a is not None and b is not None and (d := edits(a, b)) <= most}
+    assert got == sorted(want)
+
+
 def test_metadata_and_times(spark):
     assert one(spark, '{"a": 1, "b": "x"}', tx.metadata_from_json) == {"a": "1", "b": "x"}
     assert one(spark, "nonsense", tx.metadata_from_json) == {}

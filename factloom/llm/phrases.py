@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from factloom.llm.blocks import coded, list_array, list_parts, text_blocks
 from factloom.operators.ranking import top_k
-from factloom.session import materialize
+from factloom.session import materialize, scratch_path
 
 #: Language of a document without one.
 NO_LANG = "und"
 #: Text, and words, that are worked on at once.
 BLOCK_BYTES, BLOCK_WORDS, ROW_WORDS = 3_000_000, 1 << 18, 100
+DICTIONARY_BYTES = 16 << 20
 #: Stands between pieces in place of a word.
 END = 0
 #: Bits of a filter for each phrase, and at most: 64 MB. A fuller filter admits more phrases than it should, which
@@ -242,11 +243,18 @@ class Phrases:
     frequent: DataFrame
 
 
+def _stored(rows: DataFrame) -> DataFrame:
+    """Written and read again, compressed more than usual and with dictionaries large enough for the words of a file."""
+    path = scratch_path(rows.sparkSession, "tokens")
+    rows.write.options(**{"compression": "zstd", "parquet.dictionary.page.size": DICTIONARY_BYTES}).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def word_tables(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """(words, tokens). Two words of one hash, of which one is frequent, would be counted as one: then another salt is taken."""
     salt = 0
     while True:
-        stored = materialize(tokenized(docs, salt), "tokens")
+        stored = _stored(tokenized(docs, salt))
         words = stored.where("tokens is null").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         words = materialize(words.withColumn("hash", word_hash(salt)), "words")
         shared = words.groupBy("hash").agg(F.count("*").alias("kinds"), F.max("n").alias("n"))

@@ -503,6 +503,8 @@ _SIMPLE = {
 _TWINS = {
     "stream_mentions": "link_mentions",
     "stream_changes": "apply_changes",
+    "stored_changes": "apply_changes_merges",
+    "stored_links": "link_upsert_merges",
     "stream_duplicates": "check_new_facts",
     "duplicate_clusters_tiled": "duplicate_clusters",
     "duplicate_partners_tiled": "duplicate_partners",

@@ -20,7 +20,8 @@ from factloom.operators.similarity import recency_pool
 from factloom.operators.vector_index import build_index, search_index
 from factloom.plans.sample import TENANTS, Sample
 from factloom.session import materialize, scratch_path
-from factloom.sources.tables import Snapshot, records_from_json, write_snapshot
+from factloom.sources.store import commit_changes, create_store, read_store
+from factloom.sources.tables import Snapshot, records_from_json
 from factloom.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -577,10 +578,32 @@ def stream_changes(s: Sample) -> DataFrame:
     start = s.snapshot()
 
     def run(root: str, progress: str):
-        write_snapshot(Snapshot(facts=start.facts, edges=start.edges), jobs.version_path(root, 0))
+        create_store(Snapshot(facts=start.facts, edges=start.edges), root)
         return jobs.stream_changes(log, root, progress)
 
-    return _flat_facts(jobs.latest_version(s.spark, _run(s, run)).facts)
+    return _flat_facts(read_store(s.spark, _run(s, run)).facts)
+
+
+def _stored_in_halves(s: Sample) -> Snapshot:
+    """The store after a log with merges, folded in two batches whose deltas are then made one."""
+    root, log = scratch_path(s.spark, "store"), materialize(s.merging_changes(), "log")
+    start = s.snapshot()
+    create_store(Snapshot(facts=start.facts, edges=start.edges), root)
+    half = log.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for part in (log.where(F.col("seq") <= half), log.where(F.col("seq") > half)):
+        commit_changes(s.spark, root, part, most_deltas=1)
+    return read_store(s.spark, root)
+
+
+@query
+def stored_changes(s: Sample) -> DataFrame:
+    facts = _stored_in_halves(s).facts
+    return facts.select("user_id", "id", "title", "text", "category", _meta("brand"), _meta("k"), _meta("size"), "updated_at")
+
+
+@query
+def stored_links(s: Sample) -> DataFrame:
+    return _stored_in_halves(s).edges.select("user_id", "src", "rel", "dst")
 
 
 @query

@@ -7,17 +7,14 @@ a batch that is run again after a failure replaces what it wrote before.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import fields
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators.changes import apply_changes
 from factloom.operators.duplicates import check_new_facts
 from factloom.operators.mentions import link_mentions
 from factloom.session import materialize
-from factloom.sources.tables import Snapshot, read_snapshot, write_snapshot
+from factloom.sources.store import commit_changes
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None) -> DataFrame:
@@ -44,59 +41,26 @@ def stream_mentions(
     return _start(entries, link, checkpoint)
 
 
-def version_path(root: str, version: int) -> str:
-    return f"{root}/version={version}"
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-def stored_tables(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Names of the tables that a version holds."""
-    return tuple(f.name for f in fields(Snapshot) if _exists(spark, f"{path}/{f.name}"))
-
-
 def stream_changes(
     changes: DataFrame, root: str, checkpoint: str, tables: tuple[str, ...] | None = None, embed=None
 ) -> StreamingQuery:
-    """Fold change events into snapshots: batch n reads version n and writes version n + 1.
+    """Fold change events into a store (``sources.store``): batch n makes version n + 1 of version n.
 
-    ``root`` holds ``version=0``; all its tables, or those named, are carried on. A batch that had already written its version is skipped,
-    which makes a rerun harmless; one that failed half way is written again from the
-    same input, under its final name only after all tables are complete.
+    ``root`` holds version 0; all its tables, or those named, are carried on. A batch writes the rows that it changed. One that had
+    already made its version is skipped, which makes a rerun harmless; one that failed half way left folders that no manifest names.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        final = version_path(root, batch_id + 1)
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        target = hadoop(final)
-        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if files.exists(target):
-            return
-        partial = hadoop(f"{root}/_partial={batch_id + 1}")
-        files.delete(partial, True)
-        known = version_path(root, batch_id)
-        before = read_snapshot(spark, known, tables or stored_tables(spark, known))
-        log = materialize(batch, "log")
-        write_snapshot(apply_changes(before, log, embed), partial.toString())
-        files.rename(partial, target)
+        commit_changes(batch.sparkSession, root, batch, batch_id, embed, tables)
 
     return _start(changes, fold, checkpoint)
 
 
-def latest_version(spark: SparkSession, root: str, tables: tuple[str, ...] | None = None) -> Snapshot:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    folder = hadoop(root)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [status.getPath().getName() for status in files.listStatus(folder)]
-    versions = [int(name.split("=")[1]) for name in names if name.startswith("version=")]
-    path = version_path(root, max(versions))
-    return read_snapshot(spark, path, tables or stored_tables(spark, path))
-
-
 def stream_duplicates(
     new_facts: DataFrame,
     facts: DataFrame,

@@ -12,7 +12,7 @@ from factloom.functions.ids import name_uuid
 from factloom.operators import changes as chg
 from factloom.operators import graph, listings, merging
 from factloom.operators.embedding import embed_text, encode_texts
-from factloom.sources import tables
+from factloom.sources import store, tables
 from factloom.sources.tables import Snapshot
 from factloom.streaming import jobs
 
@@ -351,12 +351,12 @@ def test_streamed_changes_in_two_batches(spark, small, tmp_path):
     rows = [change(1, "update", 1, title="A"), change(2, "link", src=1, dst=3, rel="y")], [change(3, "delete", 2), change(4, "update", 1, text="B")]
     whole = chg.apply_changes(replace(small, vectors=None, mentions=None), log(spark, *rows[0], *rows[1]))
     source, root = f"{tmp_path}/log", f"{tmp_path}/store"
-    tables.write_snapshot(Snapshot(facts=small.facts, edges=small.edges), jobs.version_path(root, 0))
+    store.create_store(Snapshot(facts=small.facts, edges=small.edges), root)
     for part in rows:
         log(spark, *part).coalesce(1).write.mode("append").parquet(source)
         stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema)
         jobs.stream_changes(stream, root, f"{tmp_path}/progress").awaitTermination()
-    latest = jobs.latest_version(spark, root)
+    latest = store.read_store(spark, root)
     assert edges_of(latest.edges) == edges_of(whole.edges)
     assert sorted((r.id, r.title, r.text) for r in latest.facts.collect()) == sorted((r.id, r.title, r.text) for r in whole.facts.collect())
 
@@ -391,11 +391,11 @@ def test_late_events_are_checked(spark, tmp_path):
 
 def test_streamed_changes_carry_all_tables(spark, merging_case, tmp_path):
     root, source = f"{tmp_path}/store", f"{tmp_path}/log"
-    tables.write_snapshot(merging_case, jobs.version_path(root, 0))
+    store.create_store(merging_case, root)
     log(spark, change(1, "delete", 2)).coalesce(1).write.parquet(source)
     stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema)
     jobs.stream_changes(stream, root, f"{tmp_path}/progress").awaitTermination()
-    latest = jobs.latest_version(spark, root)
+    latest = store.read_store(spark, root)
     assert sorted(r.id for r in latest.vectors.collect()) == [1, 3, 8]
     assert sorted((r.diary_id, r.fact_id) for r in latest.mentions.collect()) == [(70, 1), (71, 3)]
 

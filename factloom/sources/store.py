@@ -76,18 +76,22 @@ def _write_manifest(spark: SparkSession, root: str, version: int, parts: list[Pa
     table.write.mode("overwrite").json(_manifest_path(root, version))
 
 
+def _data_files(spark: SparkSession, path: str) -> int:
+    return sum(not name.startswith(("_", ".")) for name in _names(spark, path))
+
+
 def _write_part(df: DataFrame, root: str, name: str, position: int, spread: bool) -> Part:
     folder = f"{name}/{'base' if position == 0 else 'delta'}-{uuid.uuid4().hex}"
     write_table(df, f"{root}/{folder}", name, spread)
-    written = df.sparkSession.read.parquet(f"{root}/{folder}")
-    return Part(name, position, folder, len(written.inputFiles()), written.count())
+    spark = df.sparkSession
+    return Part(name, position, folder, _data_files(spark, f"{root}/{folder}"), spark.read.parquet(f"{root}/{folder}").count())
 
 
 def _read_part(spark: SparkSession, root: str, part: Part) -> DataFrame:
-    df = spark.read.parquet(f"{root}/{part.folder}")
-    if len(df.inputFiles()) != part.files:
-        raise OSError(f"{part.folder} has {len(df.inputFiles())} of {part.files} files were written")
-    return df
+    found = _data_files(spark, f"{root}/{part.folder}")
+    if found != part.files:
+        raise OSError(f"{part.folder} has {found} files, but {part.files} files were written")
+    return spark.read.parquet(f"{root}/{part.folder}")
 
 
 def _last_rows(deltas: list[DataFrame], key: list[str]) -> DataFrame:

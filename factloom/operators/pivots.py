@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,8 @@ from factloom.operators.tiling import tile_of
 from factloom.session import materialize
 
 MOST_PIVOTS = 256
+#: Tiles smaller than this are compared together, in one task for two bundles of them.
+BUNDLE_ROWS = 4096
 #: Rounding of angles, far above that of the cosines they come from.
 SLACK = 1e-6
 _CHUNK = 1 << 16
@@ -101,7 +103,7 @@ def tile_pairs(cells: DataFrame, pivots: DataFrame, group: list[str], rows: int,
     sizes = cells.groupBy(*cell).agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
     parts = F.sequence(F.lit(0), F.ceil(F.col("n") / rows).cast("int") - 1)
     tiles = sizes.select(*cell, "radius", F.explode(parts).alias("part"))
-    tiles = materialize(tiles.withColumn("tile", F.struct("pivot", "heavy", "part")), "tiles")
+    tiles = materialize(tiles.withColumn("tile", F.struct("pivot", "heavy", "part")), "tiles", plain=True)
 
     a, b = pivots.alias("a"), pivots.alias("b")
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group]
@@ -112,7 +114,7 @@ def tile_pairs(cells: DataFrame, pivots: DataFrame, group: list[str], rows: int,
     reach = F.lit(math.acos(max(-1.0, min(1.0, least_cosine))) + SLACK)
     for end in ("p", "q"):
         angles = angles.join(widest.select(*group, F.col("pivot").alias(end), F.col("radius").alias(f"r{end}")), [*group, end])
-    angles = materialize(angles.where(F.col("apart") - F.col("rp") - F.col("rq") <= reach), "near-cells")
+    angles = materialize(angles.where(F.col("apart") - F.col("rp") - F.col("rq") <= reach), "near-cells", plain=True)
     for end in ("p", "q"):
         side = tiles.select(*group, F.col("pivot").alias(end), F.col("radius").alias(f"own_{end}"), F.col("tile").alias(f"tile_{end}"))
         angles = angles.join(side, [*group, end])
@@ -123,20 +125,37 @@ def tile_pairs(cells: DataFrame, pivots: DataFrame, group: list[str], rows: int,
     return kept.select(*group, F.col("tile_p").alias("low"), F.col("tile_q").alias("high"))
 
 
+def _bundles(sizes: DataFrame, group: list[str]) -> DataFrame:
+    """Tiles packed into bundles: the largest first, each of BUNDLE_ROWS or more in a bundle of its own."""
+    before = Window.partitionBy(*group).orderBy(F.desc("n"), "tile").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*group, "tile", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / BUNDLE_ROWS).cast("int").alias("bundle"))
+
+
 def pivot_tiles(items: DataFrame, group: list[str], ident: str, rows: int, least_cosine: float) -> DataFrame:
-    """Rows of groups larger than a tile, placed into the pairs (low, high) of tiles they have to be compared in.
+    """Rows of groups larger than a tile, placed into the pairs (low, high) of bundles they have to be compared in.
 
-    ``items`` has ``node``, ``copies`` and ``embedding``, of a length. Adds tile, low and high; each unordered pair of
-    tiles that the bound does not rule out occurs once."""
+    ``items`` has ``node``, ``copies`` and ``embedding``, of a length. Adds tile (the bundle of a row), low and high; each
+    unordered pair of bundles with a pair of tiles that the bound does not rule out occurs once. Tiles smaller than a
+    bundle share one, so that their number, whose square the pairs are, does not depend on how small ``rows`` is."""
+    most = max(rows, BUNDLE_ROWS)
     cells, pivots = pivot_cells(items, group, ident, rows)
-    cells = cells.withColumn("heavy", F.when(F.col("copies") > rows, F.col("node")))
-    pairs = materialize(tile_pairs(cells, pivots, group, rows, least_cosine), "tile-pairs")
+    cells = cells.withColumn("heavy", F.when(F.col("copies") > most, F.col("node")))
+    pairs = materialize(tile_pairs(cells, pivots, group, most, least_cosine), "tile-pairs", plain=True)
     cell = [*group, "pivot", "heavy"]
-    sizes = cells.groupBy(*cell).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts"))
-    a, b = cells.alias("a"), materialize(sizes, "cell-sizes").alias("b")
+    sizes = cells.groupBy(*cell).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    a, b = cells.alias("a"), materialize(sizes, "cell-sizes", plain=True).alias("b")
     joined = a.join(b, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cell]).select("a.*", "b._parts")
     tiled = joined.withColumn("tile", F.struct("pivot", "heavy", tile_of(ident, "_parts").alias("part"))).drop("_parts", "pivot", "angle", "heavy")
-    sides = pairs.select(*group, F.explode(F.array_distinct(F.array("low", "high"))).alias("tile"), "low", "high")
-    left, right = tiled.alias("l"), sides.alias("r")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, "tile"]]
-    return left.join(right, same).select("l.*", "r.low", "r.high")
+    # Counted as rows fall into them: a part may be empty.
+    counted = tiled.groupBy(*group, "tile").agg(F.count("*").alias("n"))
+    bundles = materialize(_bundles(counted, group), "bundles", plain=True)
+
+    def same(left: str, right: str, names: list[tuple[str, str]]) -> list[Column]:
+        return [F.col(f"{left}.{x}").eqNullSafe(F.col(f"{right}.{y}")) for x, y in [*zip(group, group), *names]]
+
+    ends = pairs.alias("p").join(bundles.alias("l"), same("p", "l", [("low", "tile")])).join(bundles.alias("h"), same("p", "h", [("high", "tile")]))
+    low, high = F.least("l.bundle", "h.bundle").alias("low"), F.greatest("l.bundle", "h.bundle").alias("high")
+    ends = materialize(ends.select(*[f"p.{c}" for c in group], low, high).distinct(), "bundle-pairs", plain=True)
+    placed = tiled.alias("t").join(bundles.alias("b"), same("t", "b", [("tile", "tile")])).select("t.*", "b.bundle").drop("tile").withColumnRenamed("bundle", "tile")
+    sides = ends.select(*group, F.explode(F.array_distinct(F.array("low", "high"))).alias("tile"), "low", "high")
+    return placed.alias("l").join(sides.alias("r"), same("l", "r", [("tile", "tile")])).select("l.*", "r.low", "r.high")

@@ -223,7 +223,7 @@ def cross_title_evidence(items: DataFrame, threshold: float, tile_rows: int = 81
         return found.drop("node", "lifted")
     large = materialize(sized.where("tiled"), "large-groups")
     tiles = pivot_tiles(large, _GROUP, "id", tile_rows, threshold - SHARED_WORD_BOOST)
-    scored = materialize(_scored(tiles, threshold), "scored-tiles")
+    scored = materialize(_scored(tiles, threshold), "scored-tiles", plain=True)
     if threshold <= ALL_WORDS_FLOOR:
         scored = scored.unionByName(_unmet(large, scored))
     return found.unionByName(scored).drop("node", "lifted")
@@ -243,7 +243,7 @@ def all_words_titles(items: DataFrame) -> DataFrame:
     followed for titles that have no other."""
     names = F.col("category") == NAME_CATEGORY
     titles = items.where(F.col("titled")).groupBy(*_GROUP, "node").agg(F.first("words").alias("words"), F.count("*").alias("copies"))
-    titles = materialize(titles, "titles")
+    titles = materialize(titles, "titles", plain=True)
     counting = F.forall("words", lambda w: F.length(w) > SHORT_WORD) | names
     entries = titles.select(*_GROUP, "node", "words", "copies", (counting & (F.size("words") > 0)).alias("counting"), F.explode("words").alias("word"))
     common = entries.groupBy(*_GROUP, "word").agg(F.count("*").alias("titles"))
@@ -251,7 +251,7 @@ def all_words_titles(items: DataFrame) -> DataFrame:
     short = short.agg(
         F.min_by("word", F.struct("titles", "word")).alias("word"), F.first("words").alias("short"), F.first("copies").alias("a_copies")
     ).withColumnRenamed("node", "a")
-    pairs = entries.join(materialize(short, "short-titles"), [*_GROUP, "word"]).where(F.col("node") != F.col("a"))
+    pairs = entries.join(materialize(short, "short-titles", plain=True), [*_GROUP, "word"]).where(F.col("node") != F.col("a"))
     pairs = pairs.where(F.size(F.array_except("short", "words")) == 0)
     # Titles with the same words in another order would be found from both sides.
     pairs = pairs.where((F.size("short") < F.size("words")) | (F.col("a") < F.col("node")))
@@ -261,7 +261,7 @@ def all_words_titles(items: DataFrame) -> DataFrame:
 def _unmet(items: DataFrame, scored: DataFrame) -> DataFrame:
     """Evidence of pairs with all words in common that no tile brought together: their cosine is too low
     to count, so each scores ALL_WORDS_FLOOR. ``scored`` tells how many of a fact's pairs were met."""
-    pairs = materialize(all_words_titles(items), "all-words-titles")
+    pairs = materialize(all_words_titles(items), "all-words-titles", plain=True)
     sides = [pairs.select(*_GROUP, F.col(x).alias("node"), F.col(y).alias("other"), F.col(f"{y}_copies").alias("n")) for x, y in ("ab", "ba")]
     counts = sides[0].unionByName(sides[1]).groupBy(*_GROUP, "node")
     counts = counts.agg(F.sum("n").alias("n"), F.min("other").alias("lowest"))

@@ -11,6 +11,7 @@ from factloom.operators import pivots
 from factloom.operators.components import connected_components
 from factloom.operators.ranking import running_number, top_k
 from factloom.operators.similarity import recency_pool, similarity_items
+from factloom.session import materialize
 from factloom.sources.tables import records_from_json
 
 FACTS = "user_id string, id int, category string, title string, ts timestamp_ntz"
@@ -280,3 +281,32 @@ def test_records_from_json(spark):
     got = records_from_json(df, "j").collect()
     assert {(r.k, r.position) for r in got} == {(0, 0), (0, 1)}
     assert got[0].record == {"id": "a", "n": "0", "f": "false", "l": "[]", "x": None}
+
+
+@pytest.mark.parametrize("bundle", [1, 25])
+def test_bundles_of_tiles_equal_brute_force(spark, monkeypatch, bundle):
+    """Tiles alone, and several in one bundle, with pairs far apart that titles lift."""
+    monkeypatch.setattr(pivots, "BUNDLE_ROWS", bundle)
+    for threshold in (0.98, 0.7):
+        check(spark, random_items(90, 5, hot=0.33), threshold, tile_rows=7, group_bound=3)
+
+
+def test_a_tile_may_be_empty(spark, monkeypatch):
+    """Rows fall into the parts of a cell by hash, so that a part may stay empty."""
+    monkeypatch.setattr(pivots, "BUNDLE_ROWS", 1)
+    items = [(i, "Tool", f"t{i}", [1.0, 0.001 * i]) for i in range(40)]
+    check(spark, items, 0.9, tile_rows=2)
+
+
+def test_rows_sent_do_not_grow_with_the_square_over_the_tile(spark):
+    rng = np.random.default_rng(3)
+    items = [(i, "Tool", f"t{i}", rng.normal(size=5).tolist()) for i in range(500)]
+    found = similarity_items(*store(spark, items))
+    assert pivots.pivot_tiles(found, ["user_id", "category"], "id", 4, -1.0).count() == 500
+
+
+def test_stored_pairs_show_their_size(spark):
+    """A million equal rows take a few hundred bytes in a compressed file, and would be broadcast."""
+    stored = materialize(spark.range(1_000_000).select(F.lit(7).cast("long").alias("a"), F.lit(8).cast("long").alias("b")), "pairs", plain=True)
+    other = spark.range(3_000_000).withColumnRenamed("id", "a")
+    assert "BroadcastHashJoin" not in other.join(stored, "a")._jdf.queryExecution().executedPlan().toString()

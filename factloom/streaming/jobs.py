@@ -18,8 +18,12 @@ from factloom.sources.store import commit_changes
 
 
 def file_stream(spark: SparkSession, path: str, schema, glob: str | None = None) -> DataFrame:
-    """A folder of parquet files as a stream."""
+    """A folder of parquet files, or a single one, as a stream."""
     reader = spark.readStream.schema(schema)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if glob is None and place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isFile(place):
+        # A stream reads folders: this one, and of its files the one that is named.
+        path, glob = place.getParent().toString(), place.getName()
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.parquet(path)

@@ -409,3 +409,20 @@ def test_assigned_ids_stay(spark):
 def test_new_ids_can_come_from_names(spark):
     ids = spark.range(3).select(name_uuid(F.col("id").cast("string"))).distinct().count()
     assert ids == 3
+
+
+@pytest.mark.parametrize("kind", ["folder", "file"])
+def test_a_stream_of_a_folder_or_a_file(spark, tmp_path, kind):
+    """A table is a file or a folder of files; files beside it do not belong to it."""
+    spark.range(3).coalesce(1).write.parquet(f"{tmp_path}/written")
+    (part,) = (tmp_path / "written").glob("part-*.parquet")
+    (tmp_path / "data").mkdir()
+    place = tmp_path / "data" / "table.parquet"
+    if kind == "folder":
+        place.mkdir()
+    for target in (place / "part-0.parquet" if kind == "folder" else place, tmp_path / "data" / "other.parquet"):
+        target.write_bytes(part.read_bytes())
+    stream = jobs.file_stream(spark, str(place), spark.read.parquet(str(place)).schema)
+    got = []
+    jobs._start(stream, lambda batch, _: got.extend(r.id for r in batch.collect()), f"{tmp_path}/p").awaitTermination()
+    assert sorted(got) == [0, 1, 2]

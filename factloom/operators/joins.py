@@ -17,3 +17,12 @@ def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
     lonely = left.join(right.select(*keys).distinct(), keys, "left_anti")
     fillers = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields if f.name not in keys]
     return matched.unionByName(lonely.select("*", *fillers))
+
+
+def by_sorting(df: DataFrame) -> DataFrame:
+    """``df`` for a join in which no side is to be broadcast.
+
+    Spark guesses a table's memory from its files. Facts take a twentieth of it there, so millions of them seemed
+    small enough to go through the driver, several times in one plan.
+    """
+    return df.hint("merge")

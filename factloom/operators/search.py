@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.joins import left_join_hot
+from factloom.operators.joins import by_sorting, left_join_hot
 from factloom.operators.nearest import nearest
 from factloom.operators.ranking import top_k
 from factloom.operators.substring import substring_matches
@@ -123,7 +123,7 @@ def boosted_hits(hits: DataFrame, facts: DataFrame, queries: DataFrame) -> DataF
     score = F.col("score") + title_boost(query, F.col("low_title")) + alias_boost(query, F.col("aliases"))
     return (
         hits.join(asked, "query_id")
-        .join(known, ["user_id", "id"])
+        .join(by_sorting(known), ["user_id", "id"])
         .select("query_id", "user_id", "id", score.alias("score"))
     )
 
@@ -142,6 +142,7 @@ def search_facts(
     text, category, aliases. ``vectors``: user_id, id, category, embedding.
     Returns query_id, id, title, text, category, score, rank.
     """
+    queries = materialize(queries.select("query_id", "user_id", "query", "vec", "category"), "queries", plain=True)
     exact = exact_matches(facts, queries, limit, title_ignores_category)
     hits = nearest(vectors, queries, fetch_size(limit), top_p)
     boosted = boosted_hits(hits, facts, queries)
@@ -152,7 +153,7 @@ def search_facts(
     ranked = top_k(merged, ["query_id"], [F.desc(F.round("score", 9)), F.asc("id")], limit)
     return (
         ranked.join(queries.select("query_id", "user_id"), "query_id")
-        .join(facts.select("user_id", "id", "title", "text", "category"), ["user_id", "id"])
+        .join(by_sorting(facts.select("user_id", "id", "title", "text", "category")), ["user_id", "id"])
         .select("query_id", "id", "title", "text", "category", "score", "rank")
     )
 

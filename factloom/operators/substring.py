@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.operators.bloom import MOST_BITS, bloom_of, mixed
+from factloom.operators.joins import by_sorting
 from factloom.session import materialize
 
 # Piece widths; a pattern uses the largest that fits, the empty pattern width 0.
 WIDTHS = (1, 2, 4, 8, 16)
 _POSITIONS_TRIED = 8
+#: Beyond as many candidates neither they nor the texts are broadcast.
+FEW = 100_000
 _CHUNK_CHARS = 1_000_000
 _PIECE = ["width", "piece"]
 _PIECE_FIELDS = [T.StructField("width", T.IntegerType()), T.StructField("piece", T.LongType())]
@@ -126,15 +129,15 @@ def substring_matches(
 
     The anchors travel to the scan of the texts as a filter of bounded size, by scope, width and
     piece; only pieces it lets through leave the scan, without their texts. They meet their anchors in a
-    join, and the candidates meet the texts: in place where they are few enough for
-    Spark to broadcast them, else each text is moved once, and those without a candidate not at
+    join, and the candidates meet the texts: in place where they are few enough to be
+    broadcast, else each text is moved once, and those without a candidate not at
     all where a runtime filter applies. One plan for any number of anchors.
     """
     carry = carry or []
     texts = texts.where(F.col("text").isNotNull()).select(*scope, *key, *carry, "text")
     patterns = patterns.where(F.col("pattern").isNotNull())
     anchors = _anchors(patterns, scope).withColumn("_scope", F.xxhash64(*scope))
-    anchors = materialize(anchors, "anchors")
+    anchors = materialize(anchors, "anchors", plain=True)
     widths = sorted(r["width"] for r in anchors.select("width").distinct().collect())
     wanted = bloom_of(anchors, ["_scope", *_PIECE], most_bits)
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
@@ -155,7 +158,9 @@ def substring_matches(
     scanned = texts.select(*keep, "text", F.xxhash64(*scope).alias("_scope"))
     hits = scanned.mapInArrow(scan, T.StructType(fields + _PIECE_FIELDS))
     candidates = hits.join(anchors.drop("_scope"), [*scope, *_PIECE]).select(*keep, "pattern").distinct()
-    candidates = materialize(candidates, "candidates")
+    candidates = materialize(candidates, "candidates", plain=True)
+    if candidates.count() > FEW:
+        texts = by_sorting(texts)
     same = [F.col(f"t.{c}") == F.col(f"c.{c}") for c in scope] + [F.col(f"t.{c}").eqNullSafe(F.col(f"c.{c}")) for c in key]
     found = texts.alias("t").join(candidates.alias("c"), same).where(F.contains("t.text", "c.pattern"))
     return found.select(*[f"t.{c}" for c in [*scope, *key, *carry]], "c.pattern")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.joins import by_sorting
 from factloom.sources.tables import Snapshot
 
 TENANTS = 4
@@ -50,7 +51,7 @@ class Sample:
     def vectors(self) -> DataFrame:
         """Facts that have an embedding."""
         embedded = self.spread("embeddings").select(F.col("vec_id").alias("id"), "embedding")
-        return self.facts().select("user_id", "id", "category").join(embedded, "id")
+        return by_sorting(self.facts().select("user_id", "id", "category")).join(embedded, "id")
 
     def edges(self) -> DataFrame:
         """Parts on neighbouring lines of an order, if they belong to the same tenant."""
@@ -77,7 +78,7 @@ class Sample:
 
     def queries(self) -> DataFrame:
         """Every embedded fact asks for its title; large parts ask within their category."""
-        part = self.table("part").join(self.table("embeddings"), F.col("p_partkey") == F.col("vec_id"))
+        part = by_sorting(self.table("part")).join(self.table("embeddings"), F.col("p_partkey") == F.col("vec_id"))
         return part.select(
             F.col("p_partkey").alias("query_id"),
             (F.col("p_partkey") % TENANTS).alias("user_id"),

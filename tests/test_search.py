@@ -10,8 +10,11 @@ from factloom.functions.vectors import cosine
 from factloom.operators import search, vector_index
 from factloom.operators.bloom import bloom_of, mixed
 from factloom.operators.mentions import link_mentions
+from factloom.operators import nearest as nearest_module
 from factloom.operators.nearest import nearest
 from factloom.operators.substring import substring_matches
+from factloom.plans.sample import Sample
+from tests.conftest import SMALL
 
 FACTS = "user_id string, id int, title string, text string, category string, aliases map<string,string>"
 QUERIES = "query_id int, user_id string, query string, category string"
@@ -126,6 +129,35 @@ def test_nearest_tiled_equals_scanned_equals_brute_force(spark):
     assert rows(scanned, "query_id", "id") == sorted(zip(pairs.query_id, pairs.id))
 
 
+@pytest.mark.parametrize("tile", [1, 8192])
+def test_nearest_scores_copies_once(spark, monkeypatch, tile):
+    """Classes of equal vectors and queries give the hits that single rows give, in the order of scores and ids."""
+    monkeypatch.setattr(nearest_module, "LEAST_TILE", tile)
+    few = random_vectors(spark, 12, 1)
+    vectors = few.crossJoin(spark.range(9).select(F.col("id").alias("n"))).withColumn("id", F.col("id") + 100 * F.col("n")).drop("n")
+    asked = vectors.select(
+        F.col("id").alias("query_id"), "user_id", F.col("embedding").alias("vec"), F.when(F.col("id") % 2 == 0, F.col("category")).alias("category")
+    )
+    scored = []
+    real = nearest_module._tiled
+    monkeypatch.setattr(nearest_module, "_tiled", lambda v, q, *rest: scored.append((v.count(), q.count())) or real(v, q, *rest))
+    fields = ("query_id", "id", "score", "rank")
+    tiled = rows(nearest(vectors, asked, 7, 0.1, broadcast_rows=5, tile_rows=4), *fields)
+    assert tiled == rows(nearest(vectors, asked, 7, 0.1), *fields)
+    assert scored == [(12, 12)]
+
+
+def test_facts_are_not_broadcast_by_the_size_of_their_files(spark, few):
+    """Facts take little room in files and much in memory: their joins do not depend on the size of files."""
+    asked = spark.createDataFrame([(1, "u", "abc", None)], QUERIES)
+    hits = spark.createDataFrame([(1, 2, 0.5)], "query_id int, id int, score double")
+    plan = search.boosted_hits(hits, few, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [user_id" in plan
+    sample = Sample(spark, SMALL)
+    for frame in (sample.vectors(), sample.queries()):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nearest_keeps_equal_vectors_in_id_order(spark):
     vectors = spark.createDataFrame([("u", i, "A", [0.1, 0.7, 0.2]) for i in range(500)], "user_id string, id int, category string, embedding array<float>")
     asked = spark.createDataFrame([(1, "u", [0.3, 0.7, 0.1], None)], "query_id int, user_id string, vec array<float>, category string")

@@ -13,11 +13,14 @@ from pyspark.sql import types as T
 
 from factloom.operators.ranking import top_k
 from factloom.operators.tiling import cross_tiles
+from factloom.session import materialize
 
 # Scores are ranked at this many decimals: equal vectors must tie whatever the order
 # in which a matrix product happened to add up.
 SCORE_DECIMALS = 9
 _QUERY_STEP = 512
+#: Smaller tiles than this cost more to send, once for each tile of the other side, than to score.
+LEAST_TILE = 8192
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -64,10 +67,11 @@ class _QueryBlock:
         parts = []
         for start in range(0, len(self.ids), _QUERY_STEP):
             stop = start + _QUERY_STEP
-            scores = np.round(self.vectors[start:stop] @ vectors.T, SCORE_DECIMALS)
-            wanted = self.category[start:stop, None]
-            q, f = np.nonzero((scores >= min_score) & ((wanted < 0) | (wanted == category[None, :])))
-            part = pd.DataFrame({"query_id": self.ids[start + q], "id": ids[f], "score": scores[q, f]})
+            scores = self.vectors[start:stop] @ vectors.T
+            q, f = np.divmod(np.flatnonzero(scores >= min_score - 10.0**-SCORE_DECIMALS), max(scores.shape[1], 1))
+            score, wanted = np.round(scores[q, f], SCORE_DECIMALS), self.category[start + q]
+            keep = (score >= min_score) & ((wanted < 0) | (wanted == category[f]))
+            part = pd.DataFrame({"query_id": self.ids[start + q[keep]], "id": ids[f[keep]], "score": score[keep]})
             parts.append(_best(part, fetch) if len(part) > fetch * len(scores) else part)
         return pd.concat(parts, ignore_index=True)
 
@@ -103,7 +107,8 @@ def nearest(
     Queries that fit ``broadcast_rows`` and ``broadcast_bytes`` go to every task and the
     vectors are scanned where they lie, keeping a running top list per task. A larger
     batch is tiled on both sides: a task sees one tile of vectors and one tile of
-    queries of one tenant, so a tenant of any size spreads over many tasks.
+    queries of one tenant, so a tenant of any size spreads over many tasks. There, equal
+    vectors are scored once where at least half of them are copies.
     """
     vectors = vectors.where(F.col("embedding").isNotNull()).select("user_id", "id", "category", "embedding")
     queries = queries.where(F.col("vec").isNotNull()).select("query_id", "user_id", "vec", "category")
@@ -118,7 +123,7 @@ def nearest(
     if head.num_rows <= broadcast_rows and head.nbytes <= broadcast_bytes:
         found = _scan(vectors, head, fetch, min_score, out)
     else:
-        found = _tiled(vectors, queries, fetch, min_score, tile_rows, out)
+        found = _of_classes(vectors, queries, fetch, min_score, max(tile_rows, LEAST_TILE), out)
     return top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], fetch)
 
 
@@ -159,6 +164,40 @@ def _scan(vectors: DataFrame, queries: pa.Table, fetch: int, min_score: float, o
     return vectors.mapInArrow(scan, out)
 
 
+def _classes(df: DataFrame, ident: str, vector: str) -> tuple[DataFrame, DataFrame | None]:
+    """(one row per tenant, category and vector, with the smallest id; its members: class, id), or the rows themselves
+    and nothing if fewer than half of them are copies."""
+    key = ["user_id", "category", vector]
+    df = materialize(df, "class-rows")
+    n, kinds = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*key))).first()
+    if kinds > n / 2:
+        return df, None
+    reps = materialize(df.groupBy(*key).agg(F.min(ident).alias(ident)), "classes", plain=True)
+    a, b = df.alias("a"), reps.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    members = a.join(b, same).select(F.col(f"b.{ident}").alias("class"), F.col(f"a.{ident}").alias("member"))
+    return reps.select(*df.columns), materialize(members, "members", plain=True)
+
+
+def _of_classes(
+    vectors: DataFrame, queries: DataFrame, fetch: int, min_score: float, tile_rows: int, out: T.StructType
+) -> DataFrame:
+    """Classes of equal vectors against classes of equal queries. The first ``fetch`` hits lie in the first ``fetch``
+    classes by score and smallest id, and are among the ``fetch`` smallest ids of each."""
+    vectors, of_vector = _classes(vectors, "id", "embedding")
+    queries, of_query = _classes(queries, "query_id", "vec")
+    found = _tiled(vectors, queries, fetch, min_score, tile_rows, out)
+    if of_vector is not None:
+        found = top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], fetch).drop("rank")
+        first = top_k(of_vector, ["class"], [F.asc("member")], fetch).drop("rank")
+        found = found.join(first, F.col("id") == F.col("class")).select("query_id", F.col("member").alias("id"), "score")
+    if of_query is not None:
+        found = top_k(found, ["query_id"], [F.desc("score"), F.asc("id")], fetch).drop("rank")
+        found = materialize(found, "class-hits", plain=True)
+        found = found.join(of_query, F.col("query_id") == F.col("class")).select(F.col("member").alias("query_id"), "id", "score")
+    return found
+
+
 def _tiled(
     vectors: DataFrame, queries: DataFrame, fetch: int, min_score: float, tile_rows: int, out: T.StructType
 ) -> DataFrame:

@@ -23,19 +23,22 @@ class Sample:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table that much is computed on: a single small file is spread over the cores."""
+        """A table that much is computed on: a few small files are spread over the cores, or all shuffle partitions."""
         df = self.table(name)
         if df.isStreaming:
             return df
         cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+        if df.rdd.getNumPartitions() >= cores:
+            return df
+        return df.repartition(max(cores, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), df.columns[0])
 
     def facts(self, part: DataFrame | None = None) -> DataFrame:
         """Every part is a fact; its type is the category."""
         second_word = F.split_part("p_name", F.lit(" "), F.lit(2))
         brand = F.create_map(F.lit("brand"), F.col("p_brand"))
         sized = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
-        part = self.table("part") if part is None else part
+        # A part takes ten bytes in its file: millions are in one split, and what a task makes of them is not small.
+        part = self.spread("part") if part is None else part
         return part.select(
             (F.col("p_partkey") % TENANTS).alias("user_id"),
             F.col("p_partkey").alias("id"),

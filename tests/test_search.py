@@ -269,3 +269,7 @@ def test_diary_hits_show_the_mentions_of_their_day(spark):
     assert [(r.id, r.mention_id) for r in by_day.orderBy("rank", "mention_id").collect()] == [(1, 7), (1, 7), (1, 8), (3, None)]
     by_entry = search.search_diary(diary, vectors, mentions, asked, by_entry=True)
     assert [(r.id, r.mention_id) for r in by_entry.orderBy("rank").collect()] == [(1, 7), (3, None)]
+
+
+def test_facts_of_one_file_are_spread(spark):
+    assert Sample(spark, SMALL).facts().rdd.getNumPartitions() >= 8

@@ -29,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from factloom.functions.text import title_key, words
 from factloom.functions.vectors import norm
+from factloom.operators.joins import by_sorting
 from factloom.operators.nearest import matrix, rows_by_key, unit_rows
 from factloom.operators.ranking import top_k
 from factloom.operators.pivots import pivot_tiles
@@ -66,7 +67,7 @@ def similarity_items(facts: DataFrame, vectors: DataFrame, threshold: float = 1.
     ``threshold`` is above the score of equal titles.
     """
     usable = vectors.where(F.col("embedding").isNotNull()).where(norm("embedding") > 0)
-    items = facts.select("user_id", "category", "id", "ts", title_key("title").alias("title_key")).join(
+    items = by_sorting(facts.select("user_id", "category", "id", "ts", title_key("title").alias("title_key"))).join(
         usable.select("user_id", "id", "embedding"), ["user_id", "id"]
     )
     titled = F.col("title_key").isNotNull()

@@ -7,10 +7,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.blocks import carried, coded, list_array, list_parts, text_blocks, whole_groups, words
+from factloom.operators.bloom import Bloom, bloom_of, mixed
 from factloom.operators.components import connected_components
 from factloom.session import materialize
 
@@ -23,6 +24,8 @@ TILE, TILE_SHINGLES = 2048, 1 << 20
 #: Shingles whose minima are taken at once.
 CHUNK = 1 << 16
 BLOCK_BYTES = 1_500_000
+#: Bits at most of a filter of band keys or rows (16 MB).
+FILTER_BITS = 1 << 27
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -159,6 +162,29 @@ def verified_links(sets: DataFrame, threshold: float, tile: int = TILE) -> DataF
     return dealt.mapInArrow(lambda batches: _verified(batches, threshold), "a long, b long")
 
 
+def keys_in(nodes: DataFrame, wanted: Bloom) -> DataFrame:
+    """(node, key): the band keys that ``wanted`` may have. Nearly all keys have one node; these stay where they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, at = list_parts(batch.column("keys"))
+            node = np.repeat(batch.column("node").to_numpy(), np.diff(at))
+            found = wanted.has(mixed(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(node[found], pa.int64()), pa.array(keys[found], pa.int64())], ["node", "key"])
+
+    return nodes.select("node", "keys").mapInArrow(run, "node long, key long")
+
+
+def row_in(wanted: Bloom) -> Column:
+    """Whether ``wanted`` may have the row: only its key goes to Python, not its text."""
+
+    @F.arrow_udf("boolean")
+    def has(row: pa.Array) -> pa.Array:
+        return pa.array(wanted.has(mixed(row.to_numpy())))
+
+    return has("__row")
+
+
 def drop_near_texts(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row of each group of near duplicates of ``docs`` (doc_id, text and others), with its columns.
 
@@ -170,7 +196,8 @@ def drop_near_texts(docs: DataFrame, threshold: float = THRESHOLD, tile: int = T
 
     Candidates share a band of MinHash values; the bands connect them into components, and within these
     all texts are compared exactly. Shingles are compared by 64-bit hashes. Texts with equal sets are one
-    node, so copies are not compared. Sets are made anew for the candidates only.
+    node, so copies are not compared. Sets are made anew for the candidates only. Bloom filters tell which keys
+    and texts a join may concern; all others are not shuffled, whatever the size of the other side.
     """
     columns = tuple(docs.columns)
     rows = signatures(docs, columns).withColumns({"__row": F.monotonically_increasing_id(), "__hash": F.xxhash64("text")})
@@ -179,12 +206,15 @@ def drop_near_texts(docs: DataFrame, threshold: float = THRESHOLD, tile: int = T
     keys = nodes.select("node", F.explode("keys").alias("key"))
     starts = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     starts = materialize(starts.where("low < high").select("key", "low"), "bands")
-    candidates = keys.join(starts, "key").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    shared = keys_in(nodes, bloom_of(starts, ["key"], FILTER_BITS))
+    candidates = shared.join(starts, "key").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     labels = connected_components(materialize(candidates.distinct(), "candidates"), [])
     labels = materialize(labels, "labels")
 
     one = materialize(rows.join(labels, "node").groupBy("node", "component").agg(F.min("__row").alias("__row")), "sampled")
-    texts = rows.select("__row", "text").join(one, "__row")
+    texts = rows.select("__row", "text").where(row_in(bloom_of(one, ["__row"], FILTER_BITS))).join(one, "__row")
+    # Stored between two steps in Python: in one stage each task would take two workers.
+    texts = materialize(texts, "texts")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, limit=BLOCK_BYTES):
@@ -200,4 +230,7 @@ def drop_near_texts(docs: DataFrame, threshold: float = THRESHOLD, tile: int = T
     lowest = rows.groupBy("node").agg(F.min(order).alias("first"))
     lowest = lowest.join(groups, "node", "left").groupBy(F.coalesce("group", "node")).agg(F.min("first").alias("first"))
     kept = materialize(lowest.select(F.col("first.__row").alias("__row")), "kept")
-    return rows.join(kept, "__row", "left_semi").select(*columns)
+    gone = materialize(rows.select("__row").join(kept, "__row", "left_anti"), "gone")
+    doubtful = row_in(bloom_of(gone, ["__row"], FILTER_BITS))
+    judged = rows.where(doubtful).join(gone, "__row", "left_anti")
+    return rows.where(~doubtful).unionByName(judged).select(*columns)

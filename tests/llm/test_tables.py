@@ -347,3 +347,35 @@ def test_near_texts_keep_rows_that_share_an_id(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = Counter((r.doc_id, r.text) for r in drop_near_texts(frame).collect())
     assert got == Counter([(5, a), (None, b), (3, c), (3, d)])
+
+
+def moved_texts(frame):
+    """Rows that the exchanges of the last step move with their texts."""
+    frame.collect()
+    moved, nodes = 0, [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if name == "Exchange" and "text#" in node.output().mkString():
+                moved += node.metrics().apply("shuffleRecordsWritten").value()
+    return moved
+
+
+def test_texts_that_stay_are_not_moved(spark, rng):
+    """Also where the rows that go are too many to be broadcast."""
+    texts = [" ".join(str(rng.random()) for _ in range(30)) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(texts + texts[:20])), "doc_id long, text string").repartition(4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = drop_near_texts(frame)
+        assert 20 <= moved_texts(kept) < 60
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -120,8 +120,8 @@ class Sample:
     def turns(self) -> DataFrame:
         return self.spread("conversations").select("conv_id", "turn", F.col("role").alias("speaker"), "text")
 
-    def changes(self) -> DataFrame:
-        """Every event is a change: five in a row concern the same part."""
+    def changes(self, *kept: str) -> DataFrame:
+        """Every event is a change: five in a row concern the same part. Columns ``kept`` of the event stay beside it."""
         base = F.floor(F.col("event_id") / 5)
         k = F.get_json_object("props", "$.k")
         kind = F.col("event_type")
@@ -151,14 +151,14 @@ class Sample:
             F.when(kind == "click", base + TENANTS).alias("dst"),
             F.when(kind == "click", "works on").alias("rel"),
             F.when(kind == "click", F.create_map(F.lit("k"), k)).alias("props"),
+            *kept,
         )
 
     def merging_changes(self) -> DataFrame:
         """The changes, except that errors of middling value merge the part after next of the tenant into theirs."""
-        log = self.changes()
-        events = self.table("events").select(F.col("event_id").alias("seq"), "event_type", "value")
+        log = self.changes("event_type", "value")
         merging = (F.col("event_type") == "error") & (F.col("value") >= 8) & (F.col("value") < 15)
-        log = log.join(events, "seq").withColumn("dup_id", F.when(merging, F.col("id") + TENANTS))
+        log = log.withColumn("dup_id", F.when(merging, F.col("id") + TENANTS))
         log = log.withColumn("op", F.when(merging, "merge").otherwise(F.col("op")))
         title = F.when(merging, F.concat(F.lit("merged "), F.col("seq").cast("string"))).otherwise(F.col("title"))
         return log.withColumn("title", title).drop("event_type", "value")

@@ -12,8 +12,11 @@ from factloom.operators import changes as chg
 from factloom.operators import merging
 from factloom.operators.identity import forest
 from factloom.operators.ranking import carry_forward
+from factloom.plans import registry
+from factloom.plans.sample import Sample
 from factloom.sources.tables import Snapshot
 
+SMALL = "/root/testdata/sf0.001"
 DAY = dt.datetime(2024, 1, 1)
 FACTS = "user_id string, id int, title string, text string, category string, ts timestamp, updated_at timestamp, metadata map<string,string>, aliases map<string,string>"
 EDGES = "user_id string, src int, rel string, dst int, props map<string,string>"
@@ -207,3 +210,14 @@ def test_carrying_forward(spark, partitions):
         want[i] = last.get(k)
         last[k] = v if v is not None else last.get(k)
     assert {r.i: r.last for r in got} == want
+
+
+def test_sample_log_and_edges_are_made_once(spark, monkeypatch):
+    """The log is one pass over the events; order lines are read for the stored edges only."""
+    plan = Sample(spark, SMALL).merging_changes()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+    given = []
+    monkeypatch.setattr(registry.chg, "apply_changes", lambda snapshot, log: given.append(snapshot))
+    registry._after_merging_log(Sample(spark, SMALL))
+    files = given[0].edges.inputFiles() + given[0].facts.inputFiles()
+    assert files and not any("lineitem" in f or "/part.parquet" in f for f in files)

@@ -6,6 +6,7 @@ import os
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.blocks import coded, distinct_codes, joined_runs, list_array, split_lists, text_blocks
+from factloom.llm.blocks import coded, list_array, ragged_take, split_lists, text_blocks
 from factloom.session import materialize
 
 #: A space before another blank, or at the end: here a space does not begin a token of its own word.
@@ -60,21 +61,43 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size()
         # In a byte-level vocabulary each character of a token stands for one byte.
         self.width = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
-        self.known: dict[str, np.ndarray] = {}
+        # Words met before: the place of each, and its run of ids in one array.
+        self.known: dict[str, int] = {}
+        self.table, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.int32) for e in found]
 
-    def _encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words with a leading space, several in one call, cut apart by their bytes."""
-        out: list[np.ndarray] = []
-        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for group, ids in zip(groups, self._encode(["".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(w.encode()) for w in group])
-            cuts = (np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1).tolist()
-            out.extend(ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False))
-        return out
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a leading space, one after the other, and how many each has: several words go in one
+        call and are cut apart by their bytes."""
+        texts = words.to_pylist()
+        found = self._encode(["".join(texts[i : i + TOGETHER]) for i in range(0, len(texts), TOGETHER)])
+        ids = np.concatenate(found) if found else np.zeros(0, np.int32)
+        ends = np.cumsum(pc.binary_length(words).to_numpy().astype(np.int64))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.width[ids]), ends, side="left") + 1, prepend=0)
+
+    def _runs(self, distinct: pa.Array, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(table, starts, sizes): the ids of word i are the run of sizes[i] from starts[i] of the table."""
+        words = distinct.to_pylist()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        old, new = at >= 0, np.flatnonzero(at < 0)
+        starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        starts[old], sizes[old] = self.starts[at[old]], self.sizes[at[old]]
+        spaced = pc.starts_with(distinct.take(pa.array(new)), " ").to_numpy(zero_copy_only=False)
+        bare = self._encode([words[i] for i in new[~spaced]])
+        ids, lengths = self._encode_words(distinct.take(pa.array(new[spaced])))
+        new = np.concatenate([new[spaced], new[~spaced]])
+        sizes[new] = np.concatenate([lengths, np.array([len(b) for b in bare], np.int64)])
+        table = np.concatenate([self.table, ids, *bare])
+        starts[new] = len(self.table) + np.cumsum(sizes[new]) - sizes[new]
+        kept = new[seen[new] > 1][: max(0, KNOWN_LIMIT - len(self.known))]
+        self.known.update(zip([words[i] for i in kept], range(len(self.known), len(self.known) + len(kept)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.table) + np.cumsum(sizes[kept]) - sizes[kept]])
+        self.sizes = np.concatenate([self.sizes, sizes[kept]])
+        self.table = np.concatenate([self.table, ragged_take(table, starts, sizes, kept)])
+        return table, starts, sizes
 
     def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts and how many each has."""
@@ -88,19 +111,20 @@ class WordEncoder:
         cut = pc.replace_substring_regex(cut, BREAK, rf"\1{CUT}\n{CUT}\2".replace(r"\n", "\n"))
         flat, row = split_lists(pc.split_pattern(cut, CUT))
         codes, distinct = coded(flat)
-        values, keys, seen = distinct_codes(codes, len(distinct))
-        words = distinct.to_pylist()
-        parts = [self.known.get(w) for w in words]
-        new = [i for i, p in enumerate(parts) if p is None]
-        spaced = [i for i in new if words[i].startswith(" ")]
-        bare = [i for i in new if not words[i].startswith(" ")]
-        for places, ids in (spaced, self._encode_words([words[i] for i in spaced])), (bare, self._encode([words[i] for i in bare])):
-            for i, p in zip(places, ids, strict=True):
-                parts[i] = p
-                if seen[i] > 1 and len(self.known) < KNOWN_LIMIT:
-                    self.known[words[i]] = p.copy()
+        table, starts, sizes = self._runs(distinct, np.bincount(codes, minlength=len(distinct)))
         plain = ~odd[row]
-        return joined_runs(parts, keys[plain], row[plain], dict(zip(np.flatnonzero(odd).tolist(), whole, strict=True)), len(texts))
+        picks, row = codes[plain], row[plain]
+        if whole:
+            # Texts encoded whole are runs of their own, after those of the words.
+            lengths = np.array([len(ids) for ids in whole], np.int64)
+            starts = np.concatenate([starts, len(table) + np.cumsum(lengths) - lengths])
+            sizes, table = np.concatenate([sizes, lengths]), np.concatenate([table, *whole])
+            picks = np.concatenate([picks, len(distinct) + np.arange(len(whole))])
+            row = np.concatenate([row, np.flatnonzero(odd)])
+            order = np.argsort(row, kind="stable")
+            picks, row = picks[order], row[order]
+        counts = np.bincount(row, weights=sizes[picks], minlength=len(texts)).astype(np.int64)
+        return ragged_take(table, starts, sizes, picks), counts
 
 
 @lru_cache(maxsize=2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -23,7 +24,7 @@ from factloom.llm.outliers import judge_documents
 from factloom.llm.pieces import decode_pieces, encode_pieces, load_model, piece_digests
 from factloom.llm.queries import ORACLE_SQL
 from factloom.llm.simhash import simhash_groups
-from factloom.llm.token_files import read_token_files, token_digests, write_token_files
+from factloom.llm.token_files import WordEncoder, read_token_files, token_digests, write_token_files
 from factloom.session import scratch_path
 from tests.compare import connect, differences
 from tests.conftest import SMALL
@@ -287,6 +288,23 @@ def test_token_files(spark, odd, small_docs, tmp_path):
     assert "EqualTo(doc_id,5)" in plan and "ids:array" not in plan
 
 
+def test_words_are_encoded_together(odd):
+    """Two blocks, of which the second has known and new words; few calls for a word, however many words there are."""
+    encoder = WordEncoder(BPE)
+    texts = [" ".join(f"word{i} again, number {i * 7}" for i in range(n, n + 400)) for n in (0, 200)]
+    texts += [r.text or "" for r in odd.collect()]
+    calls = Counter()
+    for block in (texts, texts[1:] + ["unheard of things, 12345 of them"], [""], ["<|endoftext|>"]):
+        sys.setprofile(lambda frame, event, arg: calls.update([event]))
+        try:
+            ids, sizes = encoder.encode_block(pa.array(block))
+        finally:
+            sys.setprofile(None)
+        want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in block]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert calls["call"] + calls["c_call"] < 5000, calls
+
+
 def test_layout_of_token_files(spark, small_docs, tmp_path):
     out = tmp_path / "tokens"
     write_token_files(small_docs, BPE, str(out))

@@ -34,7 +34,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 one row stays."""
+    """Candidates by SimHash and MinHash; of each group of texts whose five-word shingles have a Jaccard similarity of 0.8 one row stays."""
     return drop_near_texts(docs.select(*COLUMNS))
 
 

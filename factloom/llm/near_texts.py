@@ -1,4 +1,4 @@
-"""Near-duplicate texts by Jaccard similarity of word shingles: MinHash bands, then exact comparison."""
+"""Near-duplicate texts: candidates by SimHash fingerprints and by MinHash bands, then exact Jaccard similarity of word shingles."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.blocks import carried, coded, list_array, list_parts, text_blocks, whole_groups, words
+from factloom.llm.simhash import simhash_groups
 from factloom.operators.bloom import Bloom, bloom_of, mixed
 from factloom.operators.components import connected_components
 from factloom.session import materialize
@@ -185,6 +186,16 @@ def row_in(wanted: Bloom) -> Column:
     return has("__row")
 
 
+def links_by_fingerprint(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the nodes of ``rows`` (__row, node, text) whose texts ``simhash_groups`` puts into one group."""
+    groups = simhash_groups(rows.select(F.col("__row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("alike"))
+    named = materialize(rows.select("__row", "node").join(groups, "__row").select("alike", "node").distinct(), "alike")
+    lowest = named.groupBy("alike").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    lowest = materialize(lowest.where("low < high").select("alike", "low"), "lowest")
+    return named.join(lowest, "alike").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
 def drop_near_texts(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """One row of each group of near duplicates of ``docs`` (doc_id, text and others), with its columns.
 
@@ -194,8 +205,9 @@ def drop_near_texts(docs: DataFrame, threshold: float = THRESHOLD, tile: int = T
     text: rows are told apart by a key of their own, so rows that share a doc_id, or have none, go only as
     near duplicates of a row that stays.
 
-    Candidates share a band of MinHash values; the bands connect them into components, and within these
-    all texts are compared exactly. Shingles are compared by 64-bit hashes. Texts with equal sets are one
+    Candidates have fingerprints at most two bits apart (``simhash.simhash_groups``, compared bit-sliced), or share a band of
+    MinHash values, since fingerprints alone would miss links near the threshold. Both connect them into components, and
+    within these all texts are compared exactly. Shingles are compared by 64-bit hashes. Texts with equal sets are one
     node, so copies are not compared. Sets are made anew for the candidates only. Bloom filters tell which keys
     and texts a join may concern; all others are not shuffled, whatever the size of the other side.
     """
@@ -208,7 +220,8 @@ def drop_near_texts(docs: DataFrame, threshold: float = THRESHOLD, tile: int = T
     starts = materialize(starts.where("low < high").select("key", "low"), "bands")
     shared = keys_in(nodes, bloom_of(starts, ["key"], FILTER_BITS))
     candidates = shared.join(starts, "key").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    labels = connected_components(materialize(candidates.distinct(), "candidates"), [])
+    candidates = candidates.unionByName(links_by_fingerprint(rows)).distinct()
+    labels = connected_components(materialize(candidates, "candidates"), [])
     labels = materialize(labels, "labels")
 
     one = materialize(rows.join(labels, "node").groupBy("node", "component").agg(F.min("__row").alias("__row")), "sampled")

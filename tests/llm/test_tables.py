@@ -10,11 +10,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import neighbours, shards
+from factloom.llm import near_texts, neighbours, shards
 from factloom.llm.mixing import mix_documents, rake
 from factloom.llm.near_texts import drop_near_texts
 from factloom.llm.neighbours import Settings, near_duplicate_vectors
 from factloom.llm.shards import shard_documents
+from factloom.llm.simhash import simhash_groups
 from tests.conftest import SMALL
 
 # --- mixing
@@ -349,6 +350,19 @@ def test_near_texts_keep_rows_that_share_an_id(spark):
     assert got == Counter([(5, a), (None, b), (3, c), (3, d)])
 
 
+def test_stage_finds_candidates_by_fingerprints(spark, monkeypatch):
+    """Without any shared band the stage still links near copies whose fingerprints are at most two bits apart, and no others."""
+    monkeypatch.setattr(near_texts, "keys_in", lambda nodes, wanted: spark.createDataFrame([], "node long, key long"))
+    refrain = " ".join(f"w{i}" for i in range(21))
+    ends = ["a0", "b0", " ".join(f"c{i}" for i in range(9))]
+    rows = [(n, " ".join([refrain] * 2000 + [end])) for n, end in enumerate(ends)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in simhash_groups(frame).collect()} == {0}
+    docs = frame.withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.char_length("text").cast("long")})
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SMALL)
+    assert sorted(r.doc_id for r in stage.collect()) == [0, 2]
+
+
 def moved_texts(frame):
     """Rows that the exchanges of the last step move with their texts."""
     frame.collect()

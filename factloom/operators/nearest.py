@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Container, Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ from factloom.session import materialize
 # in which a matrix product happened to add up.
 SCORE_DECIMALS = 9
 _QUERY_STEP = 512
+#: Scores held at once by a task: each takes up to a hundred bytes while the best are picked.
+_SCORES = 1 << 19
 #: Smaller tiles than this cost more to send, once for each tile of the other side, than to score.
 LEAST_TILE = 8192
 
@@ -60,13 +63,20 @@ class _QueryBlock:
         self.known = {c: i for i, c in enumerate(sorted({c for c in categories if c is not None}))}
         self.category = _codes(categories, self.known)
 
+    def only(self, rows: np.ndarray) -> _QueryBlock:
+        """The queries of some rows."""
+        part = copy(self)
+        part.ids, part.vectors, part.category = self.ids[rows], self.vectors[rows], self.category[rows]
+        return part
+
     def hits(
         self, ids: np.ndarray, vectors: np.ndarray, categories: np.ndarray, min_score: float, fetch: int
     ) -> pd.DataFrame:
         category = _codes(categories, self.known)
         parts = []
-        for start in range(0, len(self.ids), _QUERY_STEP):
-            stop = start + _QUERY_STEP
+        step = max(1, min(_QUERY_STEP, _SCORES // max(len(ids), 1)))
+        for start in range(0, len(self.ids), step):
+            stop = start + step
             scores = self.vectors[start:stop] @ vectors.T
             q, f = np.divmod(np.flatnonzero(scores >= min_score - 10.0**-SCORE_DECIMALS), max(scores.shape[1], 1))
             score, wanted = np.round(scores[q, f], SCORE_DECIMALS), self.category[start + q]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from factloom.operators import search, vector_index
 from factloom.operators.bloom import bloom_of, mixed
 from factloom.operators.mentions import link_mentions
 from factloom.operators import nearest as nearest_module
-from factloom.operators.nearest import nearest
+from factloom.operators.nearest import _QueryBlock, nearest, unit_rows
 from factloom.operators.substring import substring_matches
 from factloom.plans.sample import Sample
 from tests.conftest import SMALL
@@ -273,3 +274,34 @@ def test_diary_hits_show_the_mentions_of_their_day(spark):
 
 def test_facts_of_one_file_are_spread(spark):
     assert Sample(spark, SMALL).facts().rdd.getNumPartitions() >= 8
+
+
+def finished_nodes(frame):
+    """The nodes of the plan as it ran."""
+    frame.collect()
+    nodes = [frame._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            yield name, node
+
+
+def test_scores_of_a_tile_take_little_memory():
+    """A tile in which every score is high enough, scored in steps."""
+    rng = np.random.default_rng(3)
+    vectors = unit_rows(rng.random((8192, 16)))
+    block = _QueryBlock(np.arange(512), vectors[:512], np.full(512, None, object))
+    tracemalloc.start()
+    try:
+        hits = block.hits(np.arange(8192), vectors, np.full(8192, "a", object), 0.0, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(hits) >= 3 * 512
+    assert peak < 150e6, peak

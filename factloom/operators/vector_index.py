@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,8 @@ from factloom.session import materialize
 
 #: A list of its own for all vectors of small tenants, and one for vectors without a length: always read.
 WHOLE, NO_LENGTH = 0, -1
-#: Vectors of a list, and queries, that meet in one task.
-PART_ROWS, QUERY_ROWS = 1 << 17, 4096
+#: Vectors of lists that share a bundle, and of a part of it, and queries, that meet in one task.
+BUNDLE_ROWS, PART_ROWS, QUERY_ROWS = 1 << 14, 1 << 17, 1 << 14
 _QUERY = ["query_id", "user_id", "vec", "category"]
 
 
@@ -69,43 +69,64 @@ def list_bounds(queries: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def _passing(batches: Iterable[pa.RecordBatch], min_score: float, fetch: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by place and kind: the queries of a place come first, then its vectors pass by."""
+    """Rows sorted by place, kind and list: the queries of a place come first, then its vectors pass by, list by list."""
 
-    def results(kept: pd.DataFrame | None) -> Iterator[pa.RecordBatch]:
-        if kept is not None and len(kept):
-            best = _best(kept, fetch)
+    def results(kept: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, kept)):
+            best = _best(pd.concat(kept, ignore_index=True), fetch)
             yield pa.RecordBatch.from_arrays([pa.array(best[f.name].tolist(), f.type) for f in out], schema=out)
 
-    now, asked, block, kept = None, [], None, None
+    now, asked, block, asking, kept, limit = None, [], None, {}, [], 0
     for batch in batches:
-        places, kinds = batch.column("place").to_pylist(), batch.column("kind").to_pylist()
-        cuts = [i for i in range(1, len(places)) if places[i] != places[i - 1] or kinds[i] != kinds[i - 1]]
-        for start, end in zip([0, *cuts], [*cuts, len(places)], strict=True):
+        runs = list(zip(*(batch.column(c).to_pylist() for c in ("place", "kind", "list")), strict=True))
+        cuts = [i for i in range(1, len(runs)) if runs[i] != runs[i - 1]]
+        for start, end in zip([0, *cuts], [*cuts, len(runs)], strict=True):
             if end <= start:
                 continue
-            part = batch.slice(start, end - start)
-            if places[start] != now:
+            part, (place, kind, number) = batch.slice(start, end - start), runs[start]
+            if place != now:
                 yield from results(kept)
-                now, asked, block, kept = places[start], [], None, None
-            if kinds[start] == 0:
+                now, asked, block, kept, limit = place, [], None, [], 0
+            if kind == 0:
                 asked.append(part)
                 continue
             if not asked:
                 continue
             if block is None:
-                block = _query_block(pa.Table.from_batches(asked))
+                table = pa.Table.from_batches(asked)
+                block, wanted = _query_block(table), table.column("lists").combine_chunks()
+                numbers, row = wanted.flatten().to_numpy(), wanted.value_parent_indices().to_numpy()
+                order = np.argsort(numbers, kind="stable")
+                values, first = np.unique(numbers[order], return_index=True)
+                asking = dict(zip(values.tolist(), np.split(row[order], first[1:]), strict=True))
+            if number not in asking:
+                continue
             vectors, categories = unit_rows(matrix(part.column("vec"))), np.array(part.column("category").to_pylist(), dtype=object)
-            hits = block.hits(_objects(part.column("id")), vectors, categories, min_score, fetch)
-            kept = hits if kept is None else _best(pd.concat([kept, hits], ignore_index=True), fetch)
+            kept.append(block.only(asking[number]).hits(_objects(part.column("id")), vectors, categories, min_score, fetch))
+            if sum(map(len, kept)) > max(2 * limit, 100_000):
+                kept = [_best(pd.concat(kept, ignore_index=True), fetch)]
+                limit = len(kept[0])
     yield from results(kept)
 
 
+def _bundles(probes: DataFrame, rows: int) -> DataFrame:
+    """Lists packed into bundles of about ``rows`` vectors: user_id, list, bundle, n. A tenant has few hundred lists."""
+    lists = probes.groupBy("user_id", "list").agg(F.max("n").alias("n"))
+    before = Window.partitionBy("user_id").orderBy("list").rowsBetween(Window.unboundedPreceding, -1)
+    return lists.withColumn("bundle", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / rows).cast("int"))
+
+
 def _scored(lists: DataFrame, queries: DataFrame, probes: DataFrame, min_score: float, fetch: int) -> DataFrame:
-    """Hits (query_id, id, score) of the pairs ``probes`` (query_id, user_id, list, n); several rows of a query add up."""
-    place = ["user_id", "list"]
-    sizes = probes.groupBy(*place).agg(F.max("n").alias("n"), F.count("*").alias("asking"))
-    sizes = sizes.select(*place, F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"), F.ceil(F.col("asking") / QUERY_ROWS).cast("int").alias("tiles"))
-    sizes = materialize(sizes, "probed-lists")
+    """Hits (query_id, id, score) of the pairs ``probes`` (query_id, user_id, list, n); several rows of a query add up.
+
+    A query travels once to each bundle of lists it asks for, not once to each list, with the numbers of the lists."""
+    place = ["user_id", "bundle"]
+    bundles = materialize(_bundles(probes, BUNDLE_ROWS), "bundles")
+    wants = probes.join(bundles.drop("n"), ["user_id", "list"]).groupBy("query_id", *place)
+    wants = materialize(wants.agg(F.collect_set(F.col("list").cast("int")).alias("lists")), "wanted-lists")
+    sizes = wants.groupBy(*place).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("tiles"))
+    parts = bundles.groupBy(*place).agg(F.ceil(F.sum("n") / PART_ROWS).cast("int").alias("parts"))
+    sizes = materialize(sizes.join(parts, place), "probed-bundles")
 
     def one(count: str, ident: str):
         return F.pmod(F.xxhash64(ident), F.col(count)).cast("int")
@@ -113,13 +134,16 @@ def _scored(lists: DataFrame, queries: DataFrame, probes: DataFrame, min_score:
     def each(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
+    kinds = {queries.schema["vec"].dataType.simpleString(), lists.schema["embedding"].dataType.simpleString()}
+    kind = kinds.pop() if len(kinds) == 1 else "array<double>"
     named = F.to_json(F.struct(*place, "part", "tile")).alias("place")
-    asked = probes.select("query_id", *place).join(sizes, place).join(queries.select(*_QUERY), ["query_id", "user_id"])
+    asked = wants.join(sizes, place).join(queries.select(*_QUERY), ["query_id", "user_id"])
     asked = asked.withColumn("tile", one("tiles", "query_id")).withColumn("part", each("parts"))
-    asked = asked.select(named, F.lit(0).alias("kind"), "query_id", F.col("vec").cast("array<double>").alias("vec"), "category")
-    read = lists.join(sizes, place).withColumn("part", one("parts", "id")).withColumn("tile", each("tiles"))
-    read = read.select(named, F.lit(1).alias("kind"), "id", F.col("embedding").cast("array<double>").alias("vec"), "category")
-    dealt = asked.unionByName(read, allowMissingColumns=True).repartition("place").sortWithinPartitions("place", "kind")
+    asked = asked.select(named, F.lit(0).alias("kind"), "query_id", F.col("vec").cast(kind).alias("vec"), "category", "lists")
+    read = lists.join(bundles.drop("n"), ["user_id", "list"]).join(sizes, place)
+    read = read.withColumn("part", one("parts", "id")).withColumn("tile", each("tiles")).withColumn("list", F.col("list").cast("int"))
+    read = read.select(named, F.lit(1).alias("kind"), "id", F.col("embedding").cast(kind).alias("vec"), "category", "list")
+    dealt = asked.unionByName(read, allowMissingColumns=True).repartition("place").sortWithinPartitions("place", "kind", "list")
     fields = [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", lists.schema["id"].dataType)]
     out = T.StructType([*fields, T.StructField("score", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -305,3 +305,17 @@ def test_scores_of_a_tile_take_little_memory():
         tracemalloc.stop()
     assert len(hits) >= 3 * 512
     assert peak < 150e6, peak
+
+
+def test_a_query_travels_once_to_the_lists_of_a_bundle(spark):
+    rows = [(0, i, "a", [float(i % 7), float(i % 11), 1.0], i % 16) for i in range(320)]
+    lists = spark.createDataFrame(rows, "user_id long, id long, category string, embedding array<float>, list int")
+    queries = lists.where("id < 50").selectExpr("id as query_id", "user_id", "embedding as vec", "string(null) as category")
+    probes = queries.select("query_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("list")).withColumn("n", F.lit(20))
+    found = vector_index._scored(lists, queries, probes, 0.2, 3)
+    written = [
+        node.metrics().apply("shuffleRecordsWritten").value()
+        for name, node in finished_nodes(found)
+        if name == "Exchange" and "place#" in node.output().mkString()
+    ]
+    assert written == [320 + 50]

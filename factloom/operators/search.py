@@ -42,7 +42,9 @@ def exact_matches(
         (F.length("query") > LONG_QUERY).alias("is_long"),
         F.col("category").alias("wanted"),
     )
-    distinct_asks = asks.drop("query_id").distinct()
+    # Stored with their true size: Spark would take millions of them for small and send them through the driver.
+    asks = materialize(asks, "asks", plain=True)
+    distinct_asks = materialize(asks.drop("query_id").distinct(), "distinct-asks", plain=True)
     texts = facts.select(
         "user_id",
         "id",

@@ -319,3 +319,16 @@ def test_a_query_travels_once_to_the_lists_of_a_bundle(spark):
         if name == "Exchange" and "place#" in node.output().mkString()
     ]
     assert written == [320 + 50]
+
+
+def test_questions_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path):
+    text = F.concat(F.repeat(F.lit("long question "), 8), (F.col("id") % 50).cast("string"))
+    asked = spark.range(200_000).select(
+        F.col("id").alias("query_id"), (F.col("id") % 4).alias("user_id"), text.alias("query"), F.lit(None).cast("string").alias("category")
+    )
+    asked.write.parquet(str(tmp_path / "asked"))
+    facts = spark.range(200).select((F.col("id") % 4).alias("user_id"), "id", F.lit("a").alias("category"), text.alias("title"), text.alias("text"))
+    found = search.exact_matches(facts, spark.read.parquet(str(tmp_path / "asked")))
+    sent = [node.metrics().apply("dataSize").value() for name, node in finished_nodes(found.groupBy("query_id").count().agg(F.sum("count"))) if name == "BroadcastExchange"]
+    # A small relation takes 34 MB.
+    assert max(sent, default=0) < 50e6, sent

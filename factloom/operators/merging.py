@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.components import connected_components
+from factloom.operators.components import tree_roots
 from factloom.operators.listings import split_metadata
 from factloom.session import materialize
 from factloom.sources.tables import Snapshot
@@ -29,15 +29,10 @@ def valid_merges(merges: DataFrame, facts: DataFrame) -> DataFrame:
     gone = pairs.select("user_id", F.col("dup_id").alias("master_id"))
     if not pairs.join(gone, ["user_id", "master_id"], "left_semi").take(1):
         return pairs
-    links = pairs.select("user_id", F.col("master_id").alias("a"), F.col("dup_id").alias("b"))
-    trees = materialize(connected_components(links, ["user_id"]), "trees")
-    roots = pairs.join(gone, ["user_id", "master_id"], "left_anti").select("user_id", "master_id").distinct()
-    roots = trees.join(roots.withColumnRenamed("master_id", "node"), ["user_id", "node"], "left_semi")
-    roots = roots.withColumnRenamed("node", "master_id")
-    if trees.join(roots, ["user_id", "component"], "left_anti").take(1):
-        raise ValueError("merges form a circle")
-    ends = trees.join(roots, ["user_id", "component"]).where("node <> master_id")
-    return ends.select("user_id", F.col("node").alias("dup_id"), "master_id")
+    links = pairs.select("user_id", F.col("dup_id").alias("node"), F.col("master_id").alias("parent"))
+    ends = tree_roots(links, ["user_id"])
+    return materialize(ends.select("user_id", F.col("node").alias("dup_id"), F.col("root").alias("master_id")), "ends")
+
 
 
 def _moved(table: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
@@ -107,24 +102,33 @@ def alias_rank(value: str) -> Column:
     return F.struct(-confidence, value)
 
 
-def _combined(facts: DataFrame, pairs: DataFrame, column: str, best: Column) -> DataFrame:
-    """One map per master (user_id, id, combined) out of its own and its duplicates' maps.
+def _combined(facts: DataFrame, pairs: DataFrame, best: dict[str, Column]) -> DataFrame:
+    """Per master (user_id, id) one map for each column of ``best`` out of its own and its duplicates' maps.
 
-    ``best`` ranks the values of a key, smallest first, by ``own`` (0 for the master) and ``value``."""
+    ``best`` ranks the values of a key, smallest first, by ``own`` (0 for the master) and ``value``. All maps go in one pass."""
     group = pairs.select("user_id", F.col("dup_id").alias("id"), "master_id", F.lit(1).alias("own"))
     masters = pairs.select("user_id", F.col("master_id").alias("id"), "master_id", F.lit(0).alias("own")).distinct()
-    entries = facts.select("user_id", "id", F.explode(column).alias("key", "value")).where("value is not null")
-    entries = entries.join(group.unionByName(masters), ["user_id", "id"])
-    one = entries.groupBy("user_id", "master_id", "key").agg(F.min_by("value", best).alias("value"))
-    maps = one.groupBy("user_id", F.col("master_id").alias("id"))
-    return maps.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("combined"))
+    grouped = facts.select("user_id", "id", *best).join(group.unionByName(masters), ["user_id", "id"])
+    maps = F.create_map(*[part for column in best for part in (F.lit(column), F.col(column))])
+    entries = grouped.select("user_id", "master_id", "own", F.explode(maps).alias("column", "map"))
+    entries = entries.select("user_id", "master_id", "own", "column", F.explode("map").alias("key", "value")).where("value is not null")
+    rank = F.struct(*[F.when(F.col("column") == column, order) for column, order in best.items()])
+    one = entries.groupBy("user_id", "master_id", "column", "key").agg(F.min_by("value", rank).alias("value"))
+
+    def combined(column: str) -> Column:
+        listed = F.collect_list(F.when(F.col("column") == column, F.struct("key", "value")))
+        return F.when(F.size(listed) > 0, F.map_from_entries(listed)).alias(f"combined_{column}")
+
+    return one.groupBy("user_id", F.col("master_id").alias("id")).agg(*[combined(column) for column in best])
 
 
-def _with_combined(facts: DataFrame, pairs: DataFrame, column: str, best: Column) -> DataFrame:
-    if column not in facts.columns:
+def _with_combined(facts: DataFrame, pairs: DataFrame, best: dict[str, Column]) -> DataFrame:
+    best = {column: order for column, order in best.items() if column in facts.columns}
+    if not best:
         return facts
-    joined = facts.join(_combined(facts, pairs, column, best), ["user_id", "id"], "left")
-    return joined.withColumn(column, F.coalesce("combined", column)).drop("combined")
+    joined = facts.join(_combined(facts, pairs, best), ["user_id", "id"], "left")
+    new = {column: F.coalesce(f"combined_{column}", column) for column in best}
+    return joined.withColumns(new).select(*facts.columns)
 
 
 def merge_facts(snapshot: Snapshot, merges: DataFrame, ts=None, embed=None) -> tuple[Snapshot, DataFrame]:
@@ -145,8 +149,7 @@ def merge_facts(snapshot: Snapshot, merges: DataFrame, ts=None, embed=None) -> t
     given = F.struct("title", "text")
     rewritten = last.agg(F.max(F.when(F.col("title").isNotNull() | F.col("text").isNotNull(), given)).alias("given"))
     rewritten = rewritten.select("user_id", "id", F.col("given.title").alias("new_title"), F.col("given.text").alias("new_text"))
-    facts = _with_combined(snapshot.facts, pairs, "metadata", F.struct("own", "value"))
-    facts = _with_combined(facts, pairs, "aliases", alias_rank("value"))
+    facts = _with_combined(snapshot.facts, pairs, {"metadata": F.struct("own", "value"), "aliases": alias_rank("value")})
     facts = facts.join(gone, ["user_id", "id"], "left_anti").join(rewritten, ["user_id", "id"], "left")
     changed = F.col("new_title").isNotNull() | F.col("new_text").isNotNull()
     facts = facts.withColumn("title", F.coalesce("new_title", "title"))

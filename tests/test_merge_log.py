@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import changes as chg
-from factloom.operators import merging
+from factloom.operators import components, merging
 from factloom.operators.identity import forest
 from factloom.operators.ranking import carry_forward
 from factloom.plans import registry
@@ -221,3 +221,41 @@ def test_sample_log_and_edges_are_made_once(spark, monkeypatch):
     registry._after_merging_log(Sample(spark, SMALL))
     files = given[0].edges.inputFiles() + given[0].facts.inputFiles()
     assert files and not any("lineitem" in f or "/part.parquet" in f for f in files)
+
+
+class Counted:
+    def __init__(self, function):
+        self.function, self.calls = function, 0
+
+    def __call__(self, *args, **kwargs):
+        self.calls += 1
+        return self.function(*args, **kwargs)
+
+
+def test_roots_of_trees(spark, monkeypatch):
+    monkeypatch.setattr(components, "materialize", counted := Counted(components.materialize))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        order = sorted(range(300), key=lambda i: (i * 7919) % 1009)
+        rows = [("u", str(a), str(b)) for a, b in zip(order[1:], order)] + [("v", str(i), str(i // 2)) for i in range(2, 200)]
+        links = spark.createDataFrame(rows, "user_id string, node string, parent string")
+        got = {(r.user_id, r.node): r.root for r in components.tree_roots(links, ["user_id"]).collect()}
+        assert got == {("u", str(i)): str(order[0]) for i in order[1:]} | {("v", str(i)): "1" for i in range(2, 200)}
+        assert counted.calls <= 2 + 9
+        circle = spark.range(100).selectExpr("'u' user_id", "id node", "(id * 37 + 11) % 100 parent").where("node <> parent")
+        with pytest.raises(ValueError, match="circle"):
+            components.tree_roots(circle, ["user_id"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_a_chain_of_merges_in_order_takes_no_rounds(spark, monkeypatch):
+    counted = Counted(components.materialize)
+    monkeypatch.setattr(components, "materialize", counted)
+    facts = spark.range(3000).selectExpr("'u' user_id", "id")
+    merges = facts.where("id > 0").selectExpr("user_id", "id - 1 master_id", "id dup_id")
+    ends = merging.valid_merges(merges, facts)
+    assert ends.where("master_id = 0 and dup_id > 0").distinct().count() == ends.count() == 2999
+    # Before, every round wrote and shuffled all links, and there were more of them the longer the chain.
+    assert counted.calls <= 6

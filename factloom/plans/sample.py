@@ -6,7 +6,7 @@ holds a quarter of all rows: the tests run on hot keys all the time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.operators.joins import by_sorting
@@ -57,14 +57,20 @@ class Sample:
         return by_sorting(self.facts().select("user_id", "id", "category")).join(embedded, "id")
 
     def edges(self) -> DataFrame:
-        """Parts on neighbouring lines of an order, if they belong to the same tenant."""
+        """Parts on neighbouring lines of an order, if they belong to the same tenant.
+
+        Lines are moved once, by their order: an order has few, and they are reduced and put beside the next one where they are.
+        """
+        lines = self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
         lines = (
-            self.table("lineitem")
+            lines.where("l_orderkey is not null and l_linenumber is not null")
+            .repartition("l_orderkey")
             .groupBy("l_orderkey", "l_linenumber")
             .agg(F.min("l_partkey").alias("part"), F.char(F.min(F.ascii("l_returnflag"))).alias("flag"))
         )
-        nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("part").alias("dst"))
-        pairs = lines.join(nxt, ["l_orderkey", "l_linenumber"]).where(
+        following = F.lead(F.struct("l_linenumber", "part")).over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))
+        pairs = lines.withColumn("next", following).where(F.col("next.l_linenumber") == F.col("l_linenumber") + F.lit(1).cast("long"))
+        pairs = pairs.select("part", "flag", F.col("next.part").alias("dst")).where(
             (F.col("part") != F.col("dst")) & (F.col("part") % TENANTS == F.col("dst") % TENANTS)
         )
         return (

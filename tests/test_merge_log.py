@@ -259,3 +259,19 @@ def test_a_chain_of_merges_in_order_takes_no_rounds(spark, monkeypatch):
     assert ends.where("master_id = 0 and dup_id > 0").distinct().count() == ends.count() == 2999
     # Before, every round wrote and shuffled all links, and there were more of them the longer the chain.
     assert counted.calls <= 6
+
+
+def test_neighbouring_lines_are_found_in_one_pass(spark, tmp_path):
+    rows = [(1, 1, 8, "R"), (1, 1, 4, "N"), (1, 2, 8, "A"), (1, 4, 12, "A"), (1, 5, 16, "A"), (1, 6, 17, "A"), (1, 7, 17, "A")]
+    rows += [(2, 3, 12, "A"), (2, 4, 16, "R"), (2, 5, None, "R"), (2, 6, 20, None), (2, 7, 24, "R")]
+    rows += [(None, 1, 4, "A"), (None, 2, 8, "A"), (3, None, 4, "A"), (3, 1, 8, "A"), (4, 2**31 - 2, 4, "A"), (4, 2**31 - 1, 8, "A")]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = Sample(spark, str(tmp_path)).edges()
+    got = {(r.user_id, r.src, r.rel, r.dst): r.props["orders"] for r in edges.collect()}
+    assert got == {
+        (0, 4, "BOUGHT_N", 8): "1", (0, 12, "BOUGHT_A", 16): "2", (0, 20, None, 24): "1", (0, 4, "BOUGHT_A", 8): "1"
+    }
+    # Before, all order lines were read twice and moved four times.
+    plan = Sample(spark, str(tmp_path)).edges()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
